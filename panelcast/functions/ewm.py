@@ -27,15 +27,28 @@ def ewm_decay(span: float) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
 
-def ewm_block_rows(span: float) -> int:
-    """Smallest power of two B >= 64 with q^B below EWM_TOLERANCE."""
+# q^{-B} times the data must stay finite: keep B * ln(1/q) below this.
+MAX_LOG_GROWTH = 600.0
+
+
+def ewm_block_rows(span: float, preferred: int | None = None) -> int:
+    """Block length B: a power of two with q^B < EWM_TOLERANCE and q^-B finite.
+
+    Returns `preferred` (the layout's shared block) whenever it satisfies both, so that
+    every EWM shares one sort order; otherwise the smallest valid power of two >= 64.
+    """
     q = ewm_decay(span)
     if q <= 0.0:
         return 64
     need = math.log(EWM_TOLERANCE) / math.log(q)
+    growth = -math.log(q)
+    if preferred and preferred >= need and preferred * growth <= MAX_LOG_GROWTH:
+        return preferred
     b = 64
     while b < need:
         b *= 2
+    if b * growth > MAX_LOG_GROWTH:
+        raise ValueError(f"no block length suits span {span}")
     return b
 
 
@@ -47,26 +60,32 @@ def with_ewm(
     partition: list[str],
     order: str,
     pos: str,
-    max_block: int,
+    shared_block: tuple[str, int],
 ) -> DataFrame:
     """Add column `out` = EWM(span) of column `x`.
 
     `partition` are the series partition columns, `pos` the 0-based row number of the
-    row within its whole series (not within a segment).  Rows of a partition must
-    cover whole blocks except at the start, which is either the series start or a
-    halo of at least one block (see operators.series).
+    row within its whole series (not within a segment).  `shared_block` names the
+    layout's block column and its length (= the halo length); it is used whenever the
+    span allows, so all EWMs and the other windows share one sort.  Rows of a
+    partition cover whole blocks except at the start, which is either the series
+    start or a halo of whole blocks (see operators.series).
     """
     q = ewm_decay(span)
     if q == 0.0:
         return df.withColumn(out, F.col(x).cast("double"))
-    b = ewm_block_rows(span)
-    if b > max_block:
-        raise ValueError(f"span {span} needs {b}-row blocks; the layout halo holds {max_block}")
-    blk, j, loc = f"_{out}_blk", f"_{out}_j", f"_{out}_loc"
+    shared_name, shared_rows = shared_block
+    b = ewm_block_rows(span, shared_rows)
+    if b > shared_rows:
+        raise ValueError(f"span {span} needs {b}-row blocks; the layout halo holds {shared_rows}")
     p = F.col(pos)
-    df = df.withColumns({blk: F.floor(p / b).cast("long")})
+    blk, j, loc = (shared_name if b == shared_rows else f"_{out}_blk"), f"_{out}_j", f"_{out}_loc"
+    if blk not in df.columns:
+        df = df.withColumns({blk: F.floor(p / b).cast("long")})
     df = df.withColumns({j: (p - F.col(blk) * b).cast("double")})
-    inside = Window.partitionBy(*partition, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = (
+        Window.partitionBy(*partition, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    )
     df = df.withColumn(
         loc, F.pow(F.lit(q), F.col(j)) * F.sum(F.col(x) * F.pow(F.lit(q), -F.col(j))).over(inside)
     )
@@ -74,4 +93,5 @@ def with_ewm(
     carry = F.coalesce(F.max_by(F.col(loc), p).over(prev_block), F.lit(0.0))
     num = F.col(loc) + F.pow(F.lit(q), F.col(j) + 1) * carry
     den = (F.lit(1.0) - F.pow(F.lit(q), p.cast("double") + 1)) / F.lit(1.0 - q)
-    return df.withColumn(out, num / den).drop(blk, j, loc)
+    df = df.withColumn(out, num / den).drop(j, loc)
+    return df if blk == shared_name else df.drop(blk)

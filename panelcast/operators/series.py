@@ -27,7 +27,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LAYOUT_COLUMNS = ["_seg", "_pos", "_halo"]
+LAYOUT_COLUMNS = ["_seg", "_pos", "_blk", "_halo"]
 
 
 @dataclass(frozen=True)
@@ -53,9 +53,21 @@ class SeriesFrame:
     df: DataFrame
     layout: SeriesLayout
     segmented: bool = False
+    positioned: bool = False
 
     def window(self):
-        return Window.partitionBy(self.layout.key, "_seg").orderBy(self.layout.order)
+        """The per-series window.  Ordering by (_blk, time) equals ordering by time, and
+        lets the EWM block windows (partitioned by _blk) share the same sort."""
+        return Window.partitionBy(self.layout.key, "_seg").orderBy("_blk", self.layout.order)
+
+    def with_positions(self) -> "SeriesFrame":
+        """Fill _pos (row number in the whole series) and _blk = _pos div halo_rows."""
+        if self.positioned:
+            return self
+        w = Window.partitionBy(self.layout.key, "_seg").orderBy(self.layout.order)
+        d = self.df.withColumn("_pos", F.coalesce(F.col("_pos"), (F.row_number().over(w) - 1).cast("long")))
+        d = d.withColumn("_blk", F.floor(F.col("_pos") / self.layout.halo_rows).cast("long"))
+        return replace(self, df=d, positioned=True)
 
     def with_df(self, df: DataFrame) -> "SeriesFrame":
         return replace(self, df=df)
@@ -78,6 +90,7 @@ def layout_series(df: DataFrame, layout: SeriesLayout | None = None) -> SeriesFr
         return SeriesFrame(out, layout, segmented=False)
 
     keys = F.broadcast(long_keys) if n_long <= layout.broadcast_limit else long_keys
+    # Positions of short series are numbered after the union, inside the main exchange.
     short = df.join(keys, key, "left_anti").withColumns(
         {"_seg": F.lit(0).cast("long"), "_pos": F.lit(None).cast("long"), "_halo": F.lit(False)}
     )
@@ -109,4 +122,6 @@ def layout_series(df: DataFrame, layout: SeriesLayout | None = None) -> SeriesFr
 
 
 def as_series(data: DataFrame | SeriesFrame, layout: SeriesLayout | None = None) -> SeriesFrame:
-    return data if isinstance(data, SeriesFrame) else layout_series(data, layout)
+    """A positioned SeriesFrame (lays out a plain DataFrame first)."""
+    sf = data if isinstance(data, SeriesFrame) else layout_series(data, layout)
+    return sf.with_positions()

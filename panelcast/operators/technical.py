@@ -34,10 +34,10 @@ def log_return(close: str = "Close", prev: str = "_prev_close"):
 def with_return_target(sf: SeriesFrame) -> SeriesFrame:
     """T0, T1, P7 plus the helpers every later level needs (_pos, _is_last, lags)."""
     lay = sf.layout
+    sf = sf.with_positions()
     w = sf.window()
     d = sf.df.withColumns(
         {
-            "_pos": F.coalesce(F.col("_pos"), (F.row_number().over(w) - 1).cast("long")),
             "_prev_close": F.lag("Close").over(w),
             "_next_close": F.lead("Close").over(w),
             "_is_last": F.lead(lay.order).over(w).isNull(),
@@ -117,11 +117,11 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
         }
     )
     part = [key, "_seg"]
-    order, halo = sf.layout.order, sf.layout.halo_rows
-    d = with_ewm(d, "Close", 12, "_ema12", part, order, "_pos", halo)
-    d = with_ewm(d, "Close", 26, "_ema26", part, order, "_pos", halo)
+    order, shared = sf.layout.order, ("_blk", sf.layout.halo_rows)
+    d = with_ewm(d, "Close", 12, "_ema12", part, order, "_pos", shared)
+    d = with_ewm(d, "Close", 26, "_ema26", part, order, "_pos", shared)
     d = d.withColumn("MACD", F.col("_ema12") - F.col("_ema26"))
-    d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", halo)
+    d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", shared)
     d = d.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
     return sf.with_df(d)
 

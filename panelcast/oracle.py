@@ -239,3 +239,50 @@ def rsel(cols: list[str], doubles: set[str] | None = None) -> str:
         else:
             out.append(c)
     return ", ".join(out)
+
+
+# ---------------------------------------------------------------- index features (FIXTURES B)
+
+# TPC-H region names, i.e. the index series of the stand-in data.
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+WI = "PARTITION BY IndexName ORDER BY Date"
+
+
+def region_col(name: str) -> str:
+    return "".join(ch if ch.isalnum() else "_" for ch in name)
+
+
+def index_features_cte() -> str:
+    return f"""
+ib AS ({INDEX_BARS}),
+if1 AS (SELECT regexp_replace(trim(IndexName), '[^A-Za-z0-9]', '_', 'g') AS IndexName, Date, Close,
+  ln(Close / lag(Close) OVER ({WI})) AS Return FROM ib),
+if2 AS (SELECT *, {roll('avg', 'Close', 5, part=WI)} AS MA_5, {roll('avg', 'Close', 20, part=WI)} AS MA_20,
+  {roll('stddev_samp', 'Return', 20, part=WI)} AS Volatility_20 FROM if1),
+ifeat AS (SELECT IndexName, Date, Close, Return, MA_5, MA_20, Volatility_20,
+  {sdiv('Close', 'MA_20')} AS Price_MA20_Ratio FROM if2)"""
+
+
+INDEX_SUFFIXES = ["Close", "Return", "MA_5", "MA_20", "Volatility_20", "Price_MA20_Ratio"]
+
+
+def index_columns_sql() -> list[str]:
+    return [f"{region_col(r)}_{s}" for r in REGIONS for s in INDEX_SUFFIXES]
+
+
+def full_panel_cte() -> str:
+    """lagp LEFT JOIN wide index table ON Date -> per-ticker forward fill -> 0 (CTE `fullp`)."""
+    wide_cols = ", ".join(
+        f"max(CASE WHEN IndexName = '{region_col(r)}' THEN {s} END) AS {region_col(r)}_{s}"
+        for r in REGIONS
+        for s in INDEX_SUFFIXES
+    )
+    cols = index_columns_sql()
+    up = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ff = ", ".join(f"last_value({c} IGNORE NULLS) OVER {up} AS {c}" for c in cols)
+    cleaned = ", ".join(f"{clean0(c)} AS {c}" for c in cols)
+    return lag_panel_cte() + "," + index_features_cte() + f""",
+wide AS (SELECT Date, {wide_cols} FROM ifeat GROUP BY Date),
+joined AS (SELECT l.*, {", ".join("w." + c for c in cols)} FROM lagp l LEFT JOIN wide w ON l.Date = w.Date),
+filled AS (SELECT * EXCLUDE ({", ".join(cols)}), {ff} FROM joined),
+fullp AS (SELECT * EXCLUDE ({", ".join(cols)}), {cleaned} FROM filled)"""

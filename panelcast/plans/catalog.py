@@ -14,8 +14,10 @@ from ..functions.expr import stable_round
 from ..operators.series import layout_series
 from ..operators.technical import technical_columns, technical_features, with_return_target
 from ..oracle import output_digits
-from ..schema import TECHNICAL_FEATURES
-from ..sources.tpch import bars_from_lineitem
+from ..operators.indices import index_features, join_index_features, wide_index_table
+from ..operators.lags import lag_features
+from ..schema import LAG_FEATURES, TECHNICAL_FEATURES
+from ..sources.tpch import bars_from_lineitem, index_bars_from_orders
 
 KEYS = ["Ticker", "Date"]
 
@@ -86,6 +88,40 @@ def q_technical_panel(spark, sf_dir):
     return rounded(d.select(*KEYS, "Target", "Return", *TECHNICAL_FEATURES))
 
 
+def lagged(spark: SparkSession, sf_dir: str):
+    return lag_features(technical(spark, sf_dir))
+
+
+def q_lag_features(spark, sf_dir):
+    d = lagged(spark, sf_dir).finish()
+    return rounded(d.select(*KEYS, *LAG_FEATURES))
+
+
+def index_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_features(index_bars_from_orders(spark, sf_dir))
+
+
+def q_index_features(spark, sf_dir):
+    return rounded(index_feature_rows(spark, sf_dir))
+
+
+def full(spark: SparkSession, sf_dir: str):
+    """Technical -> lag -> index features, still in series layout."""
+    wide = wide_index_table(index_feature_rows(spark, sf_dir))
+    return join_index_features(lagged(spark, sf_dir), wide)
+
+
+def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full(spark, sf_dir).finish()
+
+
+def q_index_join_ffill(spark, sf_dir):
+    d = full_panel(spark, sf_dir)
+    idx = [c for c in d.columns if c not in set(KEYS) and c not in set(LAG_FEATURES + TECHNICAL_FEATURES)
+           and c not in ("Open", "High", "Low", "Close", "Volume", "Return", "Target")]
+    return rounded(d.select(*KEYS, *idx))
+
+
 def registry() -> dict:
     out = {
         "daily_bars": q_daily_bars,
@@ -94,6 +130,9 @@ def registry() -> dict:
     for name in TECHNICAL_GROUPS:
         out[name] = group_query(name)
     out["technical_panel"] = q_technical_panel
+    out["lag_features"] = q_lag_features
+    out["index_features"] = q_index_features
+    out["index_join_ffill"] = q_index_join_ffill
     return out
 
 

@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from ..oracle import BARS, rsel, technical_all_sql, technical_panel_cte, with_ctes
-from ..schema import TECHNICAL_FEATURES
+from ..oracle import (
+    BARS,
+    INDEX_SUFFIXES,
+    full_panel_cte,
+    index_columns_sql,
+    index_features_cte,
+    lag_panel_cte,
+    rsel,
+    technical_all_sql,
+    technical_panel_cte,
+    with_ctes,
+)
+from ..schema import LAG_FEATURES, TECHNICAL_FEATURES
 from .catalog import TECHNICAL_GROUPS
 
 KEYS = "Ticker, Date"
@@ -28,6 +39,18 @@ def sql_technical_panel() -> str:
     )
 
 
+def sql_lag_features() -> str:
+    return with_ctes(lag_panel_cte(), f"SELECT {KEYS}, {rsel(LAG_FEATURES)} FROM lagp")
+
+
+def sql_index_features() -> str:
+    return with_ctes(index_features_cte(), f"SELECT IndexName, Date, {rsel(INDEX_SUFFIXES)} FROM ifeat")
+
+
+def sql_index_join_ffill() -> str:
+    return with_ctes(full_panel_cte(), f"SELECT {KEYS}, {rsel(index_columns_sql())} FROM fullp")
+
+
 def registry() -> dict[str, str]:
     out = {
         "daily_bars": sql_daily_bars(),
@@ -36,4 +59,7 @@ def registry() -> dict[str, str]:
     for name in TECHNICAL_GROUPS:
         out[name] = sql_group(name)
     out["technical_panel"] = sql_technical_panel()
+    out["lag_features"] = sql_lag_features()
+    out["index_features"] = sql_index_features()
+    out["index_join_ffill"] = sql_index_join_ffill()
     return out
