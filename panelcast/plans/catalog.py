@@ -16,6 +16,15 @@ from ..operators.technical import technical_columns, technical_features, with_re
 from ..oracle import output_digits
 from ..operators.indices import index_features, join_index_features, wide_index_table
 from ..operators.lags import lag_features
+from ..operators.splits import (
+    calendar_split_folds,
+    equal_split_folds,
+    final_test_frame,
+    split_summary,
+)
+from ..operators import evaluate as ev
+from ..operators.summary import class_balance, panel_summary
+from .rules import fold_rule_predictions, rule_predictions
 from ..schema import LAG_FEATURES, TECHNICAL_FEATURES
 from ..sources.tpch import bars_from_lineitem, index_bars_from_orders
 
@@ -122,6 +131,133 @@ def q_index_join_ffill(spark, sf_dir):
     return rounded(d.select(*KEYS, *idx))
 
 
+def technical_rows(spark, sf_dir) -> DataFrame:
+    return technical(spark, sf_dir).finish()
+
+
+def q_panel_summary(spark, sf_dir):
+    d = full_panel(spark, sf_dir)
+    names = [r[0] for r in index_feature_rows(spark, sf_dir).select("IndexName").distinct().collect()]
+    return rounded(panel_summary(d, names))
+
+
+def q_class_balance(spark, sf_dir):
+    return rounded(class_balance(technical_rows(spark, sf_dir)))
+
+
+def q_equal_splits(spark, sf_dir):
+    panel = technical_rows(spark, sf_dir)
+    folds, _ = equal_split_folds(panel, n_splits=5, test_fraction=0.2)
+    return split_summary(panel, folds, min_val_rows=1000)
+
+
+def q_calendar_splits(spark, sf_dir):
+    panel = technical_rows(spark, sf_dir)
+    folds = calendar_split_folds(panel, train_years=6, val_months=6, n_splits=5)
+    return split_summary(panel, folds, min_val_rows=1000)
+
+
+def q_final_test_split(spark, sf_dir):
+    test = final_test_frame(technical_rows(spark, sf_dir), test_fraction=0.2)
+    return test.agg(
+        F.min("Date").alias("test_start"),
+        F.max("Date").alias("test_end"),
+        F.count(F.lit(1)).alias("test_samples"),
+        F.countDistinct("Ticker").alias("test_stocks"),
+        F.sum((F.col("Target") == 0).cast("long")).alias("test_down"),
+        F.sum((F.col("Target") == 1).cast("long")).alias("test_up"),
+    )
+
+
+def q_calendar_splits_4y(spark, sf_dir):
+    """K3 with a 4-year training start: the reference's 6 years leave no fold here."""
+    panel = technical_rows(spark, sf_dir)
+    folds = calendar_split_folds(panel, train_years=4, val_months=6, n_splits=5)
+    return split_summary(panel, folds, min_val_rows=1000)
+
+
+EVAL_KEYS = ["model", "fold"]
+
+
+def test_predictions(spark, sf_dir) -> DataFrame:
+    """Rule scores on the final test period of the technical panel."""
+    return rule_predictions(final_test_frame(technical_rows(spark, sf_dir), 0.2), "test")
+
+
+def validation_predictions(spark, sf_dir) -> DataFrame:
+    """Rule scores on the validation window of every equal-size fold."""
+    panel = technical_rows(spark, sf_dir)
+    folds, _ = equal_split_folds(panel, 5, 0.2)
+    return fold_rule_predictions(panel, split_summary(panel, folds, 1000))
+
+
+def q_confusion_matrix(spark, sf_dir):
+    return ev.confusion(test_predictions(spark, sf_dir), EVAL_KEYS)
+
+
+def q_binary_metrics(spark, sf_dir):
+    return rounded(ev.binary_metrics(ev.confusion(test_predictions(spark, sf_dir), EVAL_KEYS)))
+
+
+def q_classification_report(spark, sf_dir):
+    return rounded(ev.classification_report(ev.confusion(test_predictions(spark, sf_dir), EVAL_KEYS), EVAL_KEYS))
+
+
+def q_confusion_breakdown(spark, sf_dir):
+    return rounded(ev.confusion_breakdown(ev.confusion(test_predictions(spark, sf_dir), EVAL_KEYS), EVAL_KEYS))
+
+
+def test_curve(spark, sf_dir) -> DataFrame:
+    return ev.score_curve(test_predictions(spark, sf_dir), EVAL_KEYS)
+
+
+def q_roc_curve(spark, sf_dir):
+    return rounded(ev.roc_points(test_curve(spark, sf_dir), EVAL_KEYS))
+
+
+def q_roc_auc(spark, sf_dir):
+    return rounded(ev.roc_auc(test_curve(spark, sf_dir), EVAL_KEYS))
+
+
+def q_pr_curve(spark, sf_dir):
+    return rounded(ev.pr_points(test_curve(spark, sf_dir), EVAL_KEYS))
+
+
+def q_pr_by_threshold(spark, sf_dir):
+    return rounded(ev.pr_points(test_curve(spark, sf_dir), EVAL_KEYS, with_end=False))
+
+
+def q_average_precision(spark, sf_dir):
+    return rounded(ev.average_precision(test_curve(spark, sf_dir), EVAL_KEYS))
+
+
+def q_performance_band(spark, sf_dir):
+    return rounded(ev.performance_bands(test_curve(spark, sf_dir), EVAL_KEYS))
+
+
+def q_youden_threshold(spark, sf_dir):
+    return rounded(ev.youden_threshold(test_curve(spark, sf_dir), EVAL_KEYS))
+
+
+def q_f1_threshold(spark, sf_dir):
+    return rounded(ev.f1_threshold(test_curve(spark, sf_dir), EVAL_KEYS))
+
+
+def q_model_comparison(spark, sf_dir):
+    metrics = ev.fold_metrics(test_predictions(spark, sf_dir), EVAL_KEYS)
+    return rounded(ev.model_comparison(metrics))
+
+
+def q_fold_metric_summary(spark, sf_dir):
+    metrics = ev.fold_metrics(validation_predictions(spark, sf_dir), EVAL_KEYS)
+    return rounded(ev.fold_metric_summary(metrics))
+
+
+def q_fold_auc_table(spark, sf_dir):
+    metrics = ev.fold_metrics(validation_predictions(spark, sf_dir), EVAL_KEYS)
+    return rounded(ev.fold_comparison(metrics, "auc", ["1", "2", "3", "4", "5"]))
+
+
 def registry() -> dict:
     out = {
         "daily_bars": q_daily_bars,
@@ -133,6 +269,27 @@ def registry() -> dict:
     out["lag_features"] = q_lag_features
     out["index_features"] = q_index_features
     out["index_join_ffill"] = q_index_join_ffill
+    out["panel_summary"] = q_panel_summary
+    out["class_balance"] = q_class_balance
+    out["equal_splits"] = q_equal_splits
+    out["calendar_splits"] = q_calendar_splits
+    out["final_test_split"] = q_final_test_split
+    out["calendar_splits_4y"] = q_calendar_splits_4y
+    out["confusion_matrix"] = q_confusion_matrix
+    out["binary_metrics"] = q_binary_metrics
+    out["classification_report"] = q_classification_report
+    out["confusion_breakdown"] = q_confusion_breakdown
+    out["roc_curve"] = q_roc_curve
+    out["roc_auc"] = q_roc_auc
+    out["pr_curve"] = q_pr_curve
+    out["pr_by_threshold"] = q_pr_by_threshold
+    out["average_precision"] = q_average_precision
+    out["performance_band"] = q_performance_band
+    out["youden_threshold"] = q_youden_threshold
+    out["f1_threshold"] = q_f1_threshold
+    out["model_comparison"] = q_model_comparison
+    out["fold_metric_summary"] = q_fold_metric_summary
+    out["fold_auc_table"] = q_fold_auc_table
     return out
 
 
