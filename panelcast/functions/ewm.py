@@ -52,46 +52,62 @@ def ewm_block_rows(span: float, preferred: int | None = None) -> int:
     return b
 
 
-def with_ewm(
+def with_ewms(
     df: DataFrame,
-    x: str,
-    span: float,
-    out: str,
+    specs: list[tuple[str, float, str]],
     partition: list[str],
     order: str,
     pos: str,
     shared_block: tuple[str, int],
 ) -> DataFrame:
-    """Add column `out` = EWM(span) of column `x`.
+    """Add one column per (x, span, out) = EWM(span) of column x.
 
     `partition` are the series partition columns, `pos` the 0-based row number of the
     row within its whole series (not within a segment).  `shared_block` names the
     layout's block column and its length (= the halo length); it is used whenever the
     span allows, so all EWMs and the other windows share one sort.  Rows of a
     partition cover whole blocks except at the start, which is either the series
-    start or a halo of whole blocks (see operators.series).
+    start or a halo of whole blocks (see operators.series).  Independent EWMs given
+    together share their two window levels (block sums, then block carries).
     """
-    q = ewm_decay(span)
-    if q == 0.0:
-        return df.withColumn(out, F.col(x).cast("double"))
     shared_name, shared_rows = shared_block
-    b = ewm_block_rows(span, shared_rows)
-    if b > shared_rows:
-        raise ValueError(f"span {span} needs {b}-row blocks; the layout halo holds {shared_rows}")
     p = F.col(pos)
-    blk, j, loc = (shared_name if b == shared_rows else f"_{out}_blk"), f"_{out}_j", f"_{out}_loc"
-    if blk not in df.columns:
-        df = df.withColumns({blk: F.floor(p / b).cast("long")})
-    df = df.withColumns({j: (p - F.col(blk) * b).cast("double")})
-    inside = (
-        Window.partitionBy(*partition, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    df = df.withColumn(
-        loc, F.pow(F.lit(q), F.col(j)) * F.sum(F.col(x) * F.pow(F.lit(q), -F.col(j))).over(inside)
-    )
-    prev_block = Window.partitionBy(*partition).orderBy(blk).rangeBetween(-1, -1)
-    carry = F.coalesce(F.max_by(F.col(loc), p).over(prev_block), F.lit(0.0))
-    num = F.col(loc) + F.pow(F.lit(q), F.col(j) + 1) * carry
-    den = (F.lit(1.0) - F.pow(F.lit(q), p.cast("double") + 1)) / F.lit(1.0 - q)
-    df = df.withColumn(out, num / den).drop(j, loc)
-    return df if blk == shared_name else df.drop(blk)
+    plans = []
+    for x, span, out in specs:
+        q = ewm_decay(span)
+        if q == 0.0:
+            df = df.withColumn(out, F.col(x).cast("double"))
+            continue
+        b = ewm_block_rows(span, shared_rows)
+        if b > shared_rows:
+            raise ValueError(f"span {span} needs {b}-row blocks; the layout halo holds {shared_rows}")
+        blk = shared_name if b == shared_rows else f"_{out}_blk"
+        if blk not in df.columns:
+            df = df.withColumn(blk, F.floor(p / b).cast("long"))
+        plans.append((x, q, b, out, blk))
+    if not plans:
+        return df
+
+    def j(b, blk):
+        return (p - F.col(blk) * b).cast("double")
+
+    local = {}
+    for x, q, b, out, blk in plans:
+        inside = Window.partitionBy(*partition, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        local[f"_{out}_loc"] = F.pow(F.lit(q), j(b, blk)) * F.sum(F.col(x) * F.pow(F.lit(q), -j(b, blk))).over(inside)
+    df = df.withColumns(local)
+    final = {}
+    for x, q, b, out, blk in plans:
+        prev_block = Window.partitionBy(*partition).orderBy(blk).rangeBetween(-1, -1)
+        carry = F.coalesce(F.max_by(F.col(f"_{out}_loc"), p).over(prev_block), F.lit(0.0))
+        num = F.col(f"_{out}_loc") + F.pow(F.lit(q), j(b, blk) + 1) * carry
+        den = (F.lit(1.0) - F.pow(F.lit(q), p.cast("double") + 1)) / F.lit(1.0 - q)
+        final[out] = num / den
+    df = df.withColumns(final).drop(*local)
+    own = {blk for *_, blk in plans if blk != shared_name}
+    return df.drop(*own) if own else df
+
+
+def with_ewm(df, x, span, out, partition, order, pos, shared_block) -> DataFrame:
+    """Single-column form of with_ewms."""
+    return with_ewms(df, [(x, span, out)], partition, order, pos, shared_block)

@@ -56,7 +56,7 @@ def rolling_skew(x: str | Column, n: int, w: WindowSpec) -> Column:
     frame = rows_frame(w, n)
     full = F.count(x).over(frame) == n
     var = F.var_pop(x).over(frame)
-    flat = F.max(x).over(frame) == F.min(x).over(frame)
+    flat = var == 0  # the central second moment stays exactly 0 only for identical values
     g1 = F.skewness(x).over(frame) * F.lit((n * (n - 1)) ** 0.5 / (n - 2))
     return F.when(full & flat, F.lit(0.0)).when(full & (var > 1e-14), g1)
 
@@ -67,7 +67,7 @@ def rolling_kurt(x: str | Column, n: int, w: WindowSpec) -> Column:
     frame = rows_frame(w, n)
     full = F.count(x).over(frame) == n
     var = F.var_pop(x).over(frame)
-    flat = F.max(x).over(frame) == F.min(x).over(frame)
+    flat = var == 0
     g2 = F.kurtosis(x).over(frame)
     g2c = ((n + 1) * g2 + 6) * F.lit((n - 1) / ((n - 2) * (n - 3)))
     return F.when(full & flat, F.lit(-3.0)).when(full & (var > 1e-14), g2c)

@@ -121,7 +121,9 @@ def layout_series(df: DataFrame, layout: SeriesLayout | None = None) -> SeriesFr
     return SeriesFrame(short.unionByName(long_out), layout, segmented=True)
 
 
-def as_series(data: DataFrame | SeriesFrame, layout: SeriesLayout | None = None) -> SeriesFrame:
-    """A positioned SeriesFrame (lays out a plain DataFrame first)."""
+def as_series(
+    data: DataFrame | SeriesFrame, layout: SeriesLayout | None = None, positioned: bool = True
+) -> SeriesFrame:
+    """A SeriesFrame (lays out a plain DataFrame first), positioned unless asked not to."""
     sf = data if isinstance(data, SeriesFrame) else layout_series(data, layout)
-    return sf.with_positions()
+    return sf.with_positions() if positioned else sf

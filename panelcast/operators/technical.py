@@ -13,7 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ewm import with_ewm
+from dataclasses import replace
+
+from pyspark.sql import Window
+
+from ..functions.ewm import with_ewm, with_ewms
 from ..functions.expr import (
     clean,
     roll,
@@ -31,29 +35,39 @@ def log_return(close: str = "Close", prev: str = "_prev_close"):
     return F.log(F.col(close) / F.col(prev))
 
 
+CLOSE_LAGS = (1, 2, 3, 5, 6, 10, 20)
+
+
 def with_return_target(sf: SeriesFrame) -> SeriesFrame:
-    """T0, T1, P7 plus the helpers every later level needs (_pos, _is_last, lags)."""
+    """T0, T1, P7 plus the helpers later levels need (_pos, _blk, _is_last, lagged
+    closes and the lagged returns of the autocorrelations).
+
+    Row numbering, lags and leads share one window level ordered by time; the lagged
+    returns ln(C_{t-k} / C_{t-k-1}) are projections of lagged closes, bit-identical
+    to lag(Return, k), so the autocorrelations need no extra level.
+    """
     lay = sf.layout
-    sf = sf.with_positions()
-    w = sf.window()
-    d = sf.df.withColumns(
-        {
-            "_prev_close": F.lag("Close").over(w),
-            "_next_close": F.lead("Close").over(w),
-            "_is_last": F.lead(lay.order).over(w).isNull(),
-            "_close_5": F.lag("Close", 5).over(w),
-            "_close_10": F.lag("Close", 10).over(w),
-            "_close_20": F.lag("Close", 20).over(w),
-        }
-    )
+    w0 = Window.partitionBy(lay.key, "_seg").orderBy(lay.order)
+    first = {
+        "_next_close": F.lead("Close").over(w0),
+        "_is_last": F.lead(lay.order).over(w0).isNull(),
+        **{f"_close_{k}": F.lag("Close", k).over(w0) for k in CLOSE_LAGS},
+    }
+    if not sf.positioned:
+        first["_pos"] = F.coalesce(F.col("_pos"), (F.row_number().over(w0) - 1).cast("long"))
+    d = sf.df.withColumns(first)
+    if not sf.positioned:
+        d = d.withColumn("_blk", F.floor(F.col("_pos") / lay.halo_rows).cast("long"))
     d = d.withColumns(
         {
-            "Return": log_return(),
+            "_prev_close": F.col("_close_1"),
+            "Return": log_return("Close", "_close_1"),
             # NaN > 0 is false in the reference, so a missing next return gives 0.
             "Target": F.coalesce((F.log(F.col("_next_close") / F.col("Close")) > 0).cast("int"), F.lit(0)),
+            **{f"_ret_lag_{k}": log_return(f"_close_{k}", f"_close_{k + 1}") for k in (1, 2, 5)},
         }
     )
-    return sf.with_df(d)
+    return replace(sf, df=d, positioned=True)
 
 
 def technical_columns(sf: SeriesFrame) -> SeriesFrame:
@@ -67,9 +81,6 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
         {
             "_gain": F.when(delta > 0, delta).otherwise(F.lit(0.0)),
             "_loss": F.when(delta < 0, -delta).otherwise(F.lit(0.0)),
-            "_ret_lag_1": F.lag("Return", 1).over(w),
-            "_ret_lag_2": F.lag("Return", 2).over(w),
-            "_ret_lag_5": F.lag("Return", 5).over(w),
         }
     )
     ma = {n: roll(F.avg, close, n, w) for n in (5, 10, 20, 50)}
@@ -118,8 +129,7 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
     )
     part = [key, "_seg"]
     order, shared = sf.layout.order, ("_blk", sf.layout.halo_rows)
-    d = with_ewm(d, "Close", 12, "_ema12", part, order, "_pos", shared)
-    d = with_ewm(d, "Close", 26, "_ema26", part, order, "_pos", shared)
+    d = with_ewms(d, [("Close", 12, "_ema12"), ("Close", 26, "_ema26")], part, order, "_pos", shared)
     d = d.withColumn("MACD", F.col("_ema12") - F.col("_ema26"))
     d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", shared)
     d = d.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
@@ -132,8 +142,8 @@ def technical_features(data: DataFrame | SeriesFrame, layout: SeriesLayout | Non
     Drops each series' last row (P8), then rows with any undefined value (P9), then
     sets +-inf to 0 (P12 + P11).  Call .finish() for a plain DataFrame.
     """
-    sf = as_series(data, layout)
-    base = [c for c in sf.df.columns]
+    sf = as_series(data, layout, positioned=False)
+    base = [c for c in sf.df.columns if c != "_blk"] + ["_blk"]
     sf = technical_columns(with_return_target(sf))
     keep = base + ["Return", "Target"] + TECHNICAL_FEATURES
     required = ["Open", "High", "Low", "Close", "Volume", "Return"] + TECHNICAL_FEATURES

@@ -6,11 +6,16 @@ named and rounded exactly like the matching SQL in `plans.oracle_queries`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import stable_round
+from ..operators.models import BOOSTED, FOREST, LOGISTIC, ModelSettings
+from ..session import checkpoint_dir, materialize
+from .validation import date_filter, metrics_table, run_final, run_validation, score_saved, store_panel
 from ..operators.series import layout_series
 from ..operators.technical import technical_columns, technical_features, with_return_target
 from ..oracle import output_digits
@@ -20,6 +25,7 @@ from ..operators.splits import (
     calendar_split_folds,
     equal_split_folds,
     final_test_frame,
+    final_test_start,
     split_summary,
 )
 from ..operators import evaluate as ev
@@ -135,6 +141,12 @@ def technical_rows(spark, sf_dir) -> DataFrame:
     return technical(spark, sf_dir).finish()
 
 
+def stored_technical(spark, sf_dir) -> DataFrame:
+    """The technical panel written once to the checkpoint folder, for queries that
+    read it several times (calendar, fold table, final plan)."""
+    return materialize(technical_rows(spark, sf_dir), "technical")
+
+
 def q_panel_summary(spark, sf_dir):
     d = full_panel(spark, sf_dir)
     names = [r[0] for r in index_feature_rows(spark, sf_dir).select("IndexName").distinct().collect()]
@@ -146,19 +158,19 @@ def q_class_balance(spark, sf_dir):
 
 
 def q_equal_splits(spark, sf_dir):
-    panel = technical_rows(spark, sf_dir)
+    panel = stored_technical(spark, sf_dir)
     folds, _ = equal_split_folds(panel, n_splits=5, test_fraction=0.2)
     return split_summary(panel, folds, min_val_rows=1000)
 
 
 def q_calendar_splits(spark, sf_dir):
-    panel = technical_rows(spark, sf_dir)
+    panel = stored_technical(spark, sf_dir)
     folds = calendar_split_folds(panel, train_years=6, val_months=6, n_splits=5)
     return split_summary(panel, folds, min_val_rows=1000)
 
 
 def q_final_test_split(spark, sf_dir):
-    test = final_test_frame(technical_rows(spark, sf_dir), test_fraction=0.2)
+    test = final_test_frame(stored_technical(spark, sf_dir), test_fraction=0.2)
     return test.agg(
         F.min("Date").alias("test_start"),
         F.max("Date").alias("test_end"),
@@ -171,7 +183,7 @@ def q_final_test_split(spark, sf_dir):
 
 def q_calendar_splits_4y(spark, sf_dir):
     """K3 with a 4-year training start: the reference's 6 years leave no fold here."""
-    panel = technical_rows(spark, sf_dir)
+    panel = stored_technical(spark, sf_dir)
     folds = calendar_split_folds(panel, train_years=4, val_months=6, n_splits=5)
     return split_summary(panel, folds, min_val_rows=1000)
 
@@ -181,12 +193,12 @@ EVAL_KEYS = ["model", "fold"]
 
 def test_predictions(spark, sf_dir) -> DataFrame:
     """Rule scores on the final test period of the technical panel."""
-    return rule_predictions(final_test_frame(technical_rows(spark, sf_dir), 0.2), "test")
+    return rule_predictions(final_test_frame(stored_technical(spark, sf_dir), 0.2), "test")
 
 
 def validation_predictions(spark, sf_dir) -> DataFrame:
     """Rule scores on the validation window of every equal-size fold."""
-    panel = technical_rows(spark, sf_dir)
+    panel = stored_technical(spark, sf_dir)
     folds, _ = equal_split_folds(panel, 5, 0.2)
     return fold_rule_predictions(panel, split_summary(panel, folds, 1000))
 
@@ -258,6 +270,49 @@ def q_fold_auc_table(spark, sf_dir):
     return rounded(ev.fold_comparison(metrics, "auc", ["1", "2", "3", "4", "5"]))
 
 
+# Learner settings of the registered model queries: fewer and shallower trees than the
+# library defaults (the reference's values) so a fold trains in seconds on one machine.
+QUERY_MODELS = ModelSettings(lr_max_iter=200, rf_trees=20, rf_max_depth=6, gbt_iter=15, gbt_max_depth=4)
+
+
+def stored_full(spark, sf_dir) -> DataFrame:
+    return store_panel(full_panel(spark, sf_dir), "full")
+
+
+def _fold_query(model_name: str):
+    def run(spark, sf_dir):
+        panel = stored_full(spark, sf_dir)
+        folds, _ = equal_split_folds(panel, 5, 0.2)
+        summary = split_summary(panel, folds, 1000)
+        preds = run_validation(panel, summary, QUERY_MODELS, [model_name], folds=[1])
+        return rounded(metrics_table(preds))
+
+    run.__doc__ = f"M8: {model_name} fitted on fold 1's training rows, metrics on its validation rows."
+    return run
+
+
+def q_final_models(spark, sf_dir):
+    """M9 + M12: all three learners refitted on the last fold, scored on the final test."""
+    panel = stored_full(spark, sf_dir)
+    folds, plan = equal_split_folds(panel, 5, 0.2)
+    summary = split_summary(panel, folds, 1000)
+    start = final_test_start(panel, 0.2)
+    preds = run_final(panel, summary, start, QUERY_MODELS)
+    return rounded(metrics_table(preds))
+
+
+def q_saved_model_roundtrip(spark, sf_dir):
+    """S9 + S10 + E19: fit, save under the checkpoint folder, load back, score the test."""
+    panel = stored_full(spark, sf_dir)
+    folds, _ = equal_split_folds(panel, 5, 0.2)
+    summary = split_summary(panel, folds, 1000)
+    model_dir = f"{checkpoint_dir(spark)}/panelcast/models-{uuid.uuid4().hex}"
+    run_validation(panel, summary, QUERY_MODELS, [LOGISTIC], model_dir=model_dir, folds=[1])
+    test = date_filter(panel, lo=final_test_start(panel, 0.2))
+    preds = score_saved(model_dir, test, ["1", "final"], [LOGISTIC])
+    return rounded(metrics_table(preds))
+
+
 def registry() -> dict:
     out = {
         "daily_bars": q_daily_bars,
@@ -290,6 +345,11 @@ def registry() -> dict:
     out["model_comparison"] = q_model_comparison
     out["fold_metric_summary"] = q_fold_metric_summary
     out["fold_auc_table"] = q_fold_auc_table
+    out["logreg_fold"] = _fold_query(LOGISTIC)
+    out["random_forest_fold"] = _fold_query(FOREST)
+    out["gbt_fold"] = _fold_query(BOOSTED)
+    out["final_models"] = q_final_models
+    out["saved_model_roundtrip"] = q_saved_model_roundtrip
     return out
 
 

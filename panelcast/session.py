@@ -32,12 +32,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir (must be set on a cluster)."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    On a cluster the setting names shared storage and is used as given.  Where it is
+    unset (local runs, tests) it is set once to `_checkpoints` under the session's
+    warehouse directory - the session's own storage, never a machine temp folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not path:
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        path = f"{warehouse}/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
