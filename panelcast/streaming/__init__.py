@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming input, watermark, time window or state (all input is
+batch CSV), so there is no streaming operator to rebuild.  The batch operators here
+are plain DataFrame transforms; nothing in them prevents use inside foreachBatch.
+"""
