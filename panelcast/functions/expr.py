@@ -46,56 +46,6 @@ def roll(fn, x: str | Column, n: int, w: WindowSpec, end: int = 0) -> Column:
     return F.when(F.count(x).over(frame) == n, fn(x).over(frame))
 
 
-def rolling_skew(x: str | Column, n: int, w: WindowSpec) -> Column:
-    """Bias-corrected sample skewness (G1) over n rows, pandas rules.
-
-    A window of identical values gives 0; a variance at or below 1e-14 otherwise
-    gives null (pandas' floating-point guard).
-    """
-    x = col(x)
-    frame = rows_frame(w, n)
-    full = F.count(x).over(frame) == n
-    var = F.var_pop(x).over(frame)
-    flat = var == 0  # the central second moment stays exactly 0 only for identical values
-    g1 = F.skewness(x).over(frame) * F.lit((n * (n - 1)) ** 0.5 / (n - 2))
-    return F.when(full & flat, F.lit(0.0)).when(full & (var > 1e-14), g1)
-
-
-def rolling_kurt(x: str | Column, n: int, w: WindowSpec) -> Column:
-    """Bias-corrected sample excess kurtosis (G2) over n rows, pandas rules (flat -> -3)."""
-    x = col(x)
-    frame = rows_frame(w, n)
-    full = F.count(x).over(frame) == n
-    var = F.var_pop(x).over(frame)
-    flat = var == 0
-    g2 = F.kurtosis(x).over(frame)
-    g2c = ((n + 1) * g2 + 6) * F.lit((n - 1) / ((n - 2) * (n - 3)))
-    return F.when(full & flat, F.lit(-3.0)).when(full & (var > 1e-14), g2c)
-
-
-def pearson(x: Column, y: Column, frame: WindowSpec) -> Column:
-    """Pearson correlation over a frame, null when either side is constant.
-
-    Built from covar_pop / var_pop so that a flat window cannot raise DIVIDE_BY_ZERO
-    under ANSI mode; clipped to [-1, 1] like numpy.corrcoef.
-    """
-    vx = F.var_pop(x).over(frame)
-    vy = F.var_pop(y).over(frame)
-    r = F.covar_pop(x, y).over(frame) / F.sqrt(vx * vy)
-    return F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-
-
-def rolling_autocorr(r: str | Column, lagged: str | Column, n: int, k: int, w: WindowSpec) -> Column:
-    """pandas rolling(n).apply(lambda s: s.autocorr(k)).
-
-    `lagged` must be lag(r, k) over the same window.  The n-row window holds n - k
-    pairs (r_i, r_{i-k}); the result is defined only when all n values are present.
-    """
-    r, lagged = col(r), col(lagged)
-    full = F.count(r).over(rows_frame(w, n)) == n
-    return F.when(full, pearson(r, lagged, rows_frame(w, n - k)))
-
-
 def finite_or_zero(x: str | Column) -> Column:
     """null, NaN, +-inf -> 0.0 (numpy.nan_to_num with all replacements 0)."""
     x = col(x)

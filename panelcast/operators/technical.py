@@ -18,14 +18,7 @@ from dataclasses import replace
 from pyspark.sql import Window
 
 from ..functions.ewm import with_ewm, with_ewms
-from ..functions.expr import (
-    clean,
-    roll,
-    rolling_autocorr,
-    rolling_kurt,
-    rolling_skew,
-    safe_div,
-)
+from ..functions.expr import clean, roll, safe_div
 from ..schema import TECHNICAL_FEATURES
 from .series import SeriesFrame, SeriesLayout, as_series
 
@@ -70,6 +63,81 @@ def with_return_target(sf: SeriesFrame) -> SeriesFrame:
     return replace(sf, df=d, positioned=True)
 
 
+AUTOCORR_LAGS = (1, 2, 5)
+
+
+def running_moment_sums(w) -> dict:
+    """Running sums of r, r^2, r^3, r^4, r * r_{t-k} and of equal consecutive returns.
+
+    Running frames are computed incrementally (O(n)); window sums are then differences
+    of a running sum and its lag.  This is how pandas computes rolling skew / kurtosis
+    (moving power sums) and avoids re-aggregating a sliding frame for every row.
+    """
+    ret = F.col("Return")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def total(x):
+        return F.coalesce(F.sum(x).over(run), F.lit(0.0))
+
+    return {
+        "_cn": F.count(ret).over(run),
+        "_c1": total(ret),
+        "_c2": total(ret * ret),
+        "_c3": total(ret * ret * ret),
+        "_c4": total(ret * ret * ret * ret),
+        "_ceq": F.coalesce(F.sum((ret == F.col("_ret_lag_1")).cast("long")).over(run), F.lit(0)),
+        **{f"_cx{k}": total(ret * F.col(f"_ret_lag_{k}")) for k in AUTOCORR_LAGS},
+    }
+
+
+def moment_features(w) -> dict:
+    """T20 (W6, W7) and T21 (W8) from the running sums.
+
+    Skew / kurtosis over 10 returns follow pandas: identical values give 0 / -3, a
+    second central moment at or below 1e-14 gives null, otherwise the bias-corrected
+    G1 / G2 from raw moments.  Autocorr_k is the Pearson correlation of the 20 - k
+    pairs (r_i, r_{i-k}) inside the 20-row window, null when either side is flat.
+    """
+
+    def back(c, m):
+        return F.lag(c, m).over(w) if m else F.col(c)
+
+    def span(c, end, n):
+        """Sum over the n rows ending `end` rows back."""
+        return back(c, end) - F.coalesce(back(c, end + n), F.lit(0))
+
+    def full(n):
+        return span("_cn", 0, n) == n
+
+    def flat(end, n):
+        """True when the n returns ending `end` rows back are all equal."""
+        return span("_ceq", end, n - 1) == n - 1
+
+    out = {}
+    n = 10.0
+    a = span("_c1", 0, 10) / n
+    b = span("_c2", 0, 10) / n - a * a
+    c = span("_c3", 0, 10) / n - a * a * a - 3 * a * b
+    d = span("_c4", 0, 10) / n - a * a * a * a - 6 * b * a * a - 4 * c * a
+    g1 = (F.lit((n * (n - 1)) ** 0.5) * c) / (F.lit(n - 2) * F.pow(F.sqrt(b), 3))
+    g2 = (F.lit(n * n - 1) * d / (b * b) - F.lit(3 * (n - 1) ** 2)) / F.lit((n - 2) * (n - 3))
+    ok = full(10) & ~flat(0, 10) & (b > 1e-14)
+    out["Return_Skew_10"] = F.when(full(10) & flat(0, 10), F.lit(0.0)).when(ok, g1)
+    out["Return_Kurt_10"] = F.when(full(10) & flat(0, 10), F.lit(-3.0)).when(ok, g2)
+    for k in AUTOCORR_LAGS:
+        m = 20 - k
+        sx, sxx = span("_c1", 0, m), span("_c2", 0, m)
+        sy, syy = span("_c1", k, m), span("_c2", k, m)
+        sxy = span(f"_cx{k}", 0, m)
+        mx, my = sx / m, sy / m
+        cov = sxy / m - mx * my
+        vx, vy = sxx / m - mx * mx, syy / m - my * my
+        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(vx * vy)))
+        defined = full(20) & ~flat(0, m) & ~flat(k, m) & (vx > 0) & (vy > 0)
+        out[f"Autocorr_{k}"] = F.when(defined, r)
+    return out
+
+
 def technical_columns(sf: SeriesFrame) -> SeriesFrame:
     """Add the 49 indicator columns (rows not yet filtered)."""
     w = sf.window()
@@ -101,11 +169,10 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
         "High_20": roll(F.max, high, 20, w),
         "Low_20": roll(F.min, low, 20, w),
         **{f"Return_MA_{n}": roll(F.avg, ret, n, w) for n in (5, 10, 20)},
-        "Return_Skew_10": rolling_skew(ret, 10, w),
-        "Return_Kurt_10": rolling_kurt(ret, 10, w),
-        **{f"Autocorr_{k}": rolling_autocorr(ret, f"_ret_lag_{k}", 20, k, w) for k in (1, 2, 5)},
+        **running_moment_sums(w),
     }
     d = d.withColumns(cols)
+    d = d.withColumns(moment_features(w))
     d = d.withColumns(
         {
             **{f"Volume_Ratio_{n}": safe_div(vol, f"Volume_MA_{n}") for n in (5, 10, 20)},
