@@ -35,7 +35,7 @@ def panel_summary(panel: DataFrame, index_names: list[str] | None = None, key: s
         F.avg("Return").alias("return_mean"),
         F.stddev_samp("Return").alias("return_std"),
     )
-    out = out.withColumn("rows_per_ticker", F.col("rows") / F.col("tickers"))
+    out = out.withColumn("rows_per_ticker", F.try_divide(F.col("rows"), F.col("tickers")).cast("double"))
     return out.withColumns({k: F.lit(v).cast("long") for k, v in fam.items()})
 
 

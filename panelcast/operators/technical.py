@@ -24,8 +24,9 @@ from .series import SeriesFrame, SeriesLayout, as_series
 
 
 def log_return(close: str = "Close", prev: str = "_prev_close"):
-    """ln(Close_t / Close_{t-1}); prices are validated positive upstream."""
-    return F.log(F.col(close) / F.col(prev))
+    """ln(Close_t / Close_{t-1}); prices are validated positive upstream, and a zero
+    previous price gives +inf (as numpy would) instead of an ANSI division error."""
+    return F.log(safe_div(close, prev))
 
 
 CLOSE_LAGS = (1, 2, 3, 5, 6, 10, 20)
@@ -56,7 +57,7 @@ def with_return_target(sf: SeriesFrame) -> SeriesFrame:
             "_prev_close": F.col("_close_1"),
             "Return": log_return("Close", "_close_1"),
             # NaN > 0 is false in the reference, so a missing next return gives 0.
-            "Target": F.coalesce((F.log(F.col("_next_close") / F.col("Close")) > 0).cast("int"), F.lit(0)),
+            "Target": F.coalesce((log_return("_next_close", "Close") > 0).cast("int"), F.lit(0)),
             **{f"_ret_lag_{k}": log_return(f"_close_{k}", f"_close_{k + 1}") for k in (1, 2, 5)},
         }
     )

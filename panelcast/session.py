@@ -45,7 +45,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         path = f"{warehouse}/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
