@@ -145,6 +145,13 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
     key = sf.layout.key
     close, high, low, vol, ret = (F.col(c) for c in ("Close", "High", "Low", "Volume", "Return"))
     d = sf.df
+    # EWMs first: their window levels then carry narrow rows.
+    part = [key, "_seg"]
+    order, shared = sf.layout.order, ("_blk", sf.layout.halo_rows)
+    d = with_ewms(d, [("Close", 12, "_ema12"), ("Close", 26, "_ema26")], part, order, "_pos", shared)
+    d = d.withColumn("MACD", F.col("_ema12") - F.col("_ema26"))
+    d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", shared)
+    d = d.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
     delta = close - F.col("_prev_close")
     d = d.withColumns(
         {
@@ -195,12 +202,6 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
             "BB_Position": safe_div(close - F.col("BB_Lower"), F.col("BB_Upper") - F.col("BB_Lower")),
         }
     )
-    part = [key, "_seg"]
-    order, shared = sf.layout.order, ("_blk", sf.layout.halo_rows)
-    d = with_ewms(d, [("Close", 12, "_ema12"), ("Close", 26, "_ema26")], part, order, "_pos", shared)
-    d = d.withColumn("MACD", F.col("_ema12") - F.col("_ema26"))
-    d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", shared)
-    d = d.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
     return sf.with_df(d)
 
 
