@@ -144,7 +144,7 @@ def technical_rows(spark, sf_dir) -> DataFrame:
 def stored_technical(spark, sf_dir) -> DataFrame:
     """The technical panel written once to the checkpoint folder, for queries that
     read it several times (calendar, fold table, final plan)."""
-    return materialize(technical_rows(spark, sf_dir), "technical")
+    return materialize(technical_rows(spark, sf_dir), "technical", key=f"technical|{sf_dir}")
 
 
 def q_panel_summary(spark, sf_dir):
@@ -276,7 +276,7 @@ QUERY_MODELS = ModelSettings(lr_max_iter=200, rf_trees=20, rf_max_depth=6, gbt_i
 
 
 def stored_full(spark, sf_dir) -> DataFrame:
-    return store_panel(full_panel(spark, sf_dir), "full")
+    return store_panel(full_panel(spark, sf_dir), "full", key=f"full|{sf_dir}")
 
 
 def _fold_query(model_name: str):

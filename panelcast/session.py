@@ -7,8 +7,11 @@ a machine-local temporary directory.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+from pyspark import StorageLevel
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,16 +59,29 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return checkpoint_dir(spark)
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str, partition_by: list[str] | None = None, key: str | None = None
+) -> DataFrame:
     """Write `df` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing the plan)
-    and gives later filters a scan with pushed-down predicates.
+    and gives later filters a scan with pushed-down predicates.  With `key` the folder
+    name is deterministic and rewritten on every call (bounded disk use for repeated
+    runs of the same step); without it every call gets a fresh folder.  If the shared
+    folder cannot be written the frame is persisted instead (lineage kept).
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/panelcast/{name}-{uuid.uuid4().hex}"
+    suffix = hashlib.sha1(key.encode()).hexdigest()[:16] if key else uuid.uuid4().hex
+    path = f"{checkpoint_dir(spark)}/panelcast/{name}-{suffix}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    try:
+        writer.parquet(path)
+    except Exception as err:  # noqa: BLE001 - e.g. no write access to the folder
+        if "AnalysisException" in type(err).__name__ or "Permission" in str(err) or "denied" in str(err):
+            kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+            kept.count()
+            return kept
+        raise
     return spark.read.parquet(path)

@@ -25,7 +25,9 @@ def ticker_from_path(col: str = "_metadata.file_name"):
     return F.regexp_replace(F.col(col), r"\.csv$", "")
 
 
-def read_bars(spark: SparkSession, folder: str, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+def read_bars(
+    spark: SparkSession, folder: str, pattern: str = "*.csv", broadcast_limit: int = 2_000_000
+) -> tuple[DataFrame, DataFrame]:
     """S1 + S2 + S3: (bars, rejects).
 
     bars: Ticker, Date, Open, High, Low, Close, Volume for tickers whose every row is
@@ -56,7 +58,16 @@ def read_bars(spark: SparkSession, folder: str, pattern: str = "*.csv") -> tuple
         .filter(F.col("bad_rows") > 0)
         .withColumn("reason", F.lit("unparsable row or missing / non-positive price"))
     )
-    bars = flagged.join(rejects.select("Ticker"), "Ticker", "left_anti").select(
+    # One row per rejected ticker: counted, then broadcast so the bars are not
+    # shuffled by ticker (a hot ticker would otherwise land in one task).
+    rejected = rejects.select("Ticker")
+    n_rejected = rejected.count()
+    if n_rejected == 0:
+        kept = flagged
+    else:
+        side = F.broadcast(rejected) if n_rejected <= broadcast_limit else rejected
+        kept = flagged.join(side, "Ticker", "left_anti")
+    bars = kept.select(
         "Ticker", "Date", "Open", "High", "Low", "Close", "Volume"
     )
     return bars, rejects
