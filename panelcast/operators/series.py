@@ -27,6 +27,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import prepare_session
+
 LAYOUT_COLUMNS = ["_seg", "_pos", "_blk", "_halo"]
 
 
@@ -78,6 +80,7 @@ class SeriesFrame:
 
 
 def layout_series(df: DataFrame, layout: SeriesLayout | None = None) -> SeriesFrame:
+    prepare_session(df.sparkSession)
     layout = layout or SeriesLayout()
     key, order = layout.key, layout.order
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

@@ -308,7 +308,8 @@ def q_saved_model_roundtrip(spark, sf_dir):
     summary = split_summary(panel, folds, 1000)
     model_dir = f"{checkpoint_dir(spark)}/panelcast/models-{uuid.uuid4().hex}"
     run_validation(panel, summary, QUERY_MODELS, [LOGISTIC], model_dir=model_dir, folds=[1])
-    test = date_filter(panel, lo=final_test_start(panel, 0.2))
+    start = final_test_start(panel, 0.2)
+    test = date_filter(panel, lo=start) if start is not None else panel.limit(0)
     preds = score_saved(model_dir, test, ["1", "final"], [LOGISTIC])
     return rounded(metrics_table(preds))
 

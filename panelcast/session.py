@@ -28,12 +28,27 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.constraintPropagation.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+# Wide feature plans (about 100 derived columns behind a 55-column null filter) make
+# Catalyst's constraint propagation grow without bound (it rewrites every inferred
+# constraint for every alias).  It only feeds inferred filters, which these plans do
+# not need, so the package's entry points switch it off on the session they get.
+PLAN_CONF = {"spark.sql.constraintPropagation.enabled": "false"}
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    for k, v in PLAN_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
@@ -59,6 +74,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return checkpoint_dir(spark)
 
 
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
+
 def materialize(
     df: DataFrame, name: str, partition_by: list[str] | None = None, key: str | None = None
 ) -> DataFrame:
@@ -73,7 +91,8 @@ def materialize(
     spark = df.sparkSession
     suffix = hashlib.sha1(key.encode()).hexdigest()[:16] if key else uuid.uuid4().hex
     path = f"{checkpoint_dir(spark)}/panelcast/{name}-{suffix}"
-    writer = df.write.mode("overwrite")
+    # Small row groups: each concurrent Parquet writer buffers one row group in memory.
+    writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     try:
