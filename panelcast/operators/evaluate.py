@@ -152,8 +152,9 @@ def score_curve(
     )
     qs = [i / ranges for i in range(1, ranges)]
     cuts = g.groupBy(*keys).agg(F.percentile_approx("score", qs, accuracy).alias("_cuts"))
-    # One array of `ranges` doubles per key group (models x folds): broadcast.
-    gr = g.join(F.broadcast(cuts), keys).withColumn(
+    # One array of `ranges` doubles per key group (models x folds); the planner's
+    # runtime size check (AQE) turns this into a broadcast join when it is small.
+    gr = g.join(cuts, keys).withColumn(
         "_rng", F.size(F.filter("_cuts", lambda c: c > F.col("score")))
     ).drop("_cuts")
     per_range = gr.groupBy(*keys, "_rng").agg(F.sum("pos").alias("_rp"), F.sum("neg").alias("_rn"))

@@ -76,7 +76,9 @@ def plan_equal_splits(n_dates: int, n_splits: int = 5, test_fraction: float = 0.
     return EqualSplitPlan(n_dates, test_days, fold_days, folds)
 
 
-def equal_split_folds(panel: DataFrame, n_splits: int = 5, test_fraction: float = 0.2) -> tuple[DataFrame, EqualSplitPlan]:
+def equal_split_folds(
+    panel: DataFrame, n_splits: int = 5, test_fraction: float = 0.2, broadcast_limit: int = 2_000_000
+) -> tuple[DataFrame, EqualSplitPlan]:
     """K1: (fold, train_end, val_start, val_end) for equal-size expanding folds.
 
     One scalar (the number of dates) is read on the driver; the fold table is built
@@ -88,10 +90,12 @@ def equal_split_folds(panel: DataFrame, n_splits: int = 5, test_fraction: float
     plan = plan_equal_splits(n_dates, n_splits, test_fraction)
     idx = spark.createDataFrame(plan.folds, FOLD_SCHEMA)
     c = cal.select("Date", "idx")
+    # The calendar was just counted: broadcast it only below the limit.
+    bc = F.broadcast if n_dates <= broadcast_limit else (lambda d: d)
     folds = (
-        idx.join(F.broadcast(c.withColumnsRenamed({"Date": "train_end", "idx": "train_end_idx"})), "train_end_idx")
-        .join(F.broadcast(c.withColumnsRenamed({"Date": "val_start", "idx": "val_start_idx"})), "val_start_idx")
-        .join(F.broadcast(c.withColumnsRenamed({"Date": "val_end", "idx": "val_end_idx"})), "val_end_idx")
+        idx.join(bc(c.withColumnsRenamed({"Date": "train_end", "idx": "train_end_idx"})), "train_end_idx")
+        .join(bc(c.withColumnsRenamed({"Date": "val_start", "idx": "val_start_idx"})), "val_start_idx")
+        .join(bc(c.withColumnsRenamed({"Date": "val_end", "idx": "val_end_idx"})), "val_end_idx")
         .select("fold", "train_end", "val_start", "val_end")
     )
     return folds, plan
