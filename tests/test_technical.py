@@ -93,3 +93,33 @@ def test_no_leakage_future_rows_do_not_change_features(spark):
     b = after[after.Date <= cut].sort_values("Date")
     for c in TECHNICAL_FEATURES:
         np.testing.assert_allclose(a[c].to_numpy(), b[c].to_numpy(), rtol=1e-12, err_msg=c)
+
+
+def pandas_lags(tech: pd.DataFrame) -> pd.DataFrame:
+    """SURVEY 2.5.3 in pandas on the surviving technical rows of one ticker."""
+    g = tech.sort_values("Date").reset_index(drop=True).copy()
+    r = g["Return"]
+    for k in (1, 2, 3, 4, 5, 10, 15, 20, 22):
+        g[f"Lag_Return_{k}"] = r.shift(k)
+    g["Lag_Return_Mean_5"] = r.shift(1).rolling(5).mean()
+    g["Lag_Return_Mean_22"] = r.shift(1).rolling(22).mean()
+    g["Lag_Return_Std_5"] = r.shift(1).rolling(5).std()
+    g["Lag_Return_Std_22"] = r.shift(1).rolling(22).std()
+    for src, ks in (("Price_MA5_Ratio", (1, 5)), ("Price_MA20_Ratio", (1, 5)), ("Volume_Ratio_5", (1, 5))):
+        for k in ks:
+            g[f"Lag_{src}_{k}"] = g[src].shift(k)
+    g["Lag_Volatility_5_1"] = g["Volatility_5"].shift(1)
+    g["Lag_Volatility_20_1"] = g["Volatility_20"].shift(1)
+    return g.replace([np.inf, -np.inf], np.nan).fillna(0)
+
+
+def test_lag_features_match_pandas(spark, walks):
+    tech = technical_features(make_bars(spark, walks))
+    got = lag_features(tech).finish().toPandas()
+    base = tech.finish().toPandas()
+    for t in walks:
+        want = pandas_lags(base[base.Ticker == t])
+        g = got[got.Ticker == t].sort_values("Date").reset_index(drop=True)
+        assert len(g) == len(want)
+        for c in LAG_FEATURES:
+            np.testing.assert_allclose(g[c].to_numpy(), want[c].to_numpy(), rtol=1e-9, atol=1e-12, err_msg=c)
