@@ -83,9 +83,13 @@ LAG_FEATURES = [
 INDEX_FEATURE_SUFFIXES = ["Close", "Return", "MA_5", "MA_20", "Volatility_20", "Price_MA20_Ratio"]
 
 
+# Columns added for storage (Parquet partitioning), never model inputs.
+STORAGE_COLUMNS = ["year"]
+
+
 def feature_columns(columns: list[str]) -> list[str]:
-    """Every column that is not metadata, in column order."""
-    meta = set(META_COLUMNS)
+    """Every column that is not metadata (nor a storage / layout column), in order."""
+    meta = set(META_COLUMNS) | set(STORAGE_COLUMNS)
     return [c for c in columns if c not in meta and not c.startswith("_")]
 
 

@@ -37,3 +37,8 @@ def test_evaluation_tables_from_rule_scores(spark):
     tables = evaluation_tables(preds)
     assert tables["metrics"].count() == 3 and tables["roc_thresholds"].count() == 3
     assert tables["classification_report"].count() == 15
+
+
+def test_storage_column_is_not_a_feature(spark):
+    panel = store_panel(build_panel(bars_from_lineitem(spark, SF001)), "feat-check")
+    assert "year" in panel.columns and "year" not in feature_columns(panel.columns)
