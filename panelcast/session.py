@@ -56,9 +56,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     unset (local runs, tests) it is set once to `_checkpoints` under the session's
     warehouse directory - the session's own storage, never a machine temp folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        try:
+            path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001 - no SparkContext handle (e.g. a remote session)
+            path = None
     if not path:
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         path = f"{warehouse}/_checkpoints"
