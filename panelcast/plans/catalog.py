@@ -13,14 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import stable_round
-from ..operators.models import BOOSTED, FOREST, LOGISTIC, ModelSettings
-from ..session import checkpoint_dir, materialize
-from .validation import date_filter, metrics_table, run_final, run_validation, score_saved, store_panel
-from ..operators.series import layout_series
-from ..operators.technical import technical_columns, technical_features, with_return_target
-from ..oracle import output_digits
+from ..operators import evaluate as ev
 from ..operators.indices import index_features, join_index_features, wide_index_table
 from ..operators.lags import lag_features
+from ..operators.models import BOOSTED, FOREST, LOGISTIC, ModelSettings, class_weight_table, prepare, scaler_stats
+from ..operators.series import layout_series
 from ..operators.splits import (
     calendar_split_folds,
     equal_split_folds,
@@ -28,11 +25,14 @@ from ..operators.splits import (
     final_test_start,
     split_summary,
 )
-from ..operators import evaluate as ev
 from ..operators.summary import class_balance, panel_summary
-from .rules import fold_rule_predictions, rule_predictions
+from ..operators.technical import technical_columns, technical_features, with_return_target
+from ..oracle import output_digits
 from ..schema import LAG_FEATURES, TECHNICAL_FEATURES
+from ..session import checkpoint_dir, materialize
 from ..sources.tpch import bars_from_lineitem, index_bars_from_orders
+from .rules import fold_rule_predictions, rule_predictions
+from .validation import date_filter, metrics_table, run_final, run_validation, score_saved, store_panel
 
 KEYS = ["Ticker", "Date"]
 
@@ -314,6 +314,34 @@ def q_saved_model_roundtrip(spark, sf_dir):
     return rounded(metrics_table(preds))
 
 
+def fold1_training_rows(spark, sf_dir) -> DataFrame:
+    """Training rows of equal-split fold 1 of the stored full panel."""
+    panel = stored_full(spark, sf_dir)
+    folds, _ = equal_split_folds(panel, 5, 0.2)
+    first = split_summary(panel, folds, 1000).filter(F.col("fold") == 1).first()
+    return date_filter(panel, hi=first["train_end"]) if first is not None else panel.limit(0)
+
+
+def q_scaler_stats(spark, sf_dir):
+    """M2: the statistics the scaler fits on fold 1's training rows (cleaned features)."""
+    train, feats = prepare(fold1_training_rows(spark, sf_dir))
+    stats = scaler_stats(train, feats)
+    price_level = [c for c in feats if output_digits(c) == 4]
+    return stats.select(
+        "feature",
+        *[
+            F.when(F.col("feature").isin(price_level), stable_round(c, 4)).otherwise(stable_round(c, 6)).alias(c)
+            for c in ("mean", "std_pop", "std_samp")
+        ],
+        "n",
+    )
+
+
+def q_class_weights(spark, sf_dir):
+    """M6: balanced class weights of fold 1's training rows."""
+    return rounded(class_weight_table(fold1_training_rows(spark, sf_dir)))
+
+
 def registry() -> dict:
     out = {
         "daily_bars": q_daily_bars,
@@ -346,6 +374,8 @@ def registry() -> dict:
     out["model_comparison"] = q_model_comparison
     out["fold_metric_summary"] = q_fold_metric_summary
     out["fold_auc_table"] = q_fold_auc_table
+    out["scaler_stats"] = q_scaler_stats
+    out["class_weights"] = q_class_weights
     out["logreg_fold"] = _fold_query(LOGISTIC)
     out["random_forest_fold"] = _fold_query(FOREST)
     out["gbt_fold"] = _fold_query(BOOSTED)

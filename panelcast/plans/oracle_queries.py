@@ -9,6 +9,7 @@ from ..oracle import (
     index_columns_sql,
     index_features_cte,
     lag_panel_cte,
+    output_digits,
     rnd,
     rsel,
     technical_all_sql,
@@ -145,6 +146,8 @@ def registry() -> dict[str, str]:
     out["final_test_split"] = sql_final_test_split()
     out["calendar_splits_4y"] = sql_calendar_splits(years=4)
     out.update({k: f() for k, f in EVAL_SQL.items()})
+    out["scaler_stats"] = sql_scaler_stats()
+    out["class_weights"] = sql_class_weights()
     return out
 
 
@@ -368,3 +371,40 @@ EVAL_SQL = {
     "fold_metric_summary": sql_fold_metric_summary,
     "fold_auc_table": sql_fold_auc_table,
 }
+
+
+# ------------------------------------------------------------------ scaler and class weights (M2, M6)
+
+
+def fold1_train_cte() -> str:
+    return (
+        full_panel_cte()
+        + equal_folds_cte()
+        + """,
+kept AS (SELECT f.* FROM folds f WHERE (SELECT count(*) FROM tech t WHERE t.Date BETWEEN f.val_start AND f.val_end) >= 1000),
+train1 AS (SELECT * FROM fullp WHERE Date <= (SELECT train_end FROM kept WHERE fold = 1))"""
+    )
+
+
+def sql_scaler_stats() -> str:
+    feats = TECHNICAL_FEATURES + LAG_FEATURES + index_columns_sql()
+    aggs = ", ".join(
+        f"avg({c}) AS m_{c}, stddev_pop({c}) AS p_{c}, stddev_samp({c}) AS s_{c}" for c in feats
+    )
+    parts = []
+    for c in feats:
+        k = output_digits(c)
+        parts.append(
+            f"SELECT '{c}' AS feature, {rnd(f'm_{c}', k)} AS mean, {rnd(f'p_{c}', k)} AS std_pop, "
+            f"{rnd(f's_{c}', k)} AS std_samp, n FROM agg"
+        )
+    return with_ctes(
+        fold1_train_cte() + f",\nagg AS (SELECT count(*) AS n, {aggs} FROM train1)", "\nUNION ALL\n".join(parts)
+    )
+
+
+def sql_class_weights() -> str:
+    body = f"""SELECT Target, n_c, CAST(sum(n_c) OVER () AS BIGINT) AS n,
+  {rnd('sum(n_c) OVER () / (count(*) OVER () * n_c)', 6)} AS weight
+FROM (SELECT Target, count(*) AS n_c FROM train1 GROUP BY Target) c"""
+    return with_ctes(fold1_train_cte(), body)
