@@ -102,3 +102,18 @@ def test_reports_shapes(spark):
     assert br.actual_up == 3 and br.predicted_up == 3 and br.total == 5
     comp = ev.model_comparison(ev.fold_metrics(d))
     assert set(comp.columns) == {"model", "Accuracy", "Precision", "Recall", "Specificity", "F1-Score"}
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 20)), min_size=4, max_size=60))
+def test_auc_property_matches_pairwise(spark, rows):
+    y = [a for a, _ in rows]
+    if len(set(y)) < 2:
+        return
+    p = [b / 20 for _, b in rows]
+    got = ev.roc_auc(ev.score_curve(preds_df(spark, y, p), ranges=4)).first()["auc"]
+    assert abs(got - brute_auc(y, p)) < 1e-12

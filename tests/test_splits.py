@@ -76,3 +76,18 @@ def test_calendar_splits_month_end_clamping(spark, start):
 def test_final_test_start(spark):
     p = panel(spark, n_days=100)
     assert final_test_start(p, 0.2) == dt.date(2019, 1, 31) + dt.timedelta(days=80)
+
+
+def test_folds_are_time_ordered_on_driver_tables(spark):
+    from conftest import SF001
+    from panelcast.operators.technical import technical_panel
+    from panelcast.sources.tpch import bars_from_lineitem
+
+    p = technical_panel(bars_from_lineitem(spark, SF001))
+    folds, _ = equal_split_folds(p, 5, 0.2)
+    rows = sorted(split_summary(p, folds, 100).collect(), key=lambda r: r.fold)
+    assert rows
+    for a, b in zip(rows, rows[1:]):
+        assert a.val_end < b.val_start and a.train_end < b.train_end
+    for r in rows:
+        assert r.train_end < r.val_start and r.train_start <= r.train_end
