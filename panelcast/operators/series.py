@@ -1,8 +1,10 @@
 """Physical layout of a panel of time series for window operators.
 
-Every per-series window in this package is partitioned by (key, _seg) and ordered by
-the time column.  A series of at most `segment_rows` rows is one segment (_seg = 0),
-so the common case is a single hash exchange on the key and one sort.
+Every per-series window in this package is partitioned by (key, _seg).  The first
+level (row numbers, lags, leads) is ordered by time; every later level by (_blk, time),
+which is the same order and lets the EWM block windows (partitioned by _blk) share
+the sort.  A series of at most `segment_rows` rows is one segment (_seg = 0), so the
+common case is a single hash exchange on the key and two in-partition sorts.
 
 A *long* series - e.g. one ticker holding a third of all rows - is split so that it
 never lands in one task:

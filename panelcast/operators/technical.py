@@ -1,11 +1,12 @@
 """Log return, next-day target and the 49 technical indicators.
 
 One hash exchange on (Ticker, _seg) serves every window below; Catalyst groups the
-expressions by window spec into a few WindowExec levels:
-lags/leads -> rolling frames over Close/Volume/High/Low/Return -> autocorrelation and
-EWM blocks -> signal EWM.  Stage order follows the reference: features are computed on
-all rows, the last row of each series is dropped (no next-day target), then any row
-with an undefined value is dropped, then +-inf is set to 0.
+expressions by window spec into a few WindowExec levels: row numbers / lags / leads
+-> EWM block sums and carries (12 and 26 together, then the signal) -> rolling frames
+and running power sums -> lags of those sums (skew, kurtosis, autocorrelation).
+Stage order follows the reference: features are computed on all rows, the last row of
+each series is dropped (no next-day target), then any row with an undefined value is
+dropped, then +-inf is set to 0.
 """
 
 from __future__ import annotations
