@@ -123,3 +123,12 @@ def test_lag_features_match_pandas(spark, walks):
         assert len(g) == len(want)
         for c in LAG_FEATURES:
             np.testing.assert_allclose(g[c].to_numpy(), want[c].to_numpy(), rtol=1e-9, atol=1e-12, err_msg=c)
+
+
+def test_segment_halo_guard_stops_instead_of_wrong_lags(spark):
+    df = random_walk(5000, 31)
+    df.loc[1000:2150, ["Open", "High", "Low", "Close"]] = 80.0  # no survivors in segment 1's halo
+    bars = make_bars(spark, {"hot": df})
+    sf = lag_features(technical_features(bars, SeriesLayout(segment_rows=2048, halo_rows=1024)))
+    with pytest.raises(Exception, match="increase SeriesLayout.halo_rows"):
+        sf.finish().select("Lag_Return_1").collect()
