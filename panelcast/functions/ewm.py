@@ -59,6 +59,7 @@ def with_ewms(
     order: str,
     pos: str,
     shared_block: tuple[str, int],
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Add one column per (x, span, out) = EWM(span) of column x.
 
@@ -68,7 +69,9 @@ def with_ewms(
     span allows, so all EWMs and the other windows share one sort.  Rows of a
     partition cover whole blocks except at the start, which is either the series
     start or a halo of whole blocks (see operators.series).  Independent EWMs given
-    together share their two window levels (block sums, then block carries).
+    together share their two window levels (block sums, then block carries).  When
+    every series is known to fit in one block (`max_rows` from the layout's count) the
+    carry level is skipped: there is no previous block.
     """
     shared_name, shared_rows = shared_block
     p = F.col(pos)
@@ -99,7 +102,10 @@ def with_ewms(
     final = {}
     for x, q, b, out, blk in plans:
         prev_block = Window.partitionBy(*partition).orderBy(blk).rangeBetween(-1, -1)
-        carry = F.coalesce(F.max_by(F.col(f"_{out}_loc"), p).over(prev_block), F.lit(0.0))
+        if max_rows is not None and max_rows <= b:
+            carry = F.lit(0.0)
+        else:
+            carry = F.coalesce(F.max_by(F.col(f"_{out}_loc"), p).over(prev_block), F.lit(0.0))
         num = F.col(f"_{out}_loc") + F.pow(F.lit(q), j(b, blk) + 1) * carry
         den = (F.lit(1.0) - F.pow(F.lit(q), p.cast("double") + 1)) / F.lit(1.0 - q)
         final[out] = num / den
@@ -108,6 +114,6 @@ def with_ewms(
     return df.drop(*own) if own else df
 
 
-def with_ewm(df, x, span, out, partition, order, pos, shared_block) -> DataFrame:
+def with_ewm(df, x, span, out, partition, order, pos, shared_block, max_rows=None) -> DataFrame:
     """Single-column form of with_ewms."""
-    return with_ewms(df, [(x, span, out)], partition, order, pos, shared_block)
+    return with_ewms(df, [(x, span, out)], partition, order, pos, shared_block, max_rows)

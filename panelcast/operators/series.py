@@ -58,6 +58,7 @@ class SeriesFrame:
     layout: SeriesLayout
     segmented: bool = False
     positioned: bool = False
+    max_rows: int | None = None  # longest series, from the layout's per-key count
 
     def window(self):
         """The per-series window.  Ordering by (_blk, time) equals ordering by time, and
@@ -87,12 +88,15 @@ def layout_series(df: DataFrame, layout: SeriesLayout | None = None) -> SeriesFr
     key, order = layout.key, layout.order
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     long_keys = counts.filter(F.col("_n") > layout.segment_rows).select(key)
-    n_long = long_keys.count()
+    # One small job: how many series need splitting, and how long the longest is.
+    n_long, max_rows = counts.agg(
+        F.coalesce(F.sum((F.col("_n") > layout.segment_rows).cast("long")), F.lit(0)), F.max("_n")
+    ).first()
     if n_long == 0:
         out = df.withColumns(
             {"_seg": F.lit(0).cast("long"), "_pos": F.lit(None).cast("long"), "_halo": F.lit(False)}
         )
-        return SeriesFrame(out, layout, segmented=False)
+        return SeriesFrame(out, layout, segmented=False, max_rows=max_rows or 0)
 
     keys = F.broadcast(long_keys) if n_long <= layout.broadcast_limit else long_keys
     # Positions of short series are numbered after the union, inside the main exchange.

@@ -149,9 +149,10 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
     # EWMs first: their window levels then carry narrow rows.
     part = [key, "_seg"]
     order, shared = sf.layout.order, ("_blk", sf.layout.halo_rows)
-    d = with_ewms(d, [("Close", 12, "_ema12"), ("Close", 26, "_ema26")], part, order, "_pos", shared)
+    m = None if sf.segmented else sf.max_rows
+    d = with_ewms(d, [("Close", 12, "_ema12"), ("Close", 26, "_ema26")], part, order, "_pos", shared, m)
     d = d.withColumn("MACD", F.col("_ema12") - F.col("_ema26"))
-    d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", shared)
+    d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", shared, m)
     d = d.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
     delta = close - F.col("_prev_close")
     d = d.withColumns(
