@@ -58,7 +58,7 @@ def with_ewms(
     partition: list[str],
     order: str,
     pos: str,
-    shared_block: tuple[str, int],
+    shared_block: tuple[str | None, int],
     max_rows: int | None = None,
 ) -> DataFrame:
     """Add one column per (x, span, out) = EWM(span) of column x.
@@ -81,6 +81,13 @@ def with_ewms(
         if q == 0.0:
             df = df.withColumn(out, F.col(x).cast("double"))
             continue
+        whole = max_rows is not None and max_rows <= shared_rows
+        if whole and shared_rows * -math.log(q) <= MAX_LOG_GROWTH:
+            # Every series is one block: exact, nothing truncated, no block column.
+            plans.append((x, q, shared_rows, out, shared_name))
+            continue
+        if shared_name is None:
+            shared_name = "_blk_shared"
         b = ewm_block_rows(span, shared_rows)
         if b > shared_rows:
             raise ValueError(f"span {span} needs {b}-row blocks; the layout halo holds {shared_rows}")
@@ -92,25 +99,26 @@ def with_ewms(
         return df
 
     def j(b, blk):
-        return (p - F.col(blk) * b).cast("double")
+        return p.cast("double") if blk is None else (p - F.col(blk) * b).cast("double")
 
     local = {}
     for x, q, b, out, blk in plans:
-        inside = Window.partitionBy(*partition, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        part = list(partition) if blk is None else [*partition, blk]
+        inside = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         local[f"_{out}_loc"] = F.pow(F.lit(q), j(b, blk)) * F.sum(F.col(x) * F.pow(F.lit(q), -j(b, blk))).over(inside)
     df = df.withColumns(local)
     final = {}
     for x, q, b, out, blk in plans:
-        prev_block = Window.partitionBy(*partition).orderBy(blk).rangeBetween(-1, -1)
-        if max_rows is not None and max_rows <= b:
+        if blk is None or (max_rows is not None and max_rows <= b):
             carry = F.lit(0.0)
         else:
+            prev_block = Window.partitionBy(*partition).orderBy(blk).rangeBetween(-1, -1)
             carry = F.coalesce(F.max_by(F.col(f"_{out}_loc"), p).over(prev_block), F.lit(0.0))
         num = F.col(f"_{out}_loc") + F.pow(F.lit(q), j(b, blk) + 1) * carry
         den = (F.lit(1.0) - F.pow(F.lit(q), p.cast("double") + 1)) / F.lit(1.0 - q)
         final[out] = num / den
     df = df.withColumns(final).drop(*local)
-    own = {blk for *_, blk in plans if blk != shared_name}
+    own = {blk for *_, blk in plans if blk is not None and blk != shared_block[0]}
     return df.drop(*own) if own else df
 
 

@@ -1,10 +1,12 @@
 """Physical layout of a panel of time series for window operators.
 
 Every per-series window in this package is partitioned by (key, _seg).  The first
-level (row numbers, lags, leads) is ordered by time; every later level by (_blk, time),
-which is the same order and lets the EWM block windows (partitioned by _blk) share
-the sort.  A series of at most `segment_rows` rows is one segment (_seg = 0), so the
-common case is a single hash exchange on the key and two in-partition sorts.
+level (row numbers, lags, leads) is ordered by time.  If every series fits in one EWM
+block (<= 2,048 rows, from the per-key count) every later level is ordered by time too:
+one sort serves all.  Otherwise later levels are ordered by (_blk, time), the same
+order, so the EWM block windows (partitioned by _blk) share that second sort.  A series
+of at most `segment_rows` rows is one segment (_seg = 0), so the common case is a
+single hash exchange on the key.
 
 A *long* series - e.g. one ticker holding a third of all rows - is split so that it
 never lands in one task:
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from ..session import prepare_session
 
 LAYOUT_COLUMNS = ["_seg", "_pos", "_blk", "_halo"]
+SINGLE_BLOCK_MAX = 2048  # longest series handled as one EWM block (q^-B stays finite)
 
 
 @dataclass(frozen=True)
@@ -62,18 +65,46 @@ class SeriesFrame:
 
     def window(self):
         """The per-series window.  Ordering by (_blk, time) equals ordering by time, and
-        lets the EWM block windows (partitioned by _blk) share the same sort."""
+        lets the EWM block windows (partitioned by _blk) share the same sort; with a
+        single block there is no block column in any window, so one sort serves all."""
+        if self.single_block:
+            return Window.partitionBy(self.layout.key, "_seg").orderBy(self.layout.order)
         return Window.partitionBy(self.layout.key, "_seg").orderBy("_blk", self.layout.order)
 
+    def ewm_block(self) -> tuple[str | None, int]:
+        """(block column, block length) for functions.ewm; no column for a single block."""
+        return (None, self.block_rows) if self.single_block else ("_blk", self.layout.halo_rows)
+
     def with_positions(self) -> "SeriesFrame":
         """Fill _pos (row number in the whole series) and _blk = _pos div halo_rows."""
         if self.positioned:
             return self
         w = Window.partitionBy(self.layout.key, "_seg").orderBy(self.layout.order)
         d = self.df.withColumn("_pos", F.coalesce(F.col("_pos"), (F.row_number().over(w) - 1).cast("long")))
-        d = d.withColumn("_blk", F.floor(F.col("_pos") / self.layout.halo_rows).cast("long"))
+        d = d.withColumn("_blk", self.block_id())
         return replace(self, df=d, positioned=True)
 
+    @property
+    def single_block(self) -> bool:
+        """True when no series is split and the longest fits in one EWM block: the block
+        id is then the literal 0, which the planner folds out of every sort order."""
+        return (not self.segmented) and self.max_rows is not None and self.max_rows <= SINGLE_BLOCK_MAX
+
+    @property
+    def block_rows(self) -> int:
+        """EWM block length: the halo length, or one block covering every series."""
+        if not self.single_block:
+            return self.layout.halo_rows
+        b = 64
+        while b < self.max_rows:
+            b *= 2
+        return max(b, 64)
+
+    def block_id(self):
+        if self.single_block:
+            return F.lit(0).cast("long")
+        return F.floor(F.col("_pos") / self.layout.halo_rows).cast("long")
+
     def with_df(self, df: DataFrame) -> "SeriesFrame":
         return replace(self, df=df)
 

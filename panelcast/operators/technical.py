@@ -52,7 +52,7 @@ def with_return_target(sf: SeriesFrame) -> SeriesFrame:
         first["_pos"] = F.coalesce(F.col("_pos"), (F.row_number().over(w0) - 1).cast("long"))
     d = sf.df.withColumns(first)
     if not sf.positioned:
-        d = d.withColumn("_blk", F.floor(F.col("_pos") / lay.halo_rows).cast("long"))
+        d = d.withColumn("_blk", sf.block_id())
     d = d.withColumns(
         {
             "_prev_close": F.col("_close_1"),
@@ -148,7 +148,7 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
     d = sf.df
     # EWMs first: their window levels then carry narrow rows.
     part = [key, "_seg"]
-    order, shared = sf.layout.order, ("_blk", sf.layout.halo_rows)
+    order, shared = sf.layout.order, sf.ewm_block()
     m = None if sf.segmented else sf.max_rows
     d = with_ewms(d, [("Close", 12, "_ema12"), ("Close", 26, "_ema26")], part, order, "_pos", shared, m)
     d = d.withColumn("MACD", F.col("_ema12") - F.col("_ema26"))
