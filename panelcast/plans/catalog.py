@@ -36,7 +36,7 @@ from .validation import date_filter, metrics_table, run_final, run_validation, s
 
 KEYS = ["Ticker", "Date"]
 
-# Column groups of the per-indicator queries.
+# Column groups of the per-indicator queries (names are the reference's columns).
 TECHNICAL_GROUPS = {
     "price_shape": ["Price_Range", "Price_Range_Pct", "Open_Close_Range", "High_Close_Range", "Low_Close_Range"],
     "volume_features": [
