@@ -141,10 +141,16 @@ def technical_rows(spark, sf_dir) -> DataFrame:
     return technical(spark, sf_dir).finish()
 
 
+# Columns the split and rule-score queries read from the stored technical panel.
+STORED_TECHNICAL_COLUMNS = ["Ticker", "Date", "Target", "Return", "RSI", "BB_Position", "Price_Position_20"]
+
+
 def stored_technical(spark, sf_dir) -> DataFrame:
-    """The technical panel written once to the checkpoint folder, for queries that
-    read it several times (calendar, fold table, final plan)."""
-    return materialize(technical_rows(spark, sf_dir), "technical", key=f"technical|{sf_dir}")
+    """The technical panel (the columns those queries read) written once to the
+    checkpoint folder, for queries that read it several times (calendar, fold table,
+    final plan).  All 49 indicators are still computed: the row filter needs them."""
+    rows = technical_rows(spark, sf_dir).select(*STORED_TECHNICAL_COLUMNS)
+    return materialize(rows, "technical", key=f"technical-narrow|{sf_dir}")
 
 
 def q_panel_summary(spark, sf_dir):
