@@ -8,6 +8,7 @@ a machine-local temporary directory.
 from __future__ import annotations
 
 import hashlib
+import threading
 import uuid
 
 from pyspark import StorageLevel
@@ -87,12 +88,14 @@ def materialize(
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing the plan)
     and gives later filters a scan with pushed-down predicates.  With `key` the folder
-    name is deterministic and rewritten on every call (bounded disk use for repeated
-    runs of the same step); without it every call gets a fresh folder.  If the shared
+    name is deterministic per key and calling thread and rewritten on every call
+    (bounded disk use for repeated runs of the same step); without it every call gets
+    a fresh folder.  If the shared
     folder cannot be written the frame is persisted instead (lineage kept).
     """
     spark = df.sparkSession
-    suffix = hashlib.sha1(key.encode()).hexdigest()[:16] if key else uuid.uuid4().hex
+    # The thread id keeps concurrent callers (one session, several threads) apart.
+    suffix = hashlib.sha1(f"{key}|{threading.get_ident()}".encode()).hexdigest()[:16] if key else uuid.uuid4().hex
     path = f"{checkpoint_dir(spark)}/panelcast/{name}-{suffix}"
     # Small row groups: each concurrent Parquet writer buffers one row group in memory.
     writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
