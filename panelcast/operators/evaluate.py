@@ -142,6 +142,7 @@ def score_curve(
     score: str = "probability",
     ranges: int = 1024,
     accuracy: int = 10000,
+    broadcast_groups: int = 100_000,
 ) -> DataFrame:
     """Per key group and distinct score s: pos, neg at s; tp, fp = counts with score >= s;
     P, N = class totals.  Cumulative sums use the two-level scan described above."""
@@ -152,9 +153,12 @@ def score_curve(
     )
     qs = [i / ranges for i in range(1, ranges)]
     cuts = g.groupBy(*keys).agg(F.percentile_approx("score", qs, accuracy).alias("_cuts"))
-    # One array of `ranges` doubles per key group (models x folds); the planner's
-    # runtime size check (AQE) turns this into a broadcast join when it is small.
-    gr = g.join(cuts, keys).withColumn(
+    # One array of `ranges` doubles per key group (models x folds).  The groups are
+    # counted (a distinct over the key columns only) and the cuts broadcast below the
+    # limit, so the distinct scores are never shuffled by key group.
+    n_groups = preds.select(*keys).distinct().count()
+    side = F.broadcast(cuts) if n_groups <= broadcast_groups else cuts
+    gr = g.join(side, keys).withColumn(
         "_rng", F.size(F.filter("_cuts", lambda c: c > F.col("score")))
     ).drop("_cuts")
     per_range = gr.groupBy(*keys, "_rng").agg(F.sum("pos").alias("_rp"), F.sum("neg").alias("_rn"))
