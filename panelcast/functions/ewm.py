@@ -60,6 +60,7 @@ def with_ewms(
     pos: str,
     shared_block: tuple[str | None, int],
     max_rows: int | None = None,
+    alongside: dict | None = None,
 ) -> DataFrame:
     """Add one column per (x, span, out) = EWM(span) of column x.
 
@@ -71,7 +72,9 @@ def with_ewms(
     start or a halo of whole blocks (see operators.series).  Independent EWMs given
     together share their two window levels (block sums, then block carries).  When
     every series is known to fit in one block (`max_rows` from the layout's count) the
-    carry level is skipped: there is no previous block.
+    carry level is skipped: there is no previous block.  `alongside` columns are added in
+    the same projection as the block sums, so window expressions with the same spec
+    are evaluated in the same window operator.
     """
     shared_name, shared_rows = shared_block
     p = F.col(pos)
@@ -96,7 +99,7 @@ def with_ewms(
             df = df.withColumn(blk, F.floor(p / b).cast("long"))
         plans.append((x, q, b, out, blk))
     if not plans:
-        return df
+        return df.withColumns(alongside) if alongside else df
 
     def j(b, blk):
         return p.cast("double") if blk is None else (p - F.col(blk) * b).cast("double")
@@ -106,7 +109,7 @@ def with_ewms(
         part = list(partition) if blk is None else [*partition, blk]
         inside = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         local[f"_{out}_loc"] = F.pow(F.lit(q), j(b, blk)) * F.sum(F.col(x) * F.pow(F.lit(q), -j(b, blk))).over(inside)
-    df = df.withColumns(local)
+    df = df.withColumns({**(alongside or {}), **local})
     final = {}
     for x, q, b, out, blk in plans:
         if blk is None or (max_rows is not None and max_rows <= b):
@@ -122,6 +125,6 @@ def with_ewms(
     return df.drop(*own) if own else df
 
 
-def with_ewm(df, x, span, out, partition, order, pos, shared_block, max_rows=None) -> DataFrame:
+def with_ewm(df, x, span, out, partition, order, pos, shared_block, max_rows=None, alongside=None) -> DataFrame:
     """Single-column form of with_ewms."""
-    return with_ewms(df, [(x, span, out)], partition, order, pos, shared_block, max_rows)
+    return with_ewms(df, [(x, span, out)], partition, order, pos, shared_block, max_rows, alongside)

@@ -2,8 +2,9 @@
 
 One hash exchange on (Ticker, _seg) serves every window below; Catalyst groups the
 expressions by window spec into a few WindowExec levels: row numbers / lags / leads
--> EWM block sums and carries (12 and 26 together, then the signal) -> rolling frames
-and running power sums -> lags of those sums (skew, kurtosis, autocorrelation).
+-> EWM 12 + 26 block sums with the rolling frames and running power sums -> EWM 9
+block sums with the lags of those sums (skew, kurtosis, autocorrelation); on series
+longer than one block the carries add a level each.
 Stage order follows the reference: features are computed on all rows, the last row of
 each series is dropped (no next-day target), then any row with an undefined value is
 dropped, then +-inf is set to 0.
@@ -141,36 +142,30 @@ def moment_features(w) -> dict:
 
 
 def technical_columns(sf: SeriesFrame) -> SeriesFrame:
-    """Add the 49 indicator columns (rows not yet filtered)."""
+    """Add the 49 indicator columns (rows not yet filtered).
+
+    Rolling frames and running sums are computed in the same projection as the EWM
+    12 / 26 block sums, and the moment features with the EWM 9 block sums, so each
+    group shares one window operator when the specs agree.
+    """
     w = sf.window()
     key = sf.layout.key
     close, high, low, vol, ret = (F.col(c) for c in ("Close", "High", "Low", "Volume", "Return"))
-    d = sf.df
-    # EWMs first: their window levels then carry narrow rows.
-    part = [key, "_seg"]
-    order, shared = sf.layout.order, sf.ewm_block()
-    m = None if sf.segmented else sf.max_rows
-    d = with_ewms(d, [("Close", 12, "_ema12"), ("Close", 26, "_ema26")], part, order, "_pos", shared, m)
-    d = d.withColumn("MACD", F.col("_ema12") - F.col("_ema26"))
-    d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", shared, m)
-    d = d.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
     delta = close - F.col("_prev_close")
-    d = d.withColumns(
+    d = sf.df.withColumns(
         {
             "_gain": F.when(delta > 0, delta).otherwise(F.lit(0.0)),
             "_loss": F.when(delta < 0, -delta).otherwise(F.lit(0.0)),
         }
     )
-    ma = {n: roll(F.avg, close, n, w) for n in (5, 10, 20, 50)}
-    vma = {n: roll(F.avg, vol, n, w) for n in (5, 10, 20)}
-    cols = {
+    rolling = {
         "Price_Range": high - low,
         "Price_Range_Pct": safe_div(high - low, close),
         "Open_Close_Range": safe_div(F.abs(F.col("Open") - close), close),
         "High_Close_Range": safe_div(high - close, close),
         "Low_Close_Range": safe_div(close - low, close),
-        **{f"Volume_MA_{n}": vma[n] for n in (5, 10, 20)},
-        **{f"MA_{n}": ma[n] for n in (5, 10, 20, 50)},
+        **{f"Volume_MA_{n}": roll(F.avg, vol, n, w) for n in (5, 10, 20)},
+        **{f"MA_{n}": roll(F.avg, close, n, w) for n in (5, 10, 20, 50)},
         **{f"Volatility_{n}": roll(F.stddev_samp, ret, n, w) for n in (5, 10, 20)},
         **{f"Momentum_{n}": safe_div(close, F.col(f"_close_{n}")) - 1 for n in (5, 10, 20)},
         "_avg_gain": roll(F.avg, "_gain", 14, w),
@@ -181,8 +176,15 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
         **{f"Return_MA_{n}": roll(F.avg, ret, n, w) for n in (5, 10, 20)},
         **running_moment_sums(w),
     }
-    d = d.withColumns(cols)
-    d = d.withColumns(moment_features(w))
+    part = [key, "_seg"]
+    order, shared = sf.layout.order, sf.ewm_block()
+    m = None if sf.segmented else sf.max_rows
+    d = with_ewms(
+        d, [("Close", 12, "_ema12"), ("Close", 26, "_ema26")], part, order, "_pos", shared, m, alongside=rolling
+    )
+    d = d.withColumn("MACD", F.col("_ema12") - F.col("_ema26"))
+    d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", shared, m, alongside=moment_features(w))
+    d = d.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
     d = d.withColumns(
         {
             **{f"Volume_Ratio_{n}": safe_div(vol, f"Volume_MA_{n}") for n in (5, 10, 20)},
