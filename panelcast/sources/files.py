@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import BAR_FILE_SCHEMA, INDEX_BARS_SCHEMA
+from ..schema import BAR_FILE_SCHEMA, INDEX_BARS_SCHEMA, REFERENCE_INDICES
 
 CORRUPT = "_corrupt_record"
 
@@ -102,6 +102,14 @@ def read_index_bars(
     return df.select("IndexName", "Date", "Open", "High", "Low", "Close", "Volume")
 
 
+def name_index_symbols(df: DataFrame, symbol_col: str = "Symbol") -> DataFrame:
+    """S5 naming: map quote symbols (e.g. ^N225) to the reference's index names
+    (Nikkei_225, ...); rows with other symbols keep the symbol as their name."""
+    pairs = [F.lit(x) for sym, name in REFERENCE_INDICES.items() for x in (sym, name)]
+    mapping = F.create_map(*pairs)
+    return df.withColumn("IndexName", F.coalesce(mapping[F.col(symbol_col)], F.col(symbol_col)))
+
+
 def read_panel(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A stored panel (Parquet by default, CSV with a header at the edge)."""
     if fmt == "csv":

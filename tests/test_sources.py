@@ -20,3 +20,10 @@ def test_panel_roundtrip(spark, tmp_path):
     write_panel(df, str(tmp_path / "p"))
     back = read_panel(spark, str(tmp_path / "p"))
     assert back.count() == 1 and "year" in back.columns
+
+
+def test_index_symbols_are_named(spark):
+    from panelcast.sources.files import name_index_symbols
+
+    df = spark.createDataFrame([("^N225",), ("^DJI",), ("OTHER",)], "Symbol string")
+    assert [r.IndexName for r in name_index_symbols(df).collect()] == ["Nikkei_225", "DJIA", "OTHER"]
