@@ -105,7 +105,7 @@ def read_index_bars(
 def name_index_symbols(df: DataFrame, symbol_col: str = "Symbol") -> DataFrame:
     """S5 naming: map quote symbols (e.g. ^N225) to the reference's index names
     (Nikkei_225, ...); rows with other symbols keep the symbol as their name."""
-    pairs = [F.lit(x) for sym, name in REFERENCE_INDICES.items() for x in (sym, name)]
+    pairs = [F.lit(x) for name, sym in REFERENCE_INDICES.items() for x in (sym, name)]
     mapping = F.create_map(*pairs)
     return df.withColumn("IndexName", F.coalesce(mapping[F.col(symbol_col)], F.col(symbol_col)))
 
