@@ -11,8 +11,6 @@ import hashlib
 import threading
 import uuid
 
-from pyspark import StorageLevel
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -90,8 +88,8 @@ def materialize(
     and gives later filters a scan with pushed-down predicates.  With `key` the folder
     name is deterministic per key and calling thread and rewritten on every call
     (bounded disk use for repeated runs of the same step); without it every call gets
-    a fresh folder.  If the shared
-    folder cannot be written the frame is persisted instead (lineage kept).
+    a fresh folder.  A folder that cannot be
+    written is an error.
     """
     spark = df.sparkSession
     # The thread id keeps concurrent callers (one session, several threads) apart.
@@ -101,12 +99,5 @@ def materialize(
     writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    try:
-        writer.parquet(path)
-    except Exception as err:  # noqa: BLE001 - e.g. no write access to the folder
-        if "AnalysisException" in type(err).__name__ or "Permission" in str(err) or "denied" in str(err):
-            kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-            kept.count()
-            return kept
-        raise
+    writer.parquet(path)
     return spark.read.parquet(path)
