@@ -25,7 +25,7 @@ def map_texts(df: DataFrame, per_batch: Callable, schema: str, id_col: str = "do
             for part in bounded(batch):
                 yield step(part)
 
-    cols = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(extra or [])]
+    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(extra or [])]
     return df.select(*cols).mapInArrow(run, schema)
 
 
@@ -34,11 +34,11 @@ def map_texts(df: DataFrame, per_batch: Callable, schema: str, id_col: str = "do
 SLICE_BYTES = 4 << 20
 
 
-def bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices of at most SLICE_BYTES of text, or one row."""
     if batch.num_rows == 0:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
     start = total = 0
     for i, size in enumerate(sizes):
         if i > start and total + size > SLICE_BYTES:
