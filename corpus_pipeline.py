@@ -1,9 +1,66 @@
-"""The training-data pipeline over `documents`."""
+"""The training-data pipeline over `documents`, one operator a stage.
+
+Every stage reads what its predecessor kept, written as Parquet.  Part of the
+training-data package: it is of no use without `panelcast.llm`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelcast.llm import byte_bpe, mixing, quality, secrets, simhash
+from panelcast.llm.store import stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the count rules and are near some language's histograms."""
+    rows = quality.measured(docs)
+    judged = quality.verdicts(rows, quality.language_references(rows))
+    return judged.filter("__quality.kept").drop("__quality")
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that whose id is the component's.  Rows repeated with
+    one id are one document; without any id in a group, one row of those stays."""
+    parts = simhash.near_duplicate_components(docs, shingle_words=3, max_bits=3)
+    kept = parts.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every found secret replaced in the text."""
+    return secrets.redact_documents(docs, secrets.fit(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, and again for each epoch its source's weight asks for."""
+    return mixing.mix(docs).drop("__mix")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with the digest of the bytes they decode to."""
+    rows = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "n_bytes", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("secret_scans", secret_scans),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
+
+# The network of the secrets stage and the tokenizer's merges are not SQL.
+ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
