@@ -134,14 +134,14 @@ class Grammar:
         self.lexicon = Lexicon(insults, stems, settings.stems)
         self.states, self.table = compose()
 
-    def clauses(self, text: str) -> list[float]:
-        """Weight of every clause in which something matched."""
+    def clauses(self, text: str) -> tuple[list[float], float, int]:
+        """(weight of every clause in which something matched, heaviest match, number of tokens)."""
         s, table, states = self.settings, self.table, self.states
         lexicon = self.lexicon
         found = [lexicon[w] for w in TOKENS.findall(text.lower())]
         marks = [(i, v) for i, v in enumerate(found) if v is not None]
         if not any(v[0] in (INSULT, VIOLENCE) for _, v in marks):
-            return []
+            return [], 0.0, len(found)
         out, state, score, last = [], 0, 0.0, -1
         for i, (symbol, weight) in itertools.chain(marks, [(len(found), (END, 0.0))]):
             for _ in range(min(i - last - 1, NEGATION_SCOPE)):  # words between only use up a negation
@@ -156,12 +156,18 @@ class Grammar:
                 out.append(score * (s.targeted if target else 1.0))
                 score = 0.0
             state = table[state][symbol]
-        return out
+        return out, max(weight for _, (_, weight) in marks), len(found)
 
     def features(self, text: str) -> list[float]:
-        """Best clause, all clauses together, and how many matched."""
-        c = self.clauses(text)
-        return [math.log1p(max(c)), math.log1p(sum(c)), math.log1p(len(c))] if c else [0.0, 0.0, 0.0]
+        """Best clause, all clauses together, how many matched, the heaviest match, and the
+        length of the text, since a long one meets a doubtful word sooner; zeros without a match."""
+        c, heaviest, tokens = self.clauses(text)
+        if not c:
+            return [0.0] * N_FEATURES
+        return [math.log1p(max(c)), math.log1p(sum(c)), math.log1p(len(c)), heaviest, math.log1p(tokens)]
+
+
+N_FEATURES = 5
 
 
 @dataclass
@@ -245,9 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, settings: ToxicSe
         )
         for r in chosen:
             (insults if r["f"][0] == "w" else stems)[r["f"][1:]] = float(r["odds"])
-    model = ToxicModel(insults, stems, np.zeros(4), settings)
+    model = ToxicModel(insults, stems, np.zeros(1 + N_FEATURES), settings)
     if not (n1 and n0):
-        model.weights = np.array([-4.0, 2.0, 1.0, 0.5])
+        model.weights = np.array([-4.0, 2.0, 1.0, 0.5, 0.2, 0.0])  # nothing to learn from
         return model
 
     def task():
