@@ -19,7 +19,8 @@ from panelcast.llm.store import stored
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the count rules and are near some language's histograms."""
     rows = quality.measured(docs)
-    judged = quality.verdicts(rows, quality.language_references(rows))
+    # Written before the filter: pushed below the verdict, the filter would repeat all of it.
+    judged = stored(quality.verdicts(rows, quality.language_references(rows)), "judged")
     return judged.filter("__quality.kept").drop("__quality")
 
 
