@@ -27,6 +27,8 @@ SEED = 42
 # Three blocks of bits, [from, to).
 BLOCKS = ((0, 22), (22, 43), (43, 64))
 HASHES_AT_ONCE = 1 << 17
+# Up to so many longs (16 MB) are broadcast; beyond, both sides are exchanged.
+BROADCAST_VARIANTS = 2_000_000
 
 
 def fingerprint(text: bytes, shingle_words: int) -> int:
@@ -117,7 +119,10 @@ def near_links(distinct_fps: DataFrame, max_bits: int = 3) -> DataFrame:
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
     pairs = met.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).filter(within("a", "b"))
 
+    # Few variants are crowded: counted, and sent to the rows rather than all rows to them.
     crowded = met.filter("n > 2").select("variant")
+    if crowded.count() <= BROADCAST_VARIANTS:
+        crowded = F.broadcast(crowded)
     members = stored(rows.join(crowded, "variant"), "members")
     tag_of = F.lit(None).cast("long")
     for tag, block in tags:
