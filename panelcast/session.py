@@ -8,6 +8,7 @@ a machine-local temporary directory.
 from __future__ import annotations
 
 import hashlib
+import os
 import threading
 import uuid
 
@@ -31,6 +32,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # Python workers of local runs import this package from where it lies.
+    spark.sparkContext.environment["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     return spark
 
 
