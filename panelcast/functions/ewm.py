@@ -1,14 +1,16 @@
 """Exponentially weighted mean (pandas ``ewm(span).mean()``, adjust=True) without a UDF.
 
-y_p = sum_i q^i x_{p-i} / sum_i q^i with q = 1 - 2/(span+1).  The numerator is a
-running sum of x_j q^{-j}, which overflows on long series, so rows are cut into blocks
+y_p = sum_i q^i x_{p-i} / sum_i q^i with q = 1 - 2/(span+1), both sums over the rows
+whose x is not missing (a row without a value keeps the mean so far; before the first
+value there is none).  The numerator is a running sum of x_j q^{-j} and the
+denominator of q^{-j}, which overflow on long series, so rows are cut into blocks
 of B rows (B a power of two with q^B < 1e-18): inside a block the running sum is
 rebased at the block start, and the previous block's last numerator is carried in
-with weight q^{j+1}.  Terms older than one block weigh less than q^B and vanish below
-double precision.  The denominator is the closed form (1 - q^{p+1}) / (1 - q).
+with weight q^{j+1}, and so is its last denominator.  Terms older than one block weigh
+less than q^B and vanish below double precision, unless a whole block has no value.
 
 All of it is window sums over (series, segment, block) partitions, so it stays in the
-JVM and never needs a whole series in one place.  Inputs must be non-null.
+JVM and never needs a whole series in one place.
 """
 
 from __future__ import annotations
@@ -108,18 +110,22 @@ def with_ewms(
     for x, q, b, out, blk in plans:
         part = list(partition) if blk is None else [*partition, blk]
         inside = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        local[f"_{out}_loc"] = F.pow(F.lit(q), j(b, blk)) * F.sum(F.col(x) * F.pow(F.lit(q), -j(b, blk))).over(inside)
+        back, grow = F.pow(F.lit(q), j(b, blk)), F.pow(F.lit(q), -j(b, blk))
+        held = F.when(F.col(x).isNotNull(), grow)
+        local[f"_{out}_loc"] = back * F.coalesce(F.sum(F.col(x) * grow).over(inside), F.lit(0.0))
+        local[f"_{out}_den"] = back * F.coalesce(F.sum(held).over(inside), F.lit(0.0))
     df = df.withColumns({**(alongside or {}), **local})
     final = {}
     for x, q, b, out, blk in plans:
-        if blk is None or (max_rows is not None and max_rows <= b):
-            carry = F.lit(0.0)
-        else:
+        num, den = F.col(f"_{out}_loc"), F.col(f"_{out}_den")
+        if not (blk is None or (max_rows is not None and max_rows <= b)):
             prev_block = Window.partitionBy(*partition).orderBy(blk).rangeBetween(-1, -1)
-            carry = F.coalesce(F.max_by(F.col(f"_{out}_loc"), p).over(prev_block), F.lit(0.0))
-        num = F.col(f"_{out}_loc") + F.pow(F.lit(q), j(b, blk) + 1) * carry
-        den = (F.lit(1.0) - F.pow(F.lit(q), p.cast("double") + 1)) / F.lit(1.0 - q)
-        final[out] = num / den
+            earlier = F.pow(F.lit(q), j(b, blk) + 1)
+            # The last row of the previous block holds the sums over all of it.
+            num, den = (
+                here + earlier * F.coalesce(F.max_by(here, p).over(prev_block), F.lit(0.0)) for here in (num, den)
+            )
+        final[out] = F.when(den > 0, num / den)
     df = df.withColumns(final).drop(*local)
     own = {blk for *_, blk in plans if blk is not None and blk != shared_block[0]}
     return df.drop(*own) if own else df

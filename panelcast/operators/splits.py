@@ -59,20 +59,18 @@ class EqualSplitPlan:
 
 
 def plan_equal_splits(n_dates: int, n_splits: int = 5, test_fraction: float = 0.2) -> EqualSplitPlan:
-    """K1 index arithmetic (reference rules, Python negative indices included)."""
-    test_days = int(math.floor(n_dates * test_fraction))
-    fold_days = (n_dates - test_days) // n_splits
-
-    def pick(i: int) -> int:
-        return i + n_dates if i < 0 else i
+    """K1 positions: fold k validates on the k-th stretch of fold_days dates after the first
+    and trains on all dates before it; positions are held inside the calendar.
 
-    folds = []
-    for k in range(1, n_splits + 1):
-        te, vs, ve = k * fold_days, k * fold_days, (k + 1) * fold_days
-        train_end = pick(te - 1) if te <= n_dates else n_dates - 1
-        val_start = vs if vs < n_dates else n_dates - 1
-        val_end = pick(ve - 1) if ve <= n_dates else n_dates - 1
-        folds.append((k, train_end, val_start, val_end))
+    A calendar too short for a single validation date per fold (fold_days 0) gives no
+    folds: there is nothing to validate on."""
+    test_days = math.floor(n_dates * test_fraction)
+    fold_days = (n_dates - test_days) // n_splits
+    if fold_days == 0:
+        return EqualSplitPlan(n_dates, test_days, 0, [])
+    inside = lambda i: max(0, min(i, n_dates - 1))
+    starts = range(fold_days, (n_splits + 1) * fold_days, fold_days)
+    folds = [(k, inside(at - 1), inside(at), inside(at + fold_days - 1)) for k, at in enumerate(starts, 1)]
     return EqualSplitPlan(n_dates, test_days, fold_days, folds)
 
 
@@ -164,15 +162,13 @@ def split_summary(panel: DataFrame, folds: DataFrame, min_val_rows: int = 1000,
     def iv(d) -> int:
         return sum(1 for b in bounds if b <= d)
 
-    ranges = spark.createDataFrame(
-        [(int(r["fold"]), iv(r["train_end"] + one), iv(r["val_start"]), iv(r["val_end"] + one)) for r in defs],
-        "fold long, train_hi long, val_lo long, val_hi long",
-    )
+    ranges = [(int(r["fold"]), iv(r["train_end"] + one), iv(r["val_start"]), iv(r["val_end"] + one)) for r in defs]
     stats = interval_stats(panel, bounds, key)
-    rb = F.broadcast(ranges)
 
     def side(cond, prefix: str) -> DataFrame:
-        picked = stats.join(rb, cond)
+        # Each (key, interval) row goes to the folds it belongs to: at most n_splits literals.
+        folds_of = F.array(*[F.when(cond(*r[1:]), F.lit(r[0]).cast("long")) for r in ranges])
+        picked = stats.withColumn("fold", F.explode(F.filter(folds_of, lambda f: f.isNotNull())))
         per_key = picked.groupBy("fold", key).agg(
             F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
         )
@@ -183,8 +179,8 @@ def split_summary(panel: DataFrame, folds: DataFrame, min_val_rows: int = 1000,
             F.count(F.lit(1)).alias(f"{prefix}_stocks"),
         )
 
-    train = side(stats.iv < rb.train_hi, "train")
-    val = side((stats.iv >= rb.val_lo) & (stats.iv < rb.val_hi), "val")
+    train = side(lambda train_hi, lo, hi: F.col("iv") < train_hi, "train")
+    val = side(lambda train_hi, lo, hi: (F.col("iv") >= lo) & (F.col("iv") < hi), "val")
     out = train.join(val, "fold").select(*SUMMARY_COLUMNS)
     return out.filter(F.col("val_samples") >= min_val_rows) if min_val_rows > 0 else out
 
@@ -208,9 +204,20 @@ def final_test_start(panel: DataFrame, test_fraction: float = 0.2):
 
 def final_test_frame(panel: DataFrame, test_fraction: float = 0.2) -> DataFrame:
     start = final_test_start(panel, test_fraction)
-    if start is None:
-        return panel.limit(0)
-    return panel.filter(F.col("Date") >= F.lit(start))
+    return panel.limit(0) if start is None else between_dates(panel, lo=start)
+
+
+def between_dates(panel: DataFrame, lo=None, hi=None) -> DataFrame:
+    """Rows from `lo` to `hi`, both included; a panel stored by year is pruned by year."""
+    by_year = "year" in panel.columns
+    for bound, of in ((lo, "ge"), (hi, "le")):
+        if bound is None:
+            continue
+        date, limit = F.col("Date"), F.lit(bound)
+        panel = panel.filter(date >= limit if of == "ge" else date <= limit)
+        if by_year:
+            panel = panel.filter(F.col("year") >= bound.year if of == "ge" else F.col("year") <= bound.year)
+    return panel
 
 
 def fold_frames(panel: DataFrame, folds: DataFrame, k: int, exclude_test_from=None) -> tuple[DataFrame, DataFrame]:
@@ -218,8 +225,8 @@ def fold_frames(panel: DataFrame, folds: DataFrame, k: int, exclude_test_from=No
     row = folds.filter(F.col("fold") == k).first()
     if row is None:
         raise KeyError(f"fold {k} is not in the fold table")
-    train = panel.filter(F.col("Date") <= F.lit(row["train_end"]))
-    val = panel.filter((F.col("Date") >= F.lit(row["val_start"])) & (F.col("Date") <= F.lit(row["val_end"])))
+    train = between_dates(panel, hi=row["train_end"])
+    val = between_dates(panel, lo=row["val_start"], hi=row["val_end"])
     if exclude_test_from is not None:  # Q5 option: keep validation out of the test period
         val = val.filter(F.col("Date") < F.lit(exclude_test_from))
     return train, val

@@ -2,9 +2,9 @@
 
 One hash exchange on (Ticker, _seg) serves every window below; Catalyst groups the
 expressions by window spec into a few WindowExec levels: row numbers / lags / leads
--> EWM 12 + 26 block sums with the rolling frames and running power sums -> EWM 9
-block sums with the lags of those sums (skew, kurtosis, autocorrelation); on series
-longer than one block the carries add a level each.
+-> EWM 12 + 26 block sums with the rolling frames (moments and autocorrelations are
+among them) -> EWM 9 block sums; on series longer than one block the carries add a
+level each.
 Stage order follows the reference: features are computed on all rows, the last row of
 each series is dropped (no next-day target), then any row with an undefined value is
 dropped, then +-inf is set to 0.
@@ -26,9 +26,10 @@ from .series import SeriesFrame, SeriesLayout, as_series
 
 
 def log_return(close: str = "Close", prev: str = "_prev_close"):
-    """ln(Close_t / Close_{t-1}); prices are validated positive upstream, and a zero
-    previous price gives +inf (as numpy would) instead of an ANSI division error."""
-    return F.log(safe_div(close, prev))
+    """ln(Close_t / Close_{t-1}) as floating-point arithmetic has it: a ratio of zero gives
+    -inf, of infinity +inf (a zero previous price), a negative or undefined one is missing."""
+    ratio = safe_div(close, prev)
+    return F.when(ratio > 0, F.log(ratio)).when(ratio == 0, F.lit(float("-inf")))
 
 
 CLOSE_LAGS = (1, 2, 3, 5, 6, 10, 20)
@@ -69,84 +70,42 @@ def with_return_target(sf: SeriesFrame) -> SeriesFrame:
 AUTOCORR_LAGS = (1, 2, 5)
 
 
-def running_moment_sums(w) -> dict:
-    """Running sums of r, r^2, r^3, r^4, r * r_{t-k} and of equal consecutive returns.
-
-    Running frames are computed incrementally (O(n)); window sums are then differences
-    of a running sum and its lag.  This is how pandas computes rolling skew / kurtosis
-    (moving power sums) and avoids re-aggregating a sliding frame for every row.
-    """
-    ret = F.col("Return")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-
-    def total(x):
-        return F.coalesce(F.sum(x).over(run), F.lit(0.0))
-
-    return {
-        "_cn": F.count(ret).over(run),
-        "_c1": total(ret),
-        "_c2": total(ret * ret),
-        "_c3": total(ret * ret * ret),
-        "_c4": total(ret * ret * ret * ret),
-        "_ceq": F.coalesce(F.sum((ret == F.col("_ret_lag_1")).cast("long")).over(run), F.lit(0)),
-        **{f"_cx{k}": total(ret * F.col(f"_ret_lag_{k}")) for k in AUTOCORR_LAGS},
-    }
-
-
 def moment_features(w) -> dict:
-    """T20 (W6, W7) and T21 (W8) from the running sums.
+    """T20 (W6, W7) and T21 (W8) as statistics of bounded frames: a row's value depends on
+    its own 10 or 20 returns only, whatever came before.
 
-    Skew / kurtosis over 10 returns follow pandas: identical values give 0 / -3, a
-    second central moment at or below 1e-14 gives null, otherwise the bias-corrected
-    G1 / G2 from raw moments.  Autocorr_k is the Pearson correlation of the 20 - k
-    pairs (r_i, r_{i-k}) inside the 20-row window, null when either side is flat.
+    Skew and kurtosis over 10 returns: identical values give 0 / -3, a variance at or below
+    1e-14 gives nothing, otherwise the bias-corrected G1 / G2.  Autocorr_k is the
+    Pearson correlation of the 20 - k pairs (r_i, r_{i-k}) inside the 20-row window,
+    undefined when either side is flat.  Infinite returns leave all of them undefined.
     """
-
-    def back(c, m):
-        return F.lag(c, m).over(w) if m else F.col(c)
-
-    def span(c, end, n):
-        """Sum over the n rows ending `end` rows back."""
-        return back(c, end) - F.coalesce(back(c, end + n), F.lit(0))
-
-    def full(n):
-        return span("_cn", 0, n) == n
-
-    def flat(end, n):
-        """True when the n returns ending `end` rows back are all equal."""
-        return span("_ceq", end, n - 1) == n - 1
-
-    out = {}
-    n = 10.0
-    a = span("_c1", 0, 10) / n
-    b = span("_c2", 0, 10) / n - a * a
-    c = span("_c3", 0, 10) / n - a * a * a - 3 * a * b
-    d = span("_c4", 0, 10) / n - a * a * a * a - 6 * b * a * a - 4 * c * a
-    g1 = (F.lit((n * (n - 1)) ** 0.5) * c) / (F.lit(n - 2) * F.pow(F.sqrt(b), 3))
-    g2 = (F.lit(n * n - 1) * d / (b * b) - F.lit(3 * (n - 1) ** 2)) / F.lit((n - 2) * (n - 3))
-    ok = full(10) & ~flat(0, 10) & (b > 1e-14)
-    out["Return_Skew_10"] = F.when(full(10) & flat(0, 10), F.lit(0.0)).when(ok, g1)
-    out["Return_Kurt_10"] = F.when(full(10) & flat(0, 10), F.lit(-3.0)).when(ok, g2)
+    ret, n = F.col("_finite_return"), 10
+    last = w.rowsBetween(-(n - 1), 0)
+    full = F.count(ret).over(last) == n
+    flat = F.max(ret).over(last) == F.min(ret).over(last)
+    spread = full & ~flat & (F.var_pop(ret).over(last) > 1e-14)
+    g1 = F.skewness(ret).over(last) * ((n * (n - 1)) ** 0.5 / (n - 2))
+    g2 = ((n + 1) * F.kurtosis(ret).over(last) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
+    out = {
+        "Return_Skew_10": F.when(full & flat, F.lit(0.0)).when(spread, g1),
+        "Return_Kurt_10": F.when(full & flat, F.lit(-3.0)).when(spread, g2),
+    }
+    all20 = F.count(ret).over(w.rowsBetween(-19, 0)) == 20
     for k in AUTOCORR_LAGS:
-        m = 20 - k
-        sx, sxx = span("_c1", 0, m), span("_c2", 0, m)
-        sy, syy = span("_c1", k, m), span("_c2", k, m)
-        sxy = span(f"_cx{k}", 0, m)
-        mx, my = sx / m, sy / m
-        cov = sxy / m - mx * my
-        vx, vy = sxx / m - mx * mx, syy / m - my * my
-        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(vx * vy)))
-        defined = full(20) & ~flat(0, m) & ~flat(k, m) & (vx > 0) & (vy > 0)
-        out[f"Autocorr_{k}"] = F.when(defined, r)
+        pairs = w.rowsBetween(-(19 - k), 0)
+        before = F.col(f"_ret_lag_{k}")
+        even = (F.max(ret).over(pairs) == F.min(ret).over(pairs)) | (F.max(before).over(pairs) == F.min(before).over(pairs))
+        vx, vy = F.var_pop(ret).over(pairs), F.var_pop(before).over(pairs)
+        r = safe_div(F.covar_pop(ret, before).over(pairs), F.sqrt(vx * vy))
+        out[f"Autocorr_{k}"] = F.when(all20 & ~even & (vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     return out
 
 
 def technical_columns(sf: SeriesFrame) -> SeriesFrame:
     """Add the 49 indicator columns (rows not yet filtered).
 
-    Rolling frames and running sums are computed in the same projection as the EWM
-    12 / 26 block sums, and the moment features with the EWM 9 block sums, so each
-    group shares one window operator when the specs agree.
+    Rolling frames are computed in the same projection as the EWM 12 / 26 block sums, so
+    that they share one window operator when the specs agree.
     """
     w = sf.window()
     key = sf.layout.key
@@ -156,6 +115,7 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
         {
             "_gain": F.when(delta > 0, delta).otherwise(F.lit(0.0)),
             "_loss": F.when(delta < 0, -delta).otherwise(F.lit(0.0)),
+            "_finite_return": F.when(F.abs(ret) != float("inf"), ret),
         }
     )
     rolling = {
@@ -174,7 +134,7 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
         "High_20": roll(F.max, high, 20, w),
         "Low_20": roll(F.min, low, 20, w),
         **{f"Return_MA_{n}": roll(F.avg, ret, n, w) for n in (5, 10, 20)},
-        **running_moment_sums(w),
+        **moment_features(w),
     }
     part = [key, "_seg"]
     order, shared = sf.layout.order, sf.ewm_block()
@@ -183,7 +143,7 @@ def technical_columns(sf: SeriesFrame) -> SeriesFrame:
         d, [("Close", 12, "_ema12"), ("Close", 26, "_ema26")], part, order, "_pos", shared, m, alongside=rolling
     )
     d = d.withColumn("MACD", F.col("_ema12") - F.col("_ema26"))
-    d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", shared, m, alongside=moment_features(w))
+    d = with_ewm(d, "MACD", 9, "MACD_Signal", part, order, "_pos", shared, m)
     d = d.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
     d = d.withColumns(
         {

@@ -7,9 +7,8 @@ Helpers mirror `functions.expr`: guarded division (x/0 -> +-inf, 0/0 -> null),
 
 from __future__ import annotations
 
-import re
 
-from .schema import LAG_FEATURES, TECHNICAL_FEATURES
+from .schema import LAG_FEATURES, TECHNICAL_FEATURES, output_digits
 
 BIAS = "1.0000000000009095::DOUBLE"  # 1 + 2**-40, see functions.expr.stable_round
 W = "PARTITION BY Ticker ORDER BY Date"
@@ -216,18 +215,6 @@ def with_ctes(ctes: str, body: str) -> str:
 
 # Decimals kept per output column for the cross-engine value hash.
 # Price-level columns keep 4 (summation noise ~1e-11 on values up to ~1e5), the rest 6.
-PRICE_LEVEL = {
-    "Open", "High", "Low", "Close", "Volume", "Price_Range",
-    "Volume_MA_5", "Volume_MA_10", "Volume_MA_20", "MA_5", "MA_10", "MA_20", "MA_50",
-    "BB_Middle", "BB_Std", "BB_Upper", "BB_Lower", "High_20", "Low_20",
-    "MACD", "MACD_Signal", "MACD_Histogram",
-}
-
-
-def output_digits(name: str) -> int:
-    if name in PRICE_LEVEL or name.endswith("_Close") or re.fullmatch(r"[A-Z_]+_MA_(5|20)", name):
-        return 4
-    return 6
 
 
 def rsel(cols: list[str], doubles: set[str] | None = None) -> str:

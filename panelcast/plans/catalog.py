@@ -27,8 +27,7 @@ from ..operators.splits import (
 )
 from ..operators.summary import class_balance, panel_summary
 from ..operators.technical import technical_columns, technical_features, with_return_target
-from ..oracle import output_digits
-from ..schema import LAG_FEATURES, TECHNICAL_FEATURES
+from ..schema import LAG_FEATURES, TECHNICAL_FEATURES, output_digits
 from ..session import checkpoint_dir, materialize
 from ..sources.tpch import bars_from_lineitem, index_bars_from_orders
 from .rules import fold_rule_predictions, rule_predictions
@@ -65,7 +64,9 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_lineitem(spark, sf_dir)
+    """The stand-in bars, derived once for each session and input: the layout counts
+    them and the feature windows read them."""
+    return materialize(bars_from_lineitem(spark, sf_dir), "bars", key="day")
 
 
 def technical_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def technical_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_daily_bars(spark, sf_dir):
-    return rounded(bars(spark, sf_dir))
+    return rounded(bars_from_lineitem(spark, sf_dir))
 
 
 def q_log_return_target(spark, sf_dir):
@@ -113,7 +114,12 @@ def q_lag_features(spark, sf_dir):
 
 
 def index_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_features(index_bars_from_orders(spark, sf_dir))
+    return materialize(index_features(index_bars_from_orders(spark, sf_dir)), "index-features", key="day")
+
+
+def wide_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per date, written once: its count and the join read the same files."""
+    return materialize(wide_index_table(index_feature_rows(spark, sf_dir)), "index-wide", key="day")
 
 
 def q_index_features(spark, sf_dir):
@@ -122,8 +128,7 @@ def q_index_features(spark, sf_dir):
 
 def full(spark: SparkSession, sf_dir: str):
     """Technical -> lag -> index features, still in series layout."""
-    wide = wide_index_table(index_feature_rows(spark, sf_dir))
-    return join_index_features(lagged(spark, sf_dir), wide)
+    return join_index_features(lagged(spark, sf_dir), wide_index_rows(spark, sf_dir))
 
 
 def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +155,7 @@ def stored_technical(spark, sf_dir) -> DataFrame:
     checkpoint folder, for queries that read it several times (calendar, fold table,
     final plan).  All 49 indicators are still computed: the row filter needs them."""
     rows = technical_rows(spark, sf_dir).select(*STORED_TECHNICAL_COLUMNS)
-    return materialize(rows, "technical", key=f"technical-narrow|{sf_dir}")
+    return materialize(rows, "technical", key="narrow")
 
 
 def q_panel_summary(spark, sf_dir):
@@ -282,7 +287,7 @@ QUERY_MODELS = ModelSettings(lr_max_iter=200, rf_trees=20, rf_max_depth=6, gbt_i
 
 
 def stored_full(spark, sf_dir) -> DataFrame:
-    return store_panel(full_panel(spark, sf_dir), "full", key=f"full|{sf_dir}")
+    return store_panel(full_panel(spark, sf_dir), "full", key="all")
 
 
 def _fold_query(model_name: str):

@@ -9,14 +9,13 @@ from ..oracle import (
     index_columns_sql,
     index_features_cte,
     lag_panel_cte,
-    output_digits,
     rnd,
     rsel,
     technical_all_sql,
     technical_panel_cte,
     with_ctes,
 )
-from ..schema import LAG_FEATURES, TECHNICAL_FEATURES
+from ..schema import LAG_FEATURES, TECHNICAL_FEATURES, output_digits
 from .catalog import TECHNICAL_GROUPS
 
 KEYS = "Ticker, Date"

@@ -45,9 +45,10 @@ def rule_predictions(panel: DataFrame, fold: str | None = None) -> DataFrame:
 def fold_rule_predictions(panel: DataFrame, folds: DataFrame) -> DataFrame:
     """Rule predictions on each fold's validation window (fold label = fold number).
 
-    `folds` has at most n_splits rows with disjoint validation windows: it is
-    broadcast and each panel row matches at most one fold.
+    `folds` has at most n_splits rows; a panel row plays in every fold whose window holds it.
     """
-    fb = F.broadcast(folds.select("fold", "val_start", "val_end"))
-    rows = panel.join(fb, (panel.Date >= fb.val_start) & (panel.Date <= fb.val_end))
-    return rule_predictions(rows.drop("val_start", "val_end"))
+    windows = folds.select("fold", "val_start", "val_end").collect()
+    if not windows:
+        return rule_predictions(panel.limit(0), "")
+    of = F.array(*[F.when(F.col("Date").between(r["val_start"], r["val_end"]), F.lit(r["fold"])) for r in windows])
+    return rule_predictions(panel.withColumn("fold", F.explode(F.filter(of, lambda f: f.isNotNull()))))

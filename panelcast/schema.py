@@ -6,6 +6,8 @@ name: every column that is not in META_COLUMNS is a model input.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 BARS_SCHEMA = T.StructType(
@@ -107,3 +109,18 @@ def safe_name(name: str) -> str:
     """Column-safe form of an index name ("MIDDLE EAST" -> "MIDDLE_EAST")."""
     out = "".join(ch if ch.isalnum() else "_" for ch in name.strip())
     return out or "_"
+
+
+# Decimals of outputs that queries round: price-level columns keep four, others six.
+PRICE_LEVEL = {
+    "Open", "High", "Low", "Close", "Volume", "Price_Range",
+    "Volume_MA_5", "Volume_MA_10", "Volume_MA_20", "MA_5", "MA_10", "MA_20", "MA_50",
+    "BB_Middle", "BB_Std", "BB_Upper", "BB_Lower", "High_20", "Low_20",
+    "MACD", "MACD_Signal", "MACD_Histogram",
+}
+
+
+def output_digits(name: str) -> int:
+    if name in PRICE_LEVEL or name.endswith("_Close") or re.fullmatch(r"[A-Z_]+_MA_(5|20)", name):
+        return 4
+    return 6

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import threading
 import uuid
 
@@ -54,32 +55,39 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    On a cluster the setting names shared storage and is used as given.  Where it is
-    unset (local runs, tests) it is set once to `_checkpoints` under the session's
-    warehouse directory - the session's own storage, never a machine temp folder.
+    On a cluster the setting names shared storage and is used as given; unset there it
+    is an error, since executors could not see each other's files.  With a local master
+    `_checkpoints` under the session's warehouse directory serves instead.  The
+    session's settings are not changed.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    master = "local"
+    try:
+        conf = spark.sparkContext.getConf()
+        path = path or conf.get("spark.checkpoint.dir", None)
+        master = spark.sparkContext.master
+    except Exception:  # noqa: BLE001 - no SparkContext handle (e.g. a remote session)
+        master = "remote" if not path else master
     if not path:
-        try:
-            path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        except Exception:  # noqa: BLE001 - no SparkContext handle (e.g. a remote session)
-            path = None
-    if not path:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        path = f"{warehouse}/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return path.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Tests only: use spark.checkpoint.dir when set, else `fallback`."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        spark.conf.set("spark.checkpoint.dir", fallback)
-    return checkpoint_dir(spark)
+ROW_GROUP_BYTES = 16 * 1024 * 1024
 
 
-ROW_GROUP_BYTES = 16 * 1024 * 1024
+# Folders written with a key, by (application, key): handed out again, never overwritten.
+_written: dict[tuple[str, str], str] = {}
+_writing = threading.Lock()
+
+
+def _application(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - a remote session
+        return str(id(spark))
 
 
 def materialize(
@@ -88,19 +96,44 @@ def materialize(
     """Write `df` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing the plan)
-    and gives later filters a scan with pushed-down predicates.  With `key` the folder
-    name is deterministic per key and calling thread and rewritten on every call
-    (bounded disk use for repeated runs of the same step); without it every call gets
-    a fresh folder.  A folder that cannot be
-    written is an error.
+    and gives later filters a scan with pushed-down predicates.  Every write goes to a
+    folder of its own, so a frame handed out earlier stays readable.  With `key` (what the
+    rows depend on besides the files of the plan) the folder is written once for each
+    application, key and set of input files and then read again; `release` forgets it.
+    A folder that cannot be written is an error.
     """
     spark = df.sparkSession
-    # The thread id keeps concurrent callers (one session, several threads) apart.
-    suffix = hashlib.sha1(f"{key}|{threading.get_ident()}".encode()).hexdigest()[:16] if key else uuid.uuid4().hex
-    path = f"{checkpoint_dir(spark)}/panelcast/{name}-{suffix}"
+    if key is None:
+        return spark.read.parquet(_write(df, name, partition_by))
+    files = hashlib.sha1("\n".join(sorted(df.inputFiles())).encode()).hexdigest()
+    place = (_application(spark), f"{name}|{key}|{files}")
+    with _writing:  # one writer at a time; a second caller waits and reads
+        if place not in _written:
+            _written[place] = _write(df, name, partition_by)
+        return spark.read.parquet(_written[place])
+
+
+def _write(df: DataFrame, name: str, partition_by: list[str] | None) -> str:
+    path = f"{checkpoint_dir(df.sparkSession)}/panelcast/{name}-{uuid.uuid4().hex}"
     # Small row groups: each concurrent Parquet writer buffers one row group in memory.
-    writer = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
+    writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what `materialize` has written with a key for this application.
+
+    Frames read from it can no longer be used."""
+    app = _application(spark)
+    with _writing:
+        for place in [p for p in _written if p[0] == app]:
+            delete_folder(spark, _written.pop(place))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -3,10 +3,11 @@
 * read_bars: one CSV per ticker (Date, Open, High, Low, Close, Volume) under a folder;
   the ticker is the file name without ".csv" (dots such as BRK.B kept).  All files are
   one scan with an explicit schema - no per-file Python loop.
-* The reference drops a whole file on any error; here rows that do not parse, or carry
-  a missing / non-positive price, mark their ticker as rejected: those tickers are
-  removed from the bars (anti-join against a per-ticker flag, an aggregate of one row
-  per ticker) and returned in a `rejects` DataFrame with the reason.
+* The reference drops a whole file that it cannot read.  Here a row that does not parse
+  or has no date marks its ticker as rejected: those tickers are removed from the bars
+  (anti-join against a per-ticker flag, an aggregate of one row per ticker) and
+  returned in a `rejects` DataFrame with the reason.  An empty price or volume is a
+  missing value and stays one; prices of zero or less stay as they are (see log_return).
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.splits import between_dates
 from ..schema import BAR_FILE_SCHEMA, INDEX_BARS_SCHEMA, REFERENCE_INDICES
 
-CORRUPT = "_corrupt_record"
-
 
 def ticker_from_path(col: str = "_metadata.file_name"):
     """File name without its .csv suffix."""
@@ -30,33 +30,30 @@ def read_bars(
 ) -> tuple[DataFrame, DataFrame]:
     """S1 + S2 + S3: (bars, rejects).
 
-    bars: Ticker, Date, Open, High, Low, Close, Volume for tickers whose every row is
-    valid; rejects: Ticker, bad_rows, reason.
+    bars: Ticker, Date, Open, High, Low, Close, Volume of tickers whose every row parses;
+    rejects: Ticker, bad_rows, reason.
     """
-    schema = T.StructType(BAR_FILE_SCHEMA.fields + [T.StructField(CORRUPT, T.StringType(), True)])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(f"{folder.rstrip('/')}/{pattern}")
+    # Cells are read as text and parsed here, so that every cell is checked whichever
+    # columns a query needs.
+    names = [f.name for f in BAR_FILE_SCHEMA.fields]
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    cells = (
+        spark.read.schema(text).option("header", True).csv(f"{folder.rstrip('/')}/{pattern}")
         .withColumn("Ticker", ticker_from_path())
     )
-    bad = (
-        F.col(CORRUPT).isNotNull()
-        | F.col("Date").isNull()
-        | F.col("Close").isNull()
-        | (F.col("Close") <= 0)
-        | (F.col("Open") <= 0)
-        | (F.col("High") <= 0)
-        | (F.col("Low") <= 0)
-    )
-    flagged = raw.withColumn("_bad", bad)
+    parsed = {f.name: F.trim(f.name).try_cast(f.dataType) for f in BAR_FILE_SCHEMA.fields}
+    unread = [(F.trim(n) != "") & v.isNull() for n, v in parsed.items()]
+    bad = parsed["Date"].isNull()
+    for wrong in unread:
+        bad = bad | F.coalesce(wrong, F.lit(False))
+    number = lambda v: F.when(~F.isnan(v), v)  # noqa: E731  the text NaN is a missing value
+    raw = cells.withColumn("_bad", bad).withColumns({n: v if n == "Date" else number(v) for n, v in parsed.items()})
+    flagged = raw
     rejects = (
         flagged.groupBy("Ticker")
         .agg(F.sum(F.col("_bad").cast("long")).alias("bad_rows"))
         .filter(F.col("bad_rows") > 0)
-        .withColumn("reason", F.lit("unparsable row or missing / non-positive price"))
+        .withColumn("reason", F.lit("unparsable row"))
     )
     # One row per rejected ticker: counted, then broadcast so the bars are not
     # shuffled by ticker (a hot ticker would otherwise land in one task).
@@ -137,12 +134,10 @@ def write_folds(panel: DataFrame, summary: DataFrame, path: str, test_start=None
     base = path.rstrip("/")
     for r in summary.collect():
         k = r["fold"]
-        panel.filter(F.col("Date") <= F.lit(r["train_end"])).write.mode("overwrite").parquet(f"{base}/fold_{k}_train")
-        panel.filter((F.col("Date") >= F.lit(r["val_start"])) & (F.col("Date") <= F.lit(r["val_end"]))).write.mode(
-            "overwrite"
-        ).parquet(f"{base}/fold_{k}_validation")
+        between_dates(panel, hi=r["train_end"]).write.mode("overwrite").parquet(f"{base}/fold_{k}_train")
+        between_dates(panel, r["val_start"], r["val_end"]).write.mode("overwrite").parquet(f"{base}/fold_{k}_validation")
     if test_start is not None:
-        panel.filter(F.col("Date") >= F.lit(test_start)).write.mode("overwrite").parquet(f"{base}/final_test")
+        between_dates(panel, lo=test_start).write.mode("overwrite").parquet(f"{base}/final_test")
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}/splits_summary")
 
 

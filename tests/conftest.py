@@ -7,11 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    from panelcast.session import ensure_checkpoint_dir, local_session
+def spark():
+    from panelcast.session import local_session
 
     s = local_session(cores="*", shuffle_partitions=8, app="panelcast-tests")
-    ensure_checkpoint_dir(s, str(tmp_path_factory.mktemp("checkpoints")))
     yield s
 
 

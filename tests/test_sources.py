@@ -1,5 +1,6 @@
 import datetime as dt
 
+from panelcast.operators.technical import technical_panel
 from panelcast.sources.files import read_bars, write_panel, read_panel
 
 
@@ -15,6 +16,24 @@ def test_csv_bars_with_ticker_names_and_rejects(spark, tmp_path):
     assert bars.filter("Ticker = 'AAA'").orderBy("Date").first().Date == dt.date(2020, 1, 2)
 
 
+def test_only_unparsable_rows_reject_a_ticker(spark, tmp_path):
+    """An empty, zero or negative price loses the windows it is in, not the ticker."""
+    days = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), 100 + (i * 37 % 11)) for i in range(130)]
+    head = "Date,Open,High,Low,Close,Volume\n"
+    line = lambda d, c: f"{d},{c},{c + 1},{c - 1},{c},{10 + c}\n"
+    for name, odd in (("EMPTY", ""), ("ZERO", "0"), ("NEG", "-5"), ("BAD", "oops")):
+        rows = [line(d, c) if i != 60 else f"{d},{c},{c + 1},{c - 1},{odd},{10 + c}\n" for i, (d, c) in enumerate(days)]
+        (tmp_path / f"{name}.csv").write_text(head + "".join(rows))
+    bars, rejects = read_bars(spark, str(tmp_path))
+    assert [r.Ticker for r in rejects.collect()] == ["BAD"]
+    assert {r.Ticker: r["count"] for r in bars.groupBy("Ticker").count().collect()} == {"EMPTY": 130, "ZERO": 130, "NEG": 130}
+    kept = {r.Ticker: r["count"] for r in technical_panel(bars).groupBy("Ticker").count().collect()}
+    # 50 bars before the first full window less one, and 50 windows of MA_50 that hold the gap.
+    assert kept["EMPTY"] == 130 - 1 - 49 - 50
+    # ln is missing on both sides of a negative price: its longest windows hold 20 returns.
+    assert kept["NEG"] == 130 - 1 - 49 - 21 and kept["ZERO"] > 0
+
+
 def test_panel_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([("A", dt.date(2020, 1, 2), 1.0)], "Ticker string, Date date, x double")
     write_panel(df, str(tmp_path / "p"))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import make_bars, pandas_indicators, random_walk
+from helpers import make_bars, random_walk, sample_std, surviving
 from panelcast.operators.lags import lag_features
 from panelcast.operators.series import SeriesLayout
 from panelcast.operators.technical import technical_features, technical_panel
@@ -21,25 +21,25 @@ def walks():
     return {"A": random_walk(300, 1), "B": random_walk(180, 2), "C": random_walk(75, 3)}
 
 
-def test_multi_block_series_match_pandas(spark):
+def test_multi_block_series_match_the_definitions(spark):
     """A 2,600-row series exceeds one EWM block: block sums + carries and the
-    (_blk, Date) ordering are used; values still equal the pandas formulas."""
+    (_blk, Date) ordering are used; values still equal the definitions."""
     walks = {"L": random_walk(2600, 41), "S": random_walk(120, 42)}
     tech = technical_features(make_bars(spark, walks))
     assert not tech.single_block
     got = tech.finish().toPandas()
     for t, df in walks.items():
-        want = pandas_indicators(df).iloc[:-1].dropna().reset_index(drop=True)
+        want = surviving(df)
         g = got[got.Ticker == t].sort_values("Date").reset_index(drop=True)
         assert len(g) == len(want)
         for c in CHECKED:
             np.testing.assert_allclose(g[c].to_numpy(), want[c].to_numpy(), rtol=1e-9, atol=1e-9, err_msg=c)
 
 
-def test_indicators_match_pandas(spark, walks):
+def test_indicators_match_the_definitions(spark, walks):
     got = technical_panel(make_bars(spark, walks)).toPandas()
     for t, df in walks.items():
-        want = pandas_indicators(df).iloc[:-1].dropna().reset_index(drop=True)
+        want = surviving(df)
         g = got[got.Ticker == t].sort_values("Date").reset_index(drop=True)
         assert len(g) == len(want), t
         for c in CHECKED:
@@ -110,36 +110,68 @@ def test_no_leakage_future_rows_do_not_change_features(spark):
         np.testing.assert_allclose(a[c].to_numpy(), b[c].to_numpy(), rtol=1e-12, err_msg=c)
 
 
-def pandas_lags(tech: pd.DataFrame) -> pd.DataFrame:
-    """SURVEY 2.5.3 in pandas on the surviving technical rows of one ticker."""
-    g = tech.sort_values("Date").reset_index(drop=True).copy()
-    r = g["Return"]
-    for k in (1, 2, 3, 4, 5, 10, 15, 20, 22):
-        g[f"Lag_Return_{k}"] = r.shift(k)
-    g["Lag_Return_Mean_5"] = r.shift(1).rolling(5).mean()
-    g["Lag_Return_Mean_22"] = r.shift(1).rolling(22).mean()
-    g["Lag_Return_Std_5"] = r.shift(1).rolling(5).std()
-    g["Lag_Return_Std_22"] = r.shift(1).rolling(22).std()
-    for src, ks in (("Price_MA5_Ratio", (1, 5)), ("Price_MA20_Ratio", (1, 5)), ("Volume_Ratio_5", (1, 5))):
-        for k in ks:
-            g[f"Lag_{src}_{k}"] = g[src].shift(k)
-    g["Lag_Volatility_5_1"] = g["Volatility_5"].shift(1)
-    g["Lag_Volatility_20_1"] = g["Volatility_20"].shift(1)
-    return g.replace([np.inf, -np.inf], np.nan).fillna(0)
-
-
-def test_lag_features_match_pandas(spark, walks):
+def expected_lags(tech: pd.DataFrame) -> pd.DataFrame:
+    """SURVEY 2.5.3 by position in one ticker's surviving rows: what stands k rows earlier,
+    and statistics of the n returns before today; 0 where there are not so many rows."""
+    rows = tech.sort_values("Date").reset_index(drop=True)
+    ret = rows["Return"].to_numpy(float)
+    out = {}
+
+    def earlier(source: str, k: int) -> list:
+        values = rows[source].to_numpy(float)
+        return [values[i - k] if i >= k else 0.0 for i in range(len(rows))]
+
+    def before(n: int, fn) -> list:
+        return [fn(ret[i - n : i]) if i >= n else 0.0 for i in range(len(rows))]
+
+    for name in LAG_FEATURES:
+        *source, last = name.removeprefix("Lag_").split("_")
+        if source[-1] in ("Mean", "Std"):
+            out[name] = before(int(last), np.mean if source[-1] == "Mean" else sample_std)
+        else:
+            out[name] = earlier("_".join(source), int(last))
+    return pd.DataFrame(out).replace([np.inf, -np.inf], 0.0)
+
+
+def test_lag_features_match_the_definitions(spark, walks):
     tech = technical_features(make_bars(spark, walks))
     got = lag_features(tech).finish().toPandas()
     base = tech.finish().toPandas()
     for t in walks:
-        want = pandas_lags(base[base.Ticker == t])
+        want = expected_lags(base[base.Ticker == t])
         g = got[got.Ticker == t].sort_values("Date").reset_index(drop=True)
         assert len(g) == len(want)
         for c in LAG_FEATURES:
             np.testing.assert_allclose(g[c].to_numpy(), want[c].to_numpy(), rtol=1e-9, atol=1e-12, err_msg=c)
 
 
+def test_moments_after_a_jump(spark):
+    """One 100-fold tick at 0.05 % volatility: rows past its windows are exact, split or not."""
+    df = random_walk(300, 51, daily=0.0005)
+    df.loc[100, ["Open", "High", "Low", "Close"]] *= 100.0
+    long = random_walk(4200, 52, daily=0.0005)
+    long.loc[2040, ["Open", "High", "Low", "Close"]] *= 100.0
+    for walks, layout in (({"J": df}, None), ({"K": long}, SeriesLayout(segment_rows=2048, halo_rows=1024))):
+        got = technical_features(make_bars(spark, walks), layout).finish().toPandas().sort_values("Date").reset_index(drop=True)
+        want = surviving(next(iter(walks.values())))
+        assert len(got) == len(want)
+        for c in ("Return_Skew_10", "Return_Kurt_10", "Autocorr_1", "Autocorr_2", "Autocorr_5"):
+            np.testing.assert_allclose(got[c], want[c], rtol=1e-8, atol=1e-9, err_msg=c)
+
+
+def test_missing_closes(spark):
+    """Gaps at the start, in the middle and at a block boundary; only their windows are lost."""
+    short, long = random_walk(200, 61), random_walk(2600, 62)
+    short.loc[[0, 1, 150], "Close"] = np.nan
+    long.loc[[0, 700, 1023, 1024, 2047, 2048], "Close"] = np.nan
+    for name, df in (("s", short), ("l", long)):
+        got = technical_panel(make_bars(spark, {name: df})).toPandas().sort_values("Date").reset_index(drop=True)
+        want = surviving(df)
+        assert len(got) == len(want) > 0
+        for c in ("MACD", "MACD_Signal", "MA_50", "Return_Kurt_10", "RSI"):
+            np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=1e-9, err_msg=c)
+
+
 def test_segment_halo_guard_stops_instead_of_wrong_lags(spark):
     df = random_walk(5000, 31)
     df.loc[1000:2150, ["Open", "High", "Low", "Close"]] = 80.0  # no survivors in segment 1's halo
