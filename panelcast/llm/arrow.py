@@ -31,7 +31,7 @@ def map_texts(df: DataFrame, per_batch: Callable, schema: str, id_col: str = "do
 
 # Texts of one batch are worked on in slices of about this many bytes, so that numpy
 # scratch arrays stay small whatever the batch size; one longer text is a slice alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def bounded(batch: pa.RecordBatch, text_at: int = 1) -> Iterator[pa.RecordBatch]:
