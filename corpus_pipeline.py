@@ -25,11 +25,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that whose id is the component's.  Rows repeated with
-    one id are one document; without any id in a group, one row of those stays."""
-    parts = simhash.near_duplicate_components(docs, shingle_words=3, max_bits=3)
-    kept = parts.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group: that whose id is the component's.
+
+    Rows repeated with one id are one document.  Rows without an id cannot be told apart
+    by it and all stay."""
+    parts = stored(simhash.near_duplicate_components(docs, shingle_words=3, max_bits=3), "dedup-components")
+    gone = parts.filter("doc_id != component_id").select("doc_id").distinct()
+    # Counted: few ids are sent to the texts; beyond that, both sides are exchanged.
+    if gone.count() <= simhash.BROADCAST_VARIANTS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = parts.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return kept if repeated.isEmpty() else _first_of_id(kept)
+
+
+def _first_of_id(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
