@@ -54,6 +54,12 @@ SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS Ticker, CAST(l_shipdate AS DATE) AS
 FROM lineitem GROUP BY 1, 2
 """
 
+NTH = f"row_number() OVER ({W})"
+
+# One tick a hundred times too high in each ticker; every 97th close missing.
+BARS_JUMP = f"SELECT * REPLACE (CASE WHEN {NTH} = 100 THEN Close * 100 ELSE Close END AS Close) FROM ({BARS})"
+BARS_GAPS = f"SELECT * REPLACE (CASE WHEN {NTH} % 97 = 0 THEN NULL ELSE Close END AS Close) FROM ({BARS})"
+
 INDEX_BARS = """
 SELECT r_name AS IndexName, CAST(o_orderdate AS DATE) AS Date, avg(o_totalprice) AS Close
 FROM orders JOIN customer ON o_custkey = c_custkey
@@ -65,9 +71,9 @@ GROUP BY 1, 2
 def ewm_sql(x: str, span: float, part: str = "Ticker", order: str = "Date", pos: str = "pos") -> str:
     q = 1.0 - 2.0 / (span + 1.0)
     cum = f"(PARTITION BY {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    num = f"pow({q!r}, {pos}) * sum(({x}) * pow({q!r}, -{pos})) OVER {cum}"
-    den = f"((1.0 - pow({q!r}, {pos} + 1)) / {1.0 - q!r})"
-    return f"(({num}) / {den})"
+    num = f"sum(({x}) * pow({q!r}, -{pos})) OVER {cum}"
+    den = f"sum(CASE WHEN ({x}) IS NOT NULL THEN pow({q!r}, -{pos}) END) OVER {cum}"
+    return f"(({num}) / ({den}))"
 
 
 def technical_all_sql(bars_sql: str = BARS) -> str:
@@ -213,10 +219,6 @@ def with_ctes(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip().rstrip(',')}\n{body}"
 
 
-# Decimals kept per output column for the cross-engine value hash.
-# Price-level columns keep 4 (summation noise ~1e-11 on values up to ~1e5), the rest 6.
-
-
 def rsel(cols: list[str], doubles: set[str] | None = None) -> str:
     """Select list that rounds the given double columns like queries.rounded()."""
     out = []

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,7 @@ from ..operators.splits import (
 from ..operators.summary import class_balance, panel_summary
 from ..operators.technical import technical_columns, technical_features, with_return_target
 from ..schema import LAG_FEATURES, TECHNICAL_FEATURES, output_digits
-from ..session import checkpoint_dir, materialize
+from ..session import checkpoint_dir, delete_folder, materialize
 from ..sources.tpch import bars_from_lineitem, index_bars_from_orders
 from .rules import fold_rule_predictions, rule_predictions
 from .validation import date_filter, metrics_table, run_final, run_validation, score_saved, store_panel
@@ -95,6 +95,25 @@ def group_query(name: str):
     return run
 
 
+def _changed_closes(spark, sf_dir, close) -> DataFrame:
+    """Indicators of the stand-in bars with closes changed by their place in the ticker."""
+    nth = F.row_number().over(Window.partitionBy("Ticker").orderBy("Date"))
+    changed = bars(spark, sf_dir).withColumn("_nth", nth).withColumn("Close", close).drop("_nth")
+    return technical_columns(with_return_target(layout_series(changed))).finish()
+
+
+def q_return_moments_jump(spark, sf_dir):
+    """Return moments where each ticker has one tick a hundred times too high."""
+    close = F.when(F.col("_nth") == 100, F.col("Close") * 100).otherwise(F.col("Close"))
+    return rounded(_changed_closes(spark, sf_dir, close).select(*KEYS, *TECHNICAL_GROUPS["return_moments"]))
+
+
+def q_macd_gaps(spark, sf_dir):
+    """MACD where every 97th close is missing."""
+    close = F.when(F.col("_nth") % 97 != 0, F.col("Close"))
+    return rounded(_changed_closes(spark, sf_dir, close).select(*KEYS, *TECHNICAL_GROUPS["macd"]))
+
+
 def technical(spark: SparkSession, sf_dir: str):
     return technical_features(bars(spark, sf_dir))
 
@@ -321,8 +340,11 @@ def q_saved_model_roundtrip(spark, sf_dir):
     run_validation(panel, summary, QUERY_MODELS, [LOGISTIC], model_dir=model_dir, folds=[1])
     start = final_test_start(panel, 0.2)
     test = date_filter(panel, lo=start) if start is not None else panel.limit(0)
-    preds = score_saved(model_dir, test, ["1", "final"], [LOGISTIC])
-    return rounded(metrics_table(preds))
+    run_final(panel, summary, start, QUERY_MODELS, [LOGISTIC], model_dir=model_dir)
+    # Written before the models go: the result does not depend on their folder.
+    metrics = materialize(metrics_table(score_saved(model_dir, test, ["1", "final"], [LOGISTIC])), "saved-metrics")
+    delete_folder(spark, model_dir)
+    return rounded(metrics)
 
 
 def fold1_training_rows(spark, sf_dir) -> DataFrame:
@@ -360,6 +382,8 @@ def registry() -> dict:
     }
     for name in TECHNICAL_GROUPS:
         out[name] = group_query(name)
+    out["return_moments_jump"] = q_return_moments_jump
+    out["macd_gaps"] = q_macd_gaps
     out["technical_panel"] = q_technical_panel
     out["lag_features"] = q_lag_features
     out["index_features"] = q_index_features

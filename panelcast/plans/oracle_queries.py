@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..oracle import (
     BARS,
+    BARS_GAPS,
+    BARS_JUMP,
     INDEX_SUFFIXES,
     full_panel_cte,
     index_columns_sql,
@@ -30,8 +32,8 @@ def sql_log_return_target() -> str:
     return with_ctes(technical_all_sql(), f"SELECT {KEYS}, {rsel(['Return'])}, Target FROM tech_all WHERE NOT is_last")
 
 
-def sql_group(name: str) -> str:
-    return with_ctes(technical_all_sql(), f"SELECT {KEYS}, {rsel(TECHNICAL_GROUPS[name])} FROM tech_all")
+def sql_group(name: str, bars_sql: str = BARS) -> str:
+    return with_ctes(technical_all_sql(bars_sql), f"SELECT {KEYS}, {rsel(TECHNICAL_GROUPS[name])} FROM tech_all")
 
 
 def sql_technical_panel() -> str:
@@ -134,6 +136,8 @@ def registry() -> dict[str, str]:
     }
     for name in TECHNICAL_GROUPS:
         out[name] = sql_group(name)
+    out["return_moments_jump"] = sql_group("return_moments", BARS_JUMP)
+    out["macd_gaps"] = sql_group("macd", BARS_GAPS)
     out["technical_panel"] = sql_technical_panel()
     out["lag_features"] = sql_lag_features()
     out["index_features"] = sql_index_features()
