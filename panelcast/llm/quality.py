@@ -1,10 +1,12 @@
 """Operator 9: quality rules by distribution divergence, in DataFrame functions only.
 
 Two rules on counts come first (too few words; too many words in repeated windows).
-Then a document's histograms of character classes and of common short words are
-compared with those of every language in the corpus, by Jensen-Shannon divergence in
-bits (0 equal, 1 disjoint).  A document far from all languages is rejected, unless it
-is too short for its histogram to say much.
+Then a document's histograms of character classes, of common short words and of all
+its words are compared with those of every language in the corpus, by Jensen-Shannon
+divergence in bits (0 equal, 1 disjoint).  A document far from all languages is
+rejected, unless it is too short for its histogram to say much.  The histogram of all
+words has the common words, the other short ones and the long ones: a text of enough
+words that lacks the short ones is far, too.
 """
 
 from __future__ import annotations
@@ -33,11 +35,17 @@ class QualityRules:
     common_words: int = 20
     # Guards: below these sizes a histogram is not compared.
     min_chars: int = 200
-    min_short_words: int = 60
+    min_short_words: int = 20
     max_class_divergence: float = 0.12
     max_word_divergence: float = 0.45
+    # The comparison of all words, from min_all_words on; None leaves it out of the verdict.
+    min_all_words: int = 40
+    max_all_divergence: float | None = None
 
 
+# All rules: what the functions below, the query and the pipeline judge by.
+ALL_RULES = QualityRules(max_all_divergence=0.15)
+
 RESERVED = "__q_"
 
 
@@ -80,7 +88,7 @@ def _counted(docs: DataFrame, text_col: str, rules: QualityRules) -> DataFrame:
     )
 
 
-def measured(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text",
+def measured(docs: DataFrame, rules: QualityRules = ALL_RULES, text_col: str = "text",
              keep_text: bool = True) -> DataFrame:
     """`docs` with the counts of every text, written once: references and verdicts both read it.
 
@@ -112,15 +120,16 @@ def measured(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: st
     return stored(df if keep_text else df.drop(text_col), "measured")
 
 
-def language_references(rows: DataFrame, rules: QualityRules = QualityRules(), lang_col: str = "lang") -> dict:
+def language_references(rows: DataFrame, rules: QualityRules = ALL_RULES, lang_col: str = "lang") -> dict:
     """Histograms of every language over all its documents in `measured` rows.
 
-    {"words": [...], "classes": {lang: [...]}, "short": {lang: [...]}}: the second and
-    third hold probabilities, the last of "short" being that of all other short words.
-    What reaches the driver is 6 + common_words + 1 numbers for each language.
+    {"words": [...], "classes": {lang: [...]}, "short": {lang: [...]}, "all": {lang: [...]}}:
+    all but the first hold probabilities, the last of "short" being that of all other short
+    words; "all" has the same words as shares of all words, and last that of the long ones.
+    What reaches the driver is 7 + common_words + 1 numbers for each language.
     """
     rows = rows.filter(F.col(lang_col).isNotNull()).withColumn("__q_lang", F.col(lang_col).cast("string"))
-    classes = rows.groupBy("__q_lang").agg(*[F.sum(_c(k)).alias(k) for k in CLASSES]).collect()
+    classes = rows.groupBy("__q_lang").agg(*[F.sum(_c(k)).alias(k) for k in (*CLASSES, "n_words")]).collect()
     words = rows.select("__q_lang", F.explode(_c("short")).alias("value"))
     counts = stored(words.groupBy(F.col("__q_lang").alias("lang"), "value").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -136,14 +145,16 @@ def language_references(rows: DataFrame, rules: QualityRules = QualityRules(), l
     vocabulary = sorted({b["value"] for r in top.collect() for b in r["best"]})
     # The joint vocabulary's counts in every language, so that all histograms share one space.
     joint = {(r["lang"], r["value"]): r["n"] for r in counts.filter(F.col("value").isin(vocabulary)).collect()} if vocabulary else {}
-    out: dict = {"words": vocabulary, "classes": {}, "short": {}}
+    out: dict = {"words": vocabulary, "classes": {}, "short": {}, "all": {}}
     for r in sorted(classes, key=lambda r: r["__q_lang"]):
         lang = r["__q_lang"]
         if total := sum(r[k] for k in CLASSES):
             out["classes"][lang] = [r[k] / total for k in CLASSES]
         if total := totals.get(lang, 0):
             own = [joint.get((lang, w), 0) for w in vocabulary]
-            out["short"][lang] = [x / total for x in own] + [(total - sum(own)) / total]
+            own.append(total - sum(own))
+            out["short"][lang] = [x / total for x in own]
+            out["all"][lang] = [x / r["n_words"] for x in (*own, r["n_words"] - total)]
     return out
 
 
@@ -169,10 +180,10 @@ def _half_terms(p: Column, q: Column) -> Column:
     return term(p) + term(q) - q
 
 
-def _word_divergence(reference: list[float]) -> Column:
+def _word_divergence(reference: list[float], kinds: Column, share: Column) -> Column:
     """Of the words present (places and shares) from a reference; absent ones add half their share."""
     q = F.array(*[F.lit(float(x)) for x in reference])
-    terms = F.zip_with(_c("kinds"), _c("share"), lambda k, p: _half_terms(p, F.element_at(q, k)))
+    terms = F.zip_with(kinds, share, lambda k, p: _half_terms(p, F.element_at(q, k)))
     return F.aggregate(terms, F.lit(1.0), lambda s, x: s + x) / 2
 
 
@@ -180,9 +191,9 @@ def _nearest(divergences: list[Column]) -> Column:
     return F.least(*divergences) if len(divergences) > 1 else divergences[0]
 
 
-def verdicts(rows: DataFrame, references: dict, rules: QualityRules = QualityRules(), out_col: str = "__quality") -> DataFrame:
+def verdicts(rows: DataFrame, references: dict, rules: QualityRules = ALL_RULES, out_col: str = "__quality") -> DataFrame:
     """`measured` rows with one struct column instead of their working columns: n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_divergence, word_divergence.
+    n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_divergence, word_divergence, all_words_divergence.
 
     A divergence is null where its guard or an empty set of references forbids it, and
     then rejects nothing.  Rows are independent, so repeated rows and ties agree.
@@ -211,13 +222,28 @@ def verdicts(rows: DataFrame, references: dict, rules: QualityRules = QualityRul
             kinds=F.concat(F.transform(_c("runs"), lambda i: F.get(_c("place"), i)), F.array(F.lit(len(words) + 1))),
             share=F.concat(share, F.array((_c("n_short") - n_known) / n)),
         )
-        df = _with(df, word_div=F.when(_c("n_short") >= rules.min_short_words, _nearest([_word_divergence(r) for r in short_refs])))
+        # The same counts as shares of all words; the long words have the place after those.
+        n_all = F.greatest(_c("n_words"), F.lit(1)).cast("double")
+        df = _with(
+            df,
+            all_kinds=F.concat(_c("kinds"), F.array(F.lit(len(words) + 2))),
+            all_share=F.concat(F.transform(_c("share"), lambda x: x * (_c("n_short") / n_all)), F.array((_c("n_words") - _c("n_short")) / n_all)),
+        )
+        word_div = [_word_divergence(r, _c("kinds"), _c("share")) for r in short_refs]
+        all_div = [_word_divergence(r, _c("all_kinds"), _c("all_share")) for r in references["all"].values()]
+        df = _with(
+            df,
+            word_div=F.when(_c("n_short") >= rules.min_short_words, _nearest(word_div)),
+            all_div=F.when(_c("n_words") >= rules.min_all_words, _nearest(all_div)),
+        )
     else:
-        df = _with(df, word_div=F.lit(None).cast("double"))
+        df = _with(df, word_div=F.lit(None).cast("double"), all_div=F.lit(None).cast("double"))
     failed = (_c("n_words") < rules.min_words) | (100 * _c("n_repeat") > rules.max_repeat_percent * _c("n_words"))
     odd = F.coalesce(_c("class_div") > rules.max_class_divergence, F.lit(False)) | F.coalesce(
         _c("word_div") > rules.max_word_divergence, F.lit(False)
     )
+    if rules.max_all_divergence is not None:
+        odd = odd | F.coalesce(_c("all_div") > rules.max_all_divergence, F.lit(False))
     result = F.struct(
         _c("n_words").alias("n_words"),
         (_c("n_text") - _c("space")).alias("word_chars"),
@@ -228,11 +254,12 @@ def verdicts(rows: DataFrame, references: dict, rules: QualityRules = QualityRul
         (~failed & ~odd).alias("kept"),
         _c("class_div").alias("class_divergence"),
         _c("word_div").alias("word_divergence"),
+        _c("all_div").alias("all_words_divergence"),
     )
     return df.select(*[F.col(f"`{c}`") for c in rows.columns if not c.startswith(RESERVED)], result.alias(out_col))
 
 
-def with_quality(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text", lang_col: str = "lang",
+def with_quality(docs: DataFrame, rules: QualityRules = ALL_RULES, text_col: str = "text", lang_col: str = "lang",
                  out_col: str = "__quality") -> DataFrame:
     """Measure, take the references from the documents themselves, and judge: see `verdicts`."""
     rows = measured(docs, rules, text_col)

@@ -141,3 +141,27 @@ def test_divergences_and_verdicts(spark):
         odd = (r["class_divergence"] or 0) > rules.max_class_divergence or (r["word_divergence"] or 0) > rules.max_word_divergence
         assert r["kept"] == (not r["base_failed"] and not odd)
     assert with_quality(docs.filter("1 = 0")).collect() == []
+
+
+def test_long_texts_with_few_short_words_are_judged(spark):
+    """All words count: junk of long words, or common words with symbols stuck to them, is compared too."""
+    docs = spark.read.parquet(SF)
+    junk = [
+        (-1, " ".join(f"{a}thblendnd{b}rewhingatin{a}" for a in "abcdefghij" for b in "klmnopqrst"), None),
+        (-2, " ".join(f"{w}%%% {a}ationwhing the" for w, a in zip(["the", "and", "of"] * 30, "abcdefghij" * 9)), None),
+    ]
+    rows = measured(docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string")))
+    refs = language_references(rows)
+    got = {r["doc_id"]: r for r in verdicts(rows, refs).select("doc_id", "text", "__quality.*").collect()}
+    assert not got[-1]["kept"] and not got[-1]["base_failed"] and got[-1]["word_divergence"] is None
+    for r in got.values():
+        words = [w for w in re.findall(r"[^\x20\x09-\x0D]+", r["text"])]
+        assert (r["all_words_divergence"] is None) == (len(words) < 40)
+        if len(words) >= 40:
+            c, n_short = collections.Counter(words), sum(len(w) <= 4 for w in words)
+            own = [c[w] for w in refs["words"]]
+            p = np.array([*own, n_short - sum(own), len(words) - n_short]) / len(words)
+            assert abs(r["all_words_divergence"] - min(jsd(p, np.array(q)) for q in refs["all"].values())) < 1e-9
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(SF.replace("documents", "labels")).collect()}
+    kept = {y: [r["kept"] for i, r in got.items() if labels.get(i) == y and not r["base_failed"]] for y in (0, 1)}
+    assert kept[0] and not any(kept[0]) and all(kept[1])
