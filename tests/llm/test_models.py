@@ -150,3 +150,18 @@ def test_scan_and_redaction(spark, odd_docs):
                 assert new == r["redacted"] and out[r["doc_id"]]["n_chars"] == len(new)
                 assert not secrets.base_spans(new)
     assert secrets.scan(docs.filter("1 = 0"), net).collect() == []
+
+
+def test_threshold_keeps_the_required_recall(spark):
+    s = secrets.SecretSettings()
+    net = secrets.CharCNN(s)
+    # Half of the secrets score low: the threshold follows them, whatever the probability.
+    z = np.r_[np.linspace(-2, 6, 200), np.linspace(-6, 2, 200)]
+    net.logits = lambda codes: z
+    net.calibrate(np.zeros((400, secrets.WIDTH), np.int64), np.r_[np.ones(200), np.zeros(200)], s)
+    assert net.held_recall >= s.recall and net.threshold < 0.9 and net.held_precision < 1
+    key = "q7Rz0Lm2XvB9tKc4WnY8"
+    assert secrets.key_like(key) and not any(map(secrets.key_like, ("4111111111111111", "some/path/of/words/123", "0f8e1c2d-aaaa-bbbb-cccc-0123456789ab")))
+    del net.logits
+    fitted = secrets.fit(docs_of(spark), s)
+    assert fitted.held_recall >= s.recall and fitted.held_precision > 0.9
