@@ -179,3 +179,16 @@ def test_parts_of_runs_and_short_secrets_are_found(spark):
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(secret)], "doc_id long, text string")
     for r in secrets.scan(rows, net).collect():
         assert secret[r["doc_id"]][1] not in (r["redacted"] or secret[r["doc_id"]][0]), r
+
+
+def test_secret_in_the_middle_of_a_long_run_is_found(spark):
+    key, blob = "Zk3QpX8vTn2LrW7yBc5MdF9hJs4GaE", "aB3dE5fG7hJ9kLmN2pQrS4tUvW6xYz" * 5
+    path = "some/path/leading/over/many/folders/to/"
+    rows = [(1, f"see {path}{key}/and-on-to-a-file-name-2024 there", key), (2, f"jwt {blob} end", blob), (3, f"see {path}another/and-on-to-a-file-name-2024 there", "")]
+    for _, text, _ in rows:
+        read = {i for a, b in secrets._free(text)[1] for i in range(a, b)}
+        assert read >= {i for m in secrets.RUN.finditer(text) if len(m.group()) > 40 for i in range(*m.span())}
+    net = secrets.fit(docs_of(spark))
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), net).collect()}
+    assert key not in got[1]["redacted"]
+    assert got[2]["redacted"] == "jwt [SECRET] end" and got[2]["n_cnn"] == 1 and got[3]["redacted"] is None
