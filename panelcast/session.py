@@ -91,7 +91,7 @@ def _application(spark: SparkSession) -> str:
 
 
 def materialize(
-    df: DataFrame, name: str, partition_by: list[str] | None = None, key: str | None = None
+    df: DataFrame, name: str, partition_by: list[str] | None = None, key: str | None = None, compression: str | None = None
 ) -> DataFrame:
     """Write `df` as Parquet under the shared checkpoint folder and read it back.
 
@@ -104,19 +104,21 @@ def materialize(
     """
     spark = df.sparkSession
     if key is None:
-        return spark.read.parquet(_write(df, name, partition_by))
+        return spark.read.parquet(_write(df, name, partition_by, compression))
     files = hashlib.sha1("\n".join(sorted(df.inputFiles())).encode()).hexdigest()
     place = (_application(spark), f"{name}|{key}|{files}")
     with _writing:  # one writer at a time; a second caller waits and reads
         if place not in _written:
-            _written[place] = _write(df, name, partition_by)
+            _written[place] = _write(df, name, partition_by, compression)
         return spark.read.parquet(_written[place])
 
 
-def _write(df: DataFrame, name: str, partition_by: list[str] | None) -> str:
+def _write(df: DataFrame, name: str, partition_by: list[str] | None, compression: str | None = None) -> str:
     path = f"{checkpoint_dir(df.sparkSession)}/panelcast/{name}-{uuid.uuid4().hex}"
     # Small row groups: each concurrent Parquet writer buffers one row group in memory.
     writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
+    if compression:
+        writer = writer.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -12,6 +12,3 @@ def spark():
 
     s = local_session(cores="*", shuffle_partitions=8, app="panelcast-tests")
     yield s
-
-
-SF001 = "/root/testdata/sf0.001"

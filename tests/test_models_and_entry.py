@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from helpers import make_bars, random_walk
 from panelcast.operators.models import LOGISTIC, ModelSettings, fit_models, load_model, save_models, score
 from panelcast.operators.technical import technical_panel
+from panelcast.plans import catalog, oracle_queries
 from panelcast.session import checkpoint_dir
 
 
@@ -23,8 +24,8 @@ def test_entry_contract(spark):
     import __spark_entry__ as e
 
     qs, sql = e.queries(), e.oracle_sql()
-    assert set(sql) <= set(qs)
-    rows_only = set(qs) - set(sql)
+    assert set(sql) <= set(qs) and set(catalog.registry()) <= set(qs)
+    rows_only = set(catalog.registry()) - set(oracle_queries.registry())
     assert rows_only == {"logreg_fold", "random_forest_fold", "gbt_fold", "final_models", "saved_model_roundtrip"}
     df = e.entry(spark)
     assert df.count() > 0 and "MACD_Signal" in df.columns

@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import SF001
+from helpers import SF001
 from panelcast.operators.splits import equal_split_folds, split_summary
 from panelcast.plans.dataset import build_panel
 from panelcast.plans.validation import date_filter, store_panel

@@ -1,6 +1,6 @@
 """End-to-end flows on the driver's sf0.001 tables."""
 
-from conftest import SF001
+from helpers import SF001
 from panelcast.operators.models import ModelSettings
 from panelcast.operators.splits import equal_split_folds, final_test_start, split_summary
 from panelcast.plans.dataset import build_panel

@@ -78,7 +78,7 @@ def test_final_test_start(spark):
 
 
 def test_folds_are_time_ordered_on_driver_tables(spark):
-    from conftest import SF001
+    from helpers import SF001
     from panelcast.operators.technical import technical_panel
     from panelcast.sources.tpch import bars_from_lineitem
 

@@ -4,8 +4,7 @@ import datetime as dt
 
 import pytest
 
-from conftest import SF001
-from helpers import make_bars, random_walk, surviving
+from helpers import SF001, make_bars, random_walk, surviving
 from panelcast.operators import evaluate as ev
 from panelcast.operators.indices import index_features, wide_index_table
 from panelcast.operators.lags import lag_features
