@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, langid, mixing, quality, secrets, sharding, simhash, token_counts, topk, toxicity
+from . import alignment, byte_bpe, exact_dedup, langid, mixing, quality, secrets, sharding, simhash, token_counts, topk, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,10 +78,28 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op11_exact_dedup(spark, sf_dir):
+    """Groups of equal texts over all documents; the largest id of each stays."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark, sf_dir):
+    """The eight leading whitened components of every vector."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, offset=100_000)
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    """Alignment of two tokenizers on every whole document, with corpus-wide pair counts."""
+    a, b = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.alignment(table(spark, sf_dir, "documents"), a, b)
+
+
 def queries() -> dict:
     found = (
         op1_temperature_mixing, op2_toxicity, op3_byte_bpe, op4_sharding, op5_token_counts,
         op6_secrets, op7_simhash, op8_language_id, op9_quality, op10_top_k,
+        op11_exact_dedup, op12_whitening, op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 
@@ -99,5 +117,15 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), g AS (
+  SELECT doc_id, text, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+         row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) AS nth
+  FROM d WINDOW same AS (PARTITION BY text)
+)
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(text) AS text_sha256 FROM g
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op10_top_k": OP10_SQL}
+    return {"op10_top_k": OP10_SQL, "op11_exact_dedup": OP11_SQL}

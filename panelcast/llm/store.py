@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ..session import materialize
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """`df` written once as Parquet under the shared folder and read back: cuts the
     lineage, survives lost executors, and lets later steps prune columns."""
-    return materialize(df, f"llm-{name}")
+    return materialize(df, f"llm-{name}", compression=compression)

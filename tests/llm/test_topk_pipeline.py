@@ -64,4 +64,4 @@ def test_pipeline_on_odd_rows(spark, odd_docs):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))
