@@ -104,16 +104,17 @@ def materialize(
     """
     spark = df.sparkSession
     if key is None:
-        return spark.read.parquet(_write(df, name, partition_by, compression))
+        return spark.read.parquet(write_table(df, name, partition_by, compression))
     files = hashlib.sha1("\n".join(sorted(df.inputFiles())).encode()).hexdigest()
     place = (_application(spark), f"{name}|{key}|{files}")
     with _writing:  # one writer at a time; a second caller waits and reads
         if place not in _written:
-            _written[place] = _write(df, name, partition_by, compression)
+            _written[place] = write_table(df, name, partition_by, compression)
         return spark.read.parquet(_written[place])
 
 
-def _write(df: DataFrame, name: str, partition_by: list[str] | None, compression: str | None = None) -> str:
+def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str | None = None) -> str:
+    """Write `df` as Parquet to a new folder under the shared one; the folder's path."""
     path = f"{checkpoint_dir(df.sparkSession)}/panelcast/{name}-{uuid.uuid4().hex}"
     # Small row groups: each concurrent Parquet writer buffers one row group in memory.
     writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
