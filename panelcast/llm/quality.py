@@ -264,3 +264,22 @@ def with_quality(docs: DataFrame, rules: QualityRules = ALL_RULES, text_col: str
     """Measure, take the references from the documents themselves, and judge: see `verdicts`."""
     rows = measured(docs, rules, text_col)
     return verdicts(rows, language_references(rows, rules, lang_col), rules, out_col)
+
+
+# Up to so many digests of rejected texts (32 bytes each) are broadcast.
+BROADCAST_DIGESTS = 500_000
+
+
+def passing(docs: DataFrame, rules: QualityRules = ALL_RULES, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs`, all columns, whose text the rules keep.
+
+    A verdict depends on the text alone, so rejected texts are named by their SHA-256 and
+    no text is written on the way."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    narrow = docs.select(digest.alias("__digest"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    rows = measured(narrow, rules, keep_text=False)
+    # Written before the filter: pushed below the verdict, the filter would repeat all of it.
+    judged = stored(verdicts(rows, language_references(rows, rules), rules).select("__digest", "__quality"), "judged")
+    gone = stored(judged.filter("NOT __quality.kept").select("__digest").distinct(), "rejected")
+    few = gone.count() <= BROADCAST_DIGESTS
+    return docs.join(F.broadcast(gone) if few else gone, digest == F.col("__digest"), "left_anti")

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import random
 import re
 
@@ -6,9 +7,10 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from panelcast.llm import quality, simhash
 from panelcast.llm.components import connected_components
 from panelcast.llm.quality import QualityRules, language_references, measured, verdicts, with_quality
-from panelcast.llm.simhash import fingerprint, near_duplicate_components, near_links
+from panelcast.llm.simhash import deduplicated, fingerprint, near_duplicate_components, near_links
 
 SF = "/root/testdata/sf0.001/documents.parquet"
 
@@ -57,6 +59,56 @@ def test_links_give_the_components_of_all_pairs(spark):
     assert partition({f: labels.get(f, f) for f in fps}) == partition(union_find(fps))
 
 
+def test_many_sets_in_one_variant(spark, monkeypatch):
+    """Fingerprints alike but in one block, some of whose bits read like another block's mark."""
+    rng = random.Random(9)
+    fps = set()
+    for lo, hi in simhash.BLOCKS:
+        base = rng.getrandbits(64)
+        for _ in range(150):
+            x = base
+            for _ in range(rng.randrange(5)):
+                x ^= 1 << rng.randrange(lo, hi)
+            fps.add(x if rng.random() < 0.8 else x ^ (1 << rng.randrange(64)))
+    for a, b in ((22, 2), (43, 3), (0, 1)):
+        fps |= {(f & ~(0xFFFFF << a) & (2**64 - 1)) | b << a for f in list(fps)[:40]}
+    fps = [signed(f) for f in fps]
+    want = partition(union_find(fps))
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for few in (64, 1, 10**6):
+        monkeypatch.setattr(simhash, "FEW_SETS", few)
+        labels = {r["node"]: r["label"] for r in connected_components(near_links(table)).collect()}
+        assert partition({f: labels.get(f, f) for f in fps}) == want
+
+
+def test_one_row_of_each_component_stays(spark, odd_docs, monkeypatch):
+    words = lambda *k: " ".join(f"word{i}" for i in k)
+    rows = [(5, words(*range(30))), (9, words(*range(30))), (5, words(*range(50, 90))), (7, words(*range(50, 90))), (5, words(*range(50, 90)))]
+    rows += [(None, words(*range(30))), (None, words(*range(200, 220))), (None, words(*range(200, 220)))]
+    named = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit, tables in ((500_000, [named, spark.read.parquet(SF)]), (0, [named, odd_docs])):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+        for docs in tables:
+            got = deduplicated(docs)
+            assert got.columns == docs.columns
+            rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+            root = union_find({signed(plain_fingerprint(t)) for _, t in rows})
+            groups = collections.defaultdict(list)
+            for i, t in rows:
+                groups[root[signed(plain_fingerprint(t))]].append((i is None, i or 0, hashlib.sha256(t.encode()).digest(), t))
+            want = [(x[1], x[3]) for x in map(min, groups.values())]
+            assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.select("doc_id", "text").collect()) == sorted(want)
+
+
+def test_passing_rows_are_those_kept(spark, odd_docs, monkeypatch):
+    for limit, tables in ((500_000, [odd_docs, spark.read.parquet(SF)]), (0, [odd_docs, odd_docs.filter("1 = 0")])):
+        monkeypatch.setattr(quality, "BROADCAST_DIGESTS", limit)
+        for docs in tables:
+            got, want = quality.passing(docs), [r for r in with_quality(docs).collect() if r["__quality"]["kept"]]
+            assert got.columns == docs.columns
+            assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r)[:-1]) for r in want)
+
+
 def test_chain_of_links(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     labels = {r["node"]: r["label"] for r in connected_components(chain).collect()}

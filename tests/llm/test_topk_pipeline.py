@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from panelcast.llm import topk
 from panelcast.llm.queries import queries
+from panelcast.session import checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,7 +52,10 @@ def test_pipeline_stages(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         seen = stage(spark, seen, SF)
         assert seen.columns == docs.columns and 0 < seen.count() <= 2 * docs.count(), name
+    folder = f"{checkpoint_dir(spark)}/panelcast"
+    written = set(os.listdir(folder))
     out = corpus_pipeline.run(spark, SF)
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - written] == ["llm-mix_sources"]
     assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in docs.collect()}
 
 
