@@ -13,34 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import byte_bpe, mixing, quality, secrets, simhash
-from panelcast.llm.store import stored
+from panelcast.llm.store import working_tables
+from panelcast.session import delete_folder, write_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the count rules and are near some language's histograms."""
-    rows = quality.measured(docs)
-    # Written before the filter: pushed below the verdict, the filter would repeat all of it.
-    judged = stored(quality.verdicts(rows, quality.language_references(rows)), "judged")
-    return judged.filter("__quality.kept").drop("__quality")
+    return quality.passing(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that whose id is the component's.
-
-    Rows repeated with one id are one document.  Rows without an id cannot be told apart
-    by it and all stay."""
-    parts = stored(simhash.near_duplicate_components(docs, shingle_words=3, max_bits=3), "dedup-components")
-    gone = parts.filter("doc_id != component_id").select("doc_id").distinct()
-    # Counted: few ids are sent to the texts; beyond that, both sides are exchanged.
-    if gone.count() <= simhash.BROADCAST_VARIANTS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = parts.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return kept if repeated.isEmpty() else _first_of_id(kept)
-
-
-def _first_of_id(docs: DataFrame) -> DataFrame:
-    return docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group: that with the smallest id."""
+    return simhash.deduplicated(docs, shingle_words=3, max_bits=3)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages.  A stage's working tables and its predecessor's result are deleted once
+    its own result is written, so at most two copies of the texts exist at a time."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with working_tables(spark):
+            path = write_table(stage(spark, docs, sf_dir), f"llm-{name}")
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
