@@ -1,5 +1,6 @@
 import math
 import os
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def plain_top(rows, k=20):
 
 
 def answer(df, **kw):
-    return sorted(tuple(r) for r in topk.top_k(df, **kw).select("query_id", "rank", "vec_id", "score").collect())
+    return sorted((tuple(r) for r in topk.top_k(df, **kw).select("query_id", "rank", "vec_id", "score").collect()), key=lambda r: r[:3])
 
 
 def test_search_equals_brute_force(spark):
@@ -41,6 +42,23 @@ def test_search_equals_brute_force(spark):
     assert answer(df.filter("vec_id < 5")) == plain_top([r for r in rows if r[0] is not None and r[0] < 5])
 
 
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    points = np.round(rng.normal(size=(120, 5)), 2)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(points)]
+    rows += [(200, [5000.0] * 5), (201, [1e6, -1e6, 3.5, 0.0, 1.0]), (220, [1e18, 1.0, 0.0, -2.0, 5.0]), (221, [1e18, 1.0, 0.0, -2.0, 5.02])]
+    rows += [(240, [1e300, 0.0, 0.0, 0.0, 1.0]), (241, [-1e300, 1e300, 7.0, 0.0, 0.0]), (260, [1.7e308] * 5), (261, [-1.7e308] * 5), (262, [2.0**45, 0.1, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = [(i, [math.floor(64 * Fraction(x)) for x in v]) for i, v in rows]
+    want = []
+    for q, mine in exact:
+        if q % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(mine, v)), i) for i, v in exact if i != q)[:20]
+            want += [(q, n + 1, i, -s if abs(s) < 2**63 else None) for n, (s, i) in enumerate(scored)]
+    for kw in ({}, {"shard_rows": 30, "block_rows": 2}):
+        assert answer(df, **kw) == sorted(want)
+
+
 def test_given_vectors(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     assert answer(df) == plain_top([(r["vec_id"], r["embedding"]) for r in df.collect()])
