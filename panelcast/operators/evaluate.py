@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DEFAULT_KEYS = ("model", "fold")
 METRIC_NAMES = ["Accuracy", "Precision", "Recall", "Specificity", "F1-Score"]
 
@@ -140,27 +142,32 @@ def score_curve(
     keys=DEFAULT_KEYS,
     label: str = "Target",
     score: str = "probability",
-    ranges: int = 1024,
-    accuracy: int = 10000,
+    range_rows: int = 1 << 18,
     broadcast_groups: int = 100_000,
 ) -> DataFrame:
     """Per key group and distinct score s: pos, neg at s; tp, fp = counts with score >= s;
-    P, N = class totals.  Cumulative sums use the two-level scan described above."""
+    P, N = class totals.  Cumulative sums use the two-level scan described above.
+
+    The predictions are read once: their distinct scores are written, and counted, so that
+    the number of ranges follows from them (about `range_rows` scores each)."""
     keys = list(keys)
     y = F.col(label)
     g = preds.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum((y == 1).cast("long")).alias("pos"), F.sum((y == 0).cast("long")).alias("neg")
     )
-    qs = [i / ranges for i in range(1, ranges)]
-    cuts = g.groupBy(*keys).agg(F.percentile_approx("score", qs, accuracy).alias("_cuts"))
-    # One array of `ranges` doubles per key group (models x folds).  The groups are
-    # counted (a distinct over the key columns only) and the cuts broadcast below the
-    # limit, so the distinct scores are never shuffled by key group.
-    n_groups = preds.select(*keys).distinct().count()
-    side = F.broadcast(cuts) if n_groups <= broadcast_groups else cuts
-    gr = g.join(side, keys).withColumn(
-        "_rng", F.size(F.filter("_cuts", lambda c: c > F.col("score")))
-    ).drop("_cuts")
+    g = materialize(g, "scores")
+    n_groups, most = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+    ranges = max(1, -(-(most or 0) // range_rows))
+    if ranges == 1:
+        gr = g.withColumn("_rng", F.lit(0))
+    else:
+        cuts = g.groupBy(*keys).agg(
+            F.percentile_approx("score", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges)).alias("_cuts")
+        )
+        # One array of `ranges` doubles per key group (models x folds), broadcast below the
+        # limit, so the distinct scores are never shuffled by key group.
+        side = F.broadcast(cuts) if n_groups <= broadcast_groups else cuts
+        gr = g.join(side, keys).withColumn("_rng", _cuts_above("_cuts", "score", ranges - 1)).drop("_cuts")
     per_range = gr.groupBy(*keys, "_rng").agg(F.sum("pos").alias("_rp"), F.sum("neg").alias("_rn"))
     before = Window.partitionBy(*keys).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     total = Window.partitionBy(*keys)
@@ -185,6 +192,16 @@ def score_curve(
     )
 
 
+def _cuts_above(cuts: str, value: str, n: int) -> Column:
+    """Number of the n ascending `cuts` greater than `value`: a look among every step-th one, then
+    among the step cuts around it."""
+    step = max(1, int(n**0.5))
+    coarse = F.filter(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step)), lambda i: F.get(F.col(cuts), i) <= F.col(value))
+    base = F.greatest(F.size(coarse) - 1, F.lit(0)) * step
+    near = F.filter(F.slice(F.col(cuts), base + 1, F.lit(step)), lambda c: c <= F.col(value))
+    return F.lit(n) - base - F.size(near)
+
+
 def _totals(curve: DataFrame, keys) -> DataFrame:
     return curve.groupBy(*keys).agg(F.first("P").alias("P"), F.first("N").alias("N"))
 

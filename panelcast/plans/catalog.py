@@ -16,7 +16,7 @@ from ..functions.expr import stable_round
 from ..operators import evaluate as ev
 from ..operators.indices import index_features, join_index_features, wide_index_table
 from ..operators.lags import lag_features
-from ..operators.models import BOOSTED, FOREST, LOGISTIC, ModelSettings, class_weight_table, prepare, scaler_stats
+from ..operators.models import BOOSTED, FOREST, LOGISTIC, class_weight_table, prepare, scaler_stats
 from ..operators.series import layout_series
 from ..operators.splits import (
     calendar_split_folds,
@@ -29,9 +29,10 @@ from ..operators.summary import class_balance, panel_summary
 from ..operators.technical import technical_columns, technical_features, with_return_target
 from ..schema import LAG_FEATURES, TECHNICAL_FEATURES, output_digits
 from ..session import checkpoint_dir, delete_folder, materialize
+from ..sources.files import read_bars, write_bars
 from ..sources.tpch import bars_from_lineitem, index_bars_from_orders
 from .rules import fold_rule_predictions, rule_predictions
-from .validation import date_filter, metrics_table, run_final, run_validation, score_saved, store_panel
+from .validation import date_filter, metrics_table, run_final, run_validation, score_saved, store_panel, summarize, union_all
 
 KEYS = ["Ticker", "Date"]
 
@@ -79,6 +80,16 @@ def q_daily_bars(spark, sf_dir):
     return rounded(bars_from_lineitem(spark, sf_dir))
 
 
+def q_bars_from_files(spark, sf_dir):
+    """The stand-in bars written as one CSV file a ticker, and read back."""
+    folder = f"{checkpoint_dir(spark)}/panelcast/bars-csv-{uuid.uuid4().hex}"
+    write_bars(bars_from_lineitem(spark, sf_dir), folder)
+    found, _ = read_bars(spark, folder)
+    read = materialize(found, "bars-read")  # the result does not depend on the folder
+    delete_folder(spark, folder)
+    return rounded(read)
+
+
 def q_log_return_target(spark, sf_dir):
     d = technical_all(spark, sf_dir).filter(~F.col("_is_last"))
     return rounded(d.select(*KEYS, "Return", "Target"))
@@ -295,89 +306,90 @@ def q_fold_metric_summary(spark, sf_dir):
     return rounded(ev.fold_metric_summary(metrics))
 
 
-def q_fold_auc_table(spark, sf_dir):
+def q_fold_accuracy_table(spark, sf_dir):
     metrics = ev.fold_metrics(validation_predictions(spark, sf_dir), EVAL_KEYS)
-    return rounded(ev.fold_comparison(metrics, "auc", ["1", "2", "3", "4", "5"]))
+    return rounded(ev.fold_comparison(metrics, "accuracy", ["1", "2", "3", "4", "5"]))
 
 
-# Learner settings of the registered model queries: fewer and shallower trees than the
-# library defaults (the reference's values) so a fold trains in seconds on one machine.
-QUERY_MODELS = ModelSettings(lr_max_iter=200, rf_trees=20, rf_max_depth=6, gbt_iter=15, gbt_max_depth=4)
+def q_fold_auc_table(spark, sf_dir):
+    metrics = ev.fold_metrics(validation_predictions(spark, sf_dir), EVAL_KEYS)
+    return rounded(ev.fold_comparison(metrics, "auc", ["1", "2", "3", "4", "5"]))
 
 
 def stored_full(spark, sf_dir) -> DataFrame:
     return store_panel(full_panel(spark, sf_dir), "full", key="all")
 
 
+def _folds(panel: DataFrame) -> DataFrame:
+    return split_summary(panel, equal_split_folds(panel, 5, 0.2)[0], 1000)
+
+
 def _fold_query(model_name: str):
     def run(spark, sf_dir):
         panel = stored_full(spark, sf_dir)
-        folds, _ = equal_split_folds(panel, 5, 0.2)
-        summary = split_summary(panel, folds, 1000)
-        preds = run_validation(panel, summary, QUERY_MODELS, [model_name], folds=[1])
-        return rounded(metrics_table(preds))
+        return rounded(metrics_table(run_validation(panel, _folds(panel), models=[model_name])))
 
-    run.__doc__ = f"M8: {model_name} fitted on fold 1's training rows, metrics on its validation rows."
+    run.__doc__ = f"M8 + K4: {model_name} fitted on every fold's training rows, metrics on its validation rows."
     return run
 
 
 def q_final_models(spark, sf_dir):
-    """M9 + M12: all three learners refitted on the last fold, scored on the final test."""
+    """All learners on all folds and on the final test, in the summary table."""
     panel = stored_full(spark, sf_dir)
-    folds, plan = equal_split_folds(panel, 5, 0.2)
-    summary = split_summary(panel, folds, 1000)
-    start = final_test_start(panel, 0.2)
-    preds = run_final(panel, summary, start, QUERY_MODELS)
-    return rounded(metrics_table(preds))
+    summary = _folds(panel)
+    # Both are read several times below; fitted models are not to be scored again.
+    val = materialize(run_validation(panel, summary), "validation-predictions")
+    test = materialize(run_final(panel, summary, final_test_start(panel, 0.2)), "test-predictions")
+    return rounded(summarize(metrics_table(val), metrics_table(test)))
 
 
 def q_saved_model_roundtrip(spark, sf_dir):
-    """S9 + S10 + E19: fit, save under the checkpoint folder, load back, score the test."""
+    """S9 + S10 + M10 + M11 + E19: every fold's and the final model of logistic regression saved
+    under the checkpoint folder, loaded back, and all scored in one reading of the test rows."""
     panel = stored_full(spark, sf_dir)
-    folds, _ = equal_split_folds(panel, 5, 0.2)
-    summary = split_summary(panel, folds, 1000)
+    summary = _folds(panel)
     model_dir = f"{checkpoint_dir(spark)}/panelcast/models-{uuid.uuid4().hex}"
-    run_validation(panel, summary, QUERY_MODELS, [LOGISTIC], model_dir=model_dir, folds=[1])
+    run_validation(panel, summary, models=[LOGISTIC], model_dir=model_dir)
     start = final_test_start(panel, 0.2)
     test = date_filter(panel, lo=start) if start is not None else panel.limit(0)
-    run_final(panel, summary, start, QUERY_MODELS, [LOGISTIC], model_dir=model_dir)
+    run_final(panel, summary, start, models=[LOGISTIC], model_dir=model_dir)
     # Written before the models go: the result does not depend on their folder.
-    metrics = materialize(metrics_table(score_saved(model_dir, test, ["1", "final"], [LOGISTIC])), "saved-metrics")
+    names = [str(r["fold"]) for r in summary.collect()] + ["final"]
+    preds = materialize(score_saved(model_dir, test, names, [LOGISTIC]), "saved-predictions")
     delete_folder(spark, model_dir)
-    return rounded(metrics)
+    return rounded(metrics_table(preds))
 
 
-def fold1_training_rows(spark, sf_dir) -> DataFrame:
-    """Training rows of equal-split fold 1 of the stored full panel."""
-    panel = stored_full(spark, sf_dir)
-    folds, _ = equal_split_folds(panel, 5, 0.2)
-    first = split_summary(panel, folds, 1000).filter(F.col("fold") == 1).first()
-    return date_filter(panel, hi=first["train_end"]) if first is not None else panel.limit(0)
+def each_fold(panel: DataFrame, per_fold) -> DataFrame:
+    """per_fold(training rows) of every equal-split fold, with the fold's number."""
+    return union_all([
+        per_fold(date_filter(panel, hi=r["train_end"])).withColumn("fold", F.lit(r["fold"]))
+        for r in sorted(_folds(panel).collect(), key=lambda r: r["fold"])
+    ])
 
 
 def q_scaler_stats(spark, sf_dir):
-    """M2: the statistics the scaler fits on fold 1's training rows (cleaned features)."""
-    train, feats = prepare(fold1_training_rows(spark, sf_dir))
-    stats = scaler_stats(train, feats)
-    price_level = [c for c in feats if output_digits(c) == 4]
+    """M2: the statistics the scaler fits on every fold's training rows (cleaned features)."""
+    stats = each_fold(stored_full(spark, sf_dir), lambda rows: scaler_stats(*prepare(rows)))
+    panel_columns = stored_full(spark, sf_dir).columns
+    price_level = F.col("feature").isin([c for c in panel_columns if output_digits(c) == 4])
     return stats.select(
+        "fold",
         "feature",
-        *[
-            F.when(F.col("feature").isin(price_level), stable_round(c, 4)).otherwise(stable_round(c, 6)).alias(c)
-            for c in ("mean", "std_pop", "std_samp")
-        ],
+        *[F.when(price_level, stable_round(c, 4)).otherwise(stable_round(c, 6)).alias(c) for c in ("mean", "std_pop", "std_samp")],
         "n",
     )
 
 
 def q_class_weights(spark, sf_dir):
-    """M6: balanced class weights of fold 1's training rows."""
-    return rounded(class_weight_table(fold1_training_rows(spark, sf_dir)))
+    """M6: balanced class weights of every fold's training rows."""
+    return rounded(each_fold(stored_full(spark, sf_dir), class_weight_table))
 
 
 def registry() -> dict:
     out = {
         "daily_bars": q_daily_bars,
+        "bars_from_files": q_bars_from_files,
         "log_return_target": q_log_return_target,
     }
     for name in TECHNICAL_GROUPS:
@@ -409,6 +421,7 @@ def registry() -> dict:
     out["model_comparison"] = q_model_comparison
     out["fold_metric_summary"] = q_fold_metric_summary
     out["fold_auc_table"] = q_fold_auc_table
+    out["fold_accuracy_table"] = q_fold_accuracy_table
     out["scaler_stats"] = q_scaler_stats
     out["class_weights"] = q_class_weights
     out["logreg_fold"] = _fold_query(LOGISTIC)

@@ -132,6 +132,7 @@ FROM tech WHERE Date >= (SELECT s FROM start)"""
 def registry() -> dict[str, str]:
     out = {
         "daily_bars": sql_daily_bars(),
+        "bars_from_files": sql_daily_bars(),
         "log_return_target": sql_log_return_target(),
     }
     for name in TECHNICAL_GROUPS:
@@ -352,8 +353,8 @@ def sql_fold_metric_summary() -> str:
     return val_eval(f"SELECT model, count(*) AS folds, {', '.join(parts)} FROM metrics GROUP BY model")
 
 
-def sql_fold_auc_table() -> str:
-    cols = ", ".join(f"{rnd(f'max(CASE WHEN fold = {chr(39)}{k}{chr(39)} THEN auc END)', 6)} AS \"{k}\"" for k in "12345")
+def sql_fold_table(metric: str) -> str:
+    cols = ", ".join(f"{rnd(f'max(CASE WHEN fold = {chr(39)}{k}{chr(39)} THEN {metric} END)', 6)} AS \"{k}\"" for k in "12345")
     return val_eval(f"SELECT model, {cols} FROM metrics GROUP BY model")
 
 
@@ -372,20 +373,21 @@ EVAL_SQL = {
     "f1_threshold": sql_f1_threshold,
     "model_comparison": sql_model_comparison,
     "fold_metric_summary": sql_fold_metric_summary,
-    "fold_auc_table": sql_fold_auc_table,
+    "fold_auc_table": lambda: sql_fold_table("auc"),
+    "fold_accuracy_table": lambda: sql_fold_table("accuracy"),
 }
 
 
 # ------------------------------------------------------------------ scaler and class weights (M2, M6)
 
 
-def fold1_train_cte() -> str:
+def fold_train_cte() -> str:
     return (
         full_panel_cte()
         + equal_folds_cte()
         + """,
 kept AS (SELECT f.* FROM folds f WHERE (SELECT count(*) FROM tech t WHERE t.Date BETWEEN f.val_start AND f.val_end) >= 1000),
-train1 AS (SELECT * FROM fullp WHERE Date <= (SELECT train_end FROM kept WHERE fold = 1))"""
+train AS (SELECT kept.fold AS fold, fullp.* FROM kept JOIN fullp ON fullp.Date <= kept.train_end)"""
     )
 
 
@@ -398,16 +400,16 @@ def sql_scaler_stats() -> str:
     for c in feats:
         k = output_digits(c)
         parts.append(
-            f"SELECT '{c}' AS feature, {rnd(f'm_{c}', k)} AS mean, {rnd(f'p_{c}', k)} AS std_pop, "
+            f"SELECT fold, '{c}' AS feature, {rnd(f'm_{c}', k)} AS mean, {rnd(f'p_{c}', k)} AS std_pop, "
             f"{rnd(f's_{c}', k)} AS std_samp, n FROM agg"
         )
     return with_ctes(
-        fold1_train_cte() + f",\nagg AS (SELECT count(*) AS n, {aggs} FROM train1)", "\nUNION ALL\n".join(parts)
+        fold_train_cte() + f",\nagg AS (SELECT fold, count(*) AS n, {aggs} FROM train GROUP BY fold)", "\nUNION ALL\n".join(parts)
     )
 
 
 def sql_class_weights() -> str:
-    body = f"""SELECT Target, n_c, CAST(sum(n_c) OVER () AS BIGINT) AS n,
-  {rnd('sum(n_c) OVER () / (count(*) OVER () * n_c)', 6)} AS weight
-FROM (SELECT Target, count(*) AS n_c FROM train1 GROUP BY Target) c"""
-    return with_ctes(fold1_train_cte(), body)
+    body = f"""SELECT fold, Target, n_c, CAST(sum(n_c) OVER f AS BIGINT) AS n,
+  {rnd('sum(n_c) OVER f / (count(*) OVER f * n_c)', 6)} AS weight
+FROM (SELECT fold, Target, count(*) AS n_c FROM train GROUP BY fold, Target) c WINDOW f AS (PARTITION BY fold)"""
+    return with_ctes(fold_train_cte(), body)

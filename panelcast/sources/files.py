@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +23,9 @@ from ..schema import BAR_FILE_SCHEMA, INDEX_BARS_SCHEMA, REFERENCE_INDICES
 
 
 def ticker_from_path(col: str = "_metadata.file_name"):
-    """File name without its .csv suffix."""
-    return F.regexp_replace(F.col(col), r"\.csv$", "")
+    """File name without its .csv suffix.  Spark gives names as they stand in an address, with
+    some characters (^, space) as %XX; a plus sign stands for itself there."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col(col), F.lit("+"), F.lit("%2B"))), r"\.csv$", "")
 
 
 def read_bars(
@@ -70,6 +73,25 @@ def read_bars(
     return bars, rejects
 
 
+def write_bars(bars: DataFrame, folder: str) -> None:
+    """The inverse of `read_bars`: one CSV file for each ticker, named after it.
+
+    Spark writes a folder for each ticker; each one's only file is then given its name
+    through the Hadoop file system, one rename a ticker.  The target must be a new folder."""
+    spark, names = bars.sparkSession, [f.name for f in BAR_FILE_SCHEMA.fields]
+    target = folder.rstrip("/")
+    parts = f"{target}/_parts"
+    rows = bars.select(*names, F.col("Ticker").alias("_ticker")).repartition("_ticker").sortWithinPartitions("_ticker", "Date")
+    rows.write.option("header", True).partitionBy("_ticker").csv(parts)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path(f"{parts}/_ticker=*/part-*")):
+        ticker = unquote(found.getPath().getParent().getName().split("=", 1)[1])
+        if not fs.rename(found.getPath(), path(f"{target}/{ticker}.csv")):
+            raise OSError(f"cannot name the file of {ticker}")
+    fs.delete(path(parts), True)
+
+
 def read_index_bars(
     spark: SparkSession,
     path: str,

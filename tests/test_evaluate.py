@@ -52,8 +52,8 @@ def test_curve_independent_of_range_count(spark):
     y = rng.integers(0, 2, 500)
     p = np.round(rng.uniform(0, 1, 500), 3)
     d = preds_df(spark, y, p)
-    a = sorted(tuple(r) for r in ev.score_curve(d, ranges=1024).collect())
-    b = sorted(tuple(r) for r in ev.score_curve(d, ranges=3).collect())
+    a = sorted(tuple(r) for r in ev.score_curve(d, range_rows=1).collect())
+    b = sorted(tuple(r) for r in ev.score_curve(d, range_rows=133).collect())
     assert a == b
 
 
@@ -115,5 +115,17 @@ def test_auc_property_matches_pairwise(spark, rows):
     if len(set(y)) < 2:
         return
     p = [b / 20 for _, b in rows]
-    got = ev.roc_auc(ev.score_curve(preds_df(spark, y, p), ranges=4)).first()["auc"]
+    got = ev.roc_auc(ev.score_curve(preds_df(spark, y, p), range_rows=100)).first()["auc"]
     assert abs(got - brute_auc(y, p)) < 1e-12
+
+
+def test_curve_does_not_depend_on_its_ranges(spark):
+    rng = np.random.default_rng(7)
+    rows = [(m, "1", int(y), float(s)) for m in ("a", "b") for y, s in zip(rng.integers(0, 2, 900), np.round(rng.random(900), 2 if m == "a" else 9))]
+    preds = spark.createDataFrame(rows, "model string, fold string, Target int, probability double")
+    one = sorted(map(tuple, ev.score_curve(preds).collect()))
+    for size in (1, 7, 100, 500):
+        assert sorted(map(tuple, ev.score_curve(preds, range_rows=size).collect())) == one
+    for m, _, s, pos, neg, tp, fp, P, N in one:
+        own = [(y, x) for k, _, y, x in rows if k == m]
+        assert (tp, fp) == (sum(y for y, x in own if x >= s), sum(1 - y for y, x in own if x >= s)) and P + N == 900

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from helpers import make_bars, random_walk
-from panelcast.operators.models import LOGISTIC, ModelSettings, fit_models, load_model, save_models, score
+from panelcast.operators.models import LOGISTIC, ModelSettings, fit_models, load_model, save_models, score, score_all
 from panelcast.operators.technical import technical_panel
 from panelcast.plans import catalog, oracle_queries
 from panelcast.session import checkpoint_dir
@@ -18,6 +18,12 @@ def test_fit_score_save_load_roundtrip(spark):
     a = score(models[LOGISTIC], panel, LOGISTIC, "1").orderBy("Ticker", "Date").toPandas()
     b = score(load_model(paths[LOGISTIC]), panel, LOGISTIC, "1").orderBy("Ticker", "Date").toPandas()
     assert np.allclose(a.probability, b.probability) and a.probability.between(0, 1).all()
+    every = score_all([(name, "1", m) for name, m in models.items()], panel)
+    assert every._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 1
+    for name, m in models.items():
+        own = score(m, panel, name, "1").orderBy("Ticker", "Date").toPandas()
+        both = every.filter(F.col("model") == name).orderBy("Ticker", "Date").toPandas()
+        assert list(own.columns) == list(both.columns) and np.allclose(own.probability, both.probability) and (own.prediction == both.prediction).all()
 
 
 def test_entry_contract(spark):

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import SF001, make_bars, random_walk, surviving
 from panelcast.operators import evaluate as ev
@@ -12,10 +13,10 @@ from panelcast.operators.splits import fold_frames
 from panelcast.operators.summary import target_value_counts
 from panelcast.operators.technical import technical_features
 from panelcast.plans import catalog
-from panelcast.plans.validation import model_summary, store_panel, write_metrics
+from panelcast.plans.validation import model_summary, read_metrics, store_panel, write_metrics
 from panelcast.schema import INDEX_BARS_SCHEMA
 from panelcast.session import materialize, release
-from panelcast.sources.files import read_index_bars, write_folds, write_reports
+from panelcast.sources.files import read_bars, read_index_bars, write_bars, write_folds, write_reports
 
 
 def test_live_results_do_not_break_each_other(spark):
@@ -68,12 +69,24 @@ def test_metrics_and_reports(spark, tmp_path):
         write_metrics(part, str(tmp_path / "m"))
     listed = [(r.fold, r.model) for r in model_summary(spark.read.parquet(str(tmp_path / "m"))).collect()]
     assert listed == [("1", "b"), ("2", "a"), ("2", "b")]
+    write_metrics(metrics.filter("fold = '1'").withColumn("auc", F.lit(0.9)), str(tmp_path / "m"))  # a retried write
+    write_metrics(metrics.filter("fold = '1'"), str(tmp_path / "m"), run="other")
+    got = [(r.fold, r.model, r.auc) for r in model_summary(read_metrics(spark, str(tmp_path / "m"), "default")).collect()]
+    assert got == [("1", "b", 0.9), ("2", "a", 0.6), ("2", "b", 0.5)] and read_metrics(spark, str(tmp_path / "m")).count() == 4
     write_reports({"auc": metrics}, str(tmp_path / "r"))
     write_reports({"auc": metrics}, str(tmp_path / "c"), "csv")
     assert spark.read.parquet(str(tmp_path / "r/auc")).count() == 3
     assert spark.read.option("header", True).csv(str(tmp_path / "c/auc")).columns == metrics.columns
 
 
+def test_bars_written_by_ticker_are_read_back(spark, tmp_path):
+    bars = make_bars(spark, {"BRK.B": random_walk(40, 1), "A-1": random_walk(30, 2), "x y%": random_walk(3, 3), "^N+1": random_walk(4, 4)})
+    write_bars(bars, str(tmp_path / "csv"))
+    assert sorted(p.name for p in (tmp_path / "csv").iterdir() if not p.name.startswith(".")) == ["A-1.csv", "BRK.B.csv", "^N+1.csv", "x y%.csv"]
+    got, rejects = read_bars(spark, str(tmp_path / "csv"))
+    assert rejects.count() == 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, bars.collect()))
+
+
 def test_value_counts_and_thresholds(spark):
     counts = [(r.Target, r["count"]) for r in target_value_counts(small_panel(spark)).collect()]
     assert counts == [(0, 40), (1, 20)]

@@ -172,10 +172,20 @@ def test_missing_closes(spark):
             np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=1e-9, err_msg=c)
 
 
-def test_segment_halo_guard_stops_instead_of_wrong_lags(spark):
-    df = random_walk(5000, 31)
+def test_lags_over_segments_without_survivors(spark):
+    """A price that stays constant for two whole segments: the 22 rows before lie far back."""
+    df = random_walk(9000, 31)
     df.loc[1000:2150, ["Open", "High", "Low", "Close"]] = 80.0  # no survivors in segment 1's halo
-    bars = make_bars(spark, {"hot": df})
-    sf = lag_features(technical_features(bars, SeriesLayout(segment_rows=2048, halo_rows=1024)))
-    with pytest.raises(Exception, match="increase SeriesLayout.halo_rows"):
-        sf.finish().select("Lag_Return_1").collect()
+    df.loc[3000:7500, ["Open", "High", "Low", "Close"]] = 90.0  # none at all in segment 2
+    df.loc[8185:8189, ["Open", "High", "Low", "Close"]] = 95.0
+    bars = make_bars(spark, {"hot": df, "cold": random_walk(120, 32)})
+    layout = SeriesLayout(segment_rows=2048, halo_rows=1024)
+    split = technical_features(bars, layout)
+    assert split.segmented
+    order = lambda d: d.toPandas().sort_values(["Ticker", "Date"]).reset_index(drop=True)
+    a, b = order(lag_features(technical_features(bars)).finish()), order(lag_features(split).finish())
+    assert len(a) == len(b) and list(a.columns) == list(b.columns)
+    for c in ["Date", *LAG_FEATURES]:
+        np.testing.assert_array_equal(a[c].to_numpy(), b[c].to_numpy(), err_msg=c)
+    w, x = order(lag_features(technical_features(bars), drop_warmup=True).finish()), order(lag_features(split, drop_warmup=True).finish())
+    assert len(w) == len(x) == len(a) - 10
