@@ -16,7 +16,7 @@ from ..functions.expr import stable_round
 from ..operators import evaluate as ev
 from ..operators.indices import index_features, join_index_features, wide_index_table
 from ..operators.lags import lag_features
-from ..operators.models import BOOSTED, FOREST, LOGISTIC, class_weight_table, prepare, scaler_stats
+from ..operators.models import BOOSTED, FOREST, LOGISTIC, ModelSettings, class_weight_table, prepare, scaler_stats
 from ..operators.series import layout_series
 from ..operators.splits import (
     calendar_split_folds,
@@ -316,6 +316,12 @@ def q_fold_auc_table(spark, sf_dir):
     return rounded(ev.fold_comparison(metrics, "auc", ["1", "2", "3", "4", "5"]))
 
 
+# Tree ensembles of the registered queries: fewer and shallower trees than the library's
+# defaults (the reference's values), whose fits take minutes a fold on one machine (README).
+# Logistic regression, the folds and the rows are whole.
+QUERY_MODELS = ModelSettings(rf_trees=20, rf_max_depth=6, gbt_iter=15, gbt_max_depth=4)
+
+
 def stored_full(spark, sf_dir) -> DataFrame:
     return store_panel(full_panel(spark, sf_dir), "full", key="all")
 
@@ -327,7 +333,7 @@ def _folds(panel: DataFrame) -> DataFrame:
 def _fold_query(model_name: str):
     def run(spark, sf_dir):
         panel = stored_full(spark, sf_dir)
-        return rounded(metrics_table(run_validation(panel, _folds(panel), models=[model_name])))
+        return rounded(metrics_table(run_validation(panel, _folds(panel), QUERY_MODELS, [model_name])))
 
     run.__doc__ = f"M8 + K4: {model_name} fitted on every fold's training rows, metrics on its validation rows."
     return run
@@ -338,8 +344,8 @@ def q_final_models(spark, sf_dir):
     panel = stored_full(spark, sf_dir)
     summary = _folds(panel)
     # Both are read several times below; fitted models are not to be scored again.
-    val = materialize(run_validation(panel, summary), "validation-predictions")
-    test = materialize(run_final(panel, summary, final_test_start(panel, 0.2)), "test-predictions")
+    val = materialize(run_validation(panel, summary, QUERY_MODELS), "validation-predictions")
+    test = materialize(run_final(panel, summary, final_test_start(panel, 0.2), QUERY_MODELS), "test-predictions")
     return rounded(summarize(metrics_table(val), metrics_table(test)))
 
 
@@ -363,7 +369,7 @@ def q_saved_model_roundtrip(spark, sf_dir):
 def each_fold(panel: DataFrame, per_fold) -> DataFrame:
     """per_fold(training rows) of every equal-split fold, with the fold's number."""
     return union_all([
-        per_fold(date_filter(panel, hi=r["train_end"])).withColumn("fold", F.lit(r["fold"]))
+        per_fold(date_filter(panel, hi=r["train_end"])).withColumn("fold", F.lit(r["fold"]).cast("long"))
         for r in sorted(_folds(panel).collect(), key=lambda r: r["fold"])
     ])
 
