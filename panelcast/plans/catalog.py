@@ -17,7 +17,7 @@ from ..operators import evaluate as ev
 from ..operators.indices import index_features, join_index_features, wide_index_table
 from ..operators.lags import lag_features
 from ..operators.models import BOOSTED, FOREST, LOGISTIC, ModelSettings, class_weight_table, prepare, scaler_stats
-from ..operators.series import layout_series
+from ..operators.series import LAYOUT_COLUMNS, as_series, layout_series
 from ..operators.splits import (
     calendar_split_folds,
     equal_split_folds,
@@ -26,7 +26,8 @@ from ..operators.splits import (
     split_summary,
 )
 from ..operators.summary import class_balance, panel_summary
-from ..operators.technical import technical_columns, technical_features, with_return_target
+from ..operators.technical import AUTOCORR_LAGS, technical_columns, technical_features, with_return_target
+from ..operators.userfuncs import apply_to_slices, rolling_apply
 from ..schema import LAG_FEATURES, TECHNICAL_FEATURES, output_digits
 from ..session import checkpoint_dir, delete_folder, materialize
 from ..sources.files import read_bars, write_bars
@@ -106,6 +107,50 @@ def group_query(name: str):
     return run
 
 
+def rolling_autocorrelations(sf, prefix: str = "Autocorr_"):
+    """V2: the 20-row autocorrelations of Return as user functions (T21 builds them in)."""
+
+    def autocorr(k):
+        def of(windows):
+            import numpy as np
+
+            x, y = windows[:, k:], windows[:, :-k]
+            even = (x.max(1) == x.min(1)) | (y.max(1) == y.min(1))
+            x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+            spread = np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            spread[even | (spread == 0)] = np.nan
+            return np.clip((x * y).sum(1) / spread, -1.0, 1.0)
+
+        return of
+
+    return rolling_apply(sf, "Return", 20, {f"{prefix}{k}": autocorr(k) for k in AUTOCORR_LAGS})
+
+
+def q_rolling_user_function(spark, sf_dir):
+    sf = with_return_target(layout_series(bars(spark, sf_dir)))
+    narrow = sf.with_df(sf.df.select(*KEYS, "Return", *LAYOUT_COLUMNS))
+    return rounded(rolling_autocorrelations(narrow).finish().drop("Return"))
+
+
+def q_ticker_user_function(spark, sf_dir):
+    """V1: the fall from the highest of the last 22 closes, and since how many rows it lasts."""
+
+    def drawdown(rows):
+        import numpy as np
+
+        close = rows["Close"]
+        top = close.rolling(22, min_periods=1).max()
+        at = np.arange(len(close), dtype=float)
+        # The latest row at which the close of the moment was the highest of its 22.
+        last = np.maximum.accumulate(np.where(close.to_numpy() == top.to_numpy(), at, -1.0))
+        return {"Drawdown_22": close / top - 1, "Rows_Down": np.minimum(at - last, 22).astype("int64")}
+
+    sf = as_series(bars(spark, sf_dir))
+    narrow = sf.with_df(sf.df.select(*KEYS, "Close", *LAYOUT_COLUMNS))
+    out = apply_to_slices(narrow, drawdown, ["Close"], {"Drawdown_22": "double", "Rows_Down": "long"}, look_back=44)
+    return rounded(out.finish().drop("Close"))
+
+
 def _changed_closes(spark, sf_dir, close) -> DataFrame:
     """Indicators of the stand-in bars with closes changed by their place in the ticker."""
     nth = F.row_number().over(Window.partitionBy("Ticker").orderBy("Date"))
@@ -402,6 +447,8 @@ def registry() -> dict:
         out[name] = group_query(name)
     out["return_moments_jump"] = q_return_moments_jump
     out["macd_gaps"] = q_macd_gaps
+    out["rolling_user_function"] = q_rolling_user_function
+    out["ticker_user_function"] = q_ticker_user_function
     out["technical_panel"] = q_technical_panel
     out["lag_features"] = q_lag_features
     out["index_features"] = q_index_features

@@ -36,6 +36,14 @@ def sql_group(name: str, bars_sql: str = BARS) -> str:
     return with_ctes(technical_all_sql(bars_sql), f"SELECT {KEYS}, {rsel(TECHNICAL_GROUPS[name])} FROM tech_all")
 
 
+def sql_ticker_user_function() -> str:
+    return f"""WITH b AS (SELECT {KEYS}, Close, row_number() OVER (PARTITION BY Ticker ORDER BY Date) AS pos,
+  max(Close) OVER (PARTITION BY Ticker ORDER BY Date ROWS BETWEEN 21 PRECEDING AND CURRENT ROW) AS top FROM ({BARS}) x),
+d AS (SELECT {KEYS}, Close / top - 1 AS Drawdown_22, pos - max(CASE WHEN Close = top THEN pos END) OVER
+  (PARTITION BY Ticker ORDER BY Date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS down FROM b)
+SELECT {KEYS}, {rnd('Drawdown_22', 6)} AS Drawdown_22, CAST(least(down, 22) AS BIGINT) AS Rows_Down FROM d"""
+
+
 def sql_technical_panel() -> str:
     return with_ctes(
         technical_panel_cte(), f"SELECT {KEYS}, Target, {rsel(['Return'] + TECHNICAL_FEATURES)} FROM tech"
@@ -139,6 +147,8 @@ def registry() -> dict[str, str]:
         out[name] = sql_group(name)
     out["return_moments_jump"] = sql_group("return_moments", BARS_JUMP)
     out["macd_gaps"] = sql_group("macd", BARS_GAPS)
+    out["rolling_user_function"] = sql_group("autocorrelation")
+    out["ticker_user_function"] = sql_ticker_user_function()
     out["technical_panel"] = sql_technical_panel()
     out["lag_features"] = sql_lag_features()
     out["index_features"] = sql_index_features()
