@@ -6,12 +6,15 @@ Four small transducers read the symbols side by side: the scope of a negation, r
 or quoted speech, whether a target has been named, and how far a threat has come
 (intent, violence, target).  They are composed into one table.  What counts is a
 clause's matched weight: an insult counts less when negated or reported and more with a
-target; a threat counts when it is complete.  A logistic function of the clause scores,
-fitted on labelled documents, gives the score.
+target; a threat counts when it is complete.  Some stems are insults only when a text
+insists on them: their words come twice or more and make up a learned part of the text,
+while a single one may be chance.  A logistic function of the clause scores, fitted on
+labelled documents, gives the score.
 """
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 import re
@@ -53,6 +56,9 @@ class ToxicSettings:
     min_log_odds: float = 2.5
     chance: float = 0.1
     stems: tuple[int, ...] = (4, 5, 6)
+    # A text insists on a stem if it begins so many of its words, and this part of them.
+    insist_words: int = 2
+    insist_share: float = 0.008
     seed_weight: float = 4.0
     negated: float = 0.5
     reported: float = 0.6
@@ -126,22 +132,63 @@ class Lexicon(dict):
         return value
 
 
+class StemsOf(dict):
+    """word -> its stems that are of interest; emptied when full."""
+
+    LIMIT = 200_000
+
+    def __init__(self, lengths: tuple[int, ...], known: dict[str, float] | None) -> None:
+        super().__init__()
+        self.lengths, self.known = lengths, known
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        value = tuple(word[:n] for n in self.lengths if len(word) >= n and (self.known is None or word[:n] in self.known))
+        if len(self) > self.LIMIT:
+            self.clear()
+        self[word] = value
+        return value
+
+
+def insisted_stems(tokens: list[str], stems_of: StemsOf, settings: ToxicSettings) -> set[str]:
+    """The stems that a text, given as its tokens, insists on."""
+    times = collections.Counter(itertools.chain.from_iterable(map(stems_of.__getitem__, tokens)))
+    least = max(settings.insist_words, settings.insist_share * len(tokens))
+    return {stem for stem, n in times.items() if n >= least}
+
+
 class Grammar:
     """Clause scores of texts."""
 
-    def __init__(self, insults: dict[str, float], stems: dict[str, float], settings: ToxicSettings) -> None:
+    def __init__(
+        self, insults: dict[str, float], stems: dict[str, float], settings: ToxicSettings, insisted: dict[str, float] | None = None
+    ) -> None:
         self.settings = settings
         self.lexicon = Lexicon(insults, stems, settings.stems)
+        self.insisted = insisted or {}
+        self.stems_of = StemsOf(settings.stems, self.insisted)
         self.states, self.table = compose()
 
-    def clauses(self, text: str) -> tuple[list[float], float, int]:
-        """(weight of every clause in which something matched, heaviest match, number of tokens)."""
-        s, table, states = self.settings, self.table, self.states
+    def symbols(self, tokens: list[str]) -> tuple[list, float]:
+        """(symbol and weight of every token, None for none; weight of the heaviest stem insisted on)."""
         lexicon = self.lexicon
-        found = [lexicon[w] for w in TOKENS.findall(text.lower())]
+        found = [lexicon[w] for w in tokens]
+        said = insisted_stems(tokens, self.stems_of, self.settings) if self.insisted else ()
+        if not said:
+            return found, 0.0
+        for i, w in enumerate(tokens):
+            weight = max((self.insisted[p] for p in self.stems_of[w] if p in said), default=0.0)
+            if weight and (found[i] is None or found[i][0] == INSULT and found[i][1] < weight):
+                found[i] = (INSULT, weight)
+        return found, max(self.insisted[p] for p in said)
+
+    def clauses(self, text: str) -> tuple[list[float], float, int, float]:
+        """(weight of every clause in which something matched, heaviest match, number of
+        tokens, weight of the heaviest stem insisted on)."""
+        s, table, states = self.settings, self.table, self.states
+        found, insistence = self.symbols(TOKENS.findall(text.lower()))
         marks = [(i, v) for i, v in enumerate(found) if v is not None]
         if not any(v[0] in (INSULT, VIOLENCE) for _, v in marks):
-            return [], 0.0, len(found)
+            return [], 0.0, len(found), 0.0
         out, state, score, last = [], 0, 0.0, -1
         for i, (symbol, weight) in itertools.chain(marks, [(len(found), (END, 0.0))]):
             for _ in range(min(i - last - 1, NEGATION_SCOPE)):  # words between only use up a negation
@@ -156,18 +203,19 @@ class Grammar:
                 out.append(score * (s.targeted if target else 1.0))
                 score = 0.0
             state = table[state][symbol]
-        return out, max(weight for _, (_, weight) in marks), len(found)
+        return out, max(weight for _, (_, weight) in marks), len(found), insistence
 
     def features(self, text: str) -> list[float]:
-        """Best clause, all clauses together, how many matched, the heaviest match, and the
-        length of the text, since a long one meets a doubtful word sooner; zeros without a match."""
-        c, heaviest, tokens = self.clauses(text)
+        """Best clause, all clauses together, how many matched, the heaviest match, the
+        length of the text, since a long one meets a doubtful word sooner, and the heaviest
+        stem insisted on; zeros without a match."""
+        c, heaviest, tokens, insistence = self.clauses(text)
         if not c:
             return [0.0] * N_FEATURES
-        return [math.log1p(max(c)), math.log1p(sum(c)), math.log1p(len(c)), heaviest, math.log1p(tokens)]
+        return [math.log1p(max(c)), math.log1p(sum(c)), math.log1p(len(c)), heaviest, math.log1p(tokens), insistence]
 
 
-N_FEATURES = 5
+N_FEATURES = 6
 
 
 @dataclass
@@ -176,6 +224,7 @@ class ToxicModel:
     stems: dict[str, float]
     weights: np.ndarray
     settings: ToxicSettings = field(default_factory=ToxicSettings)
+    insisted: dict[str, float] = field(default_factory=dict)
 
     def scores(self, grammar: Grammar, texts: list[str]) -> list[float]:
         w = self.weights
@@ -231,13 +280,15 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, settings: ToxicSe
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     seeds = {w: settings.seed_weight for w in SEED_INSULTS.split()}
-    insults, stems = dict(seeds), {}
+    insults, stems, insisted = dict(seeds), {}, {}
     if n1 and n0:
         words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)))
         pieces = [F.transform(words, lambda w: F.concat(F.lit("w"), w))] + [
             F.transform(F.filter(words, _at_least(k)), _stem_of(k)) for k in settings.stems
         ]
         rows = sample.select("y", F.explode(F.array_distinct(F.concat(*pieces))).alias("f"))
+        repeated = map_texts(sample, _insistence(settings), "y long, f array<string>", "y", "text")
+        rows = rows.unionByName(repeated.select(F.col("y").cast("int"), F.explode("f").alias("f")))
         counts = stored(rows.groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")), "toxic-features")
         odds = F.ln((F.col("a") + 0.5) / F.lit(n1 + 1.0)) - F.ln((F.col("b") + 0.5) / F.lit(n0 + 1.0))
         # Log-likelihood ratio of the feature's own share of toxic documents against the sample's.
@@ -252,14 +303,14 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, settings: ToxicSe
             .orderBy(F.col("gain").desc(), "f").limit(settings.lexicon_size).collect()
         )
         for r in chosen:
-            (insults if r["f"][0] == "w" else stems)[r["f"][1:]] = float(r["odds"])
-    model = ToxicModel(insults, stems, np.zeros(1 + N_FEATURES), settings)
+            {"w": insults, "s": stems, "i": insisted}[r["f"][0]][r["f"][1:]] = float(r["odds"])
+    model = ToxicModel(insults, stems, np.zeros(1 + N_FEATURES), settings, insisted)
     if not (n1 and n0):
-        model.weights = np.array([-4.0, 2.0, 1.0, 0.5, 0.2, 0.0])  # nothing to learn from
+        model.weights = np.array([-4.0, 2.0, 1.0, 0.5, 0.2, 0.0, 0.0])  # nothing to learn from
         return model
 
     def task():
-        grammar = Grammar(insults, stems, settings)
+        grammar = Grammar(insults, stems, settings, insisted)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             values = [grammar.features(t or "") for t in batch.column(1).to_pylist()]
@@ -277,6 +328,24 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, settings: ToxicSe
     return model
 
 
+def _insistence(settings: ToxicSettings):
+    """Task that gives, for every text, the stems it insists on, marked as such features."""
+
+    def task():
+        stems_of = StemsOf(settings.stems, None)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [
+                sorted("i" + p for p in insisted_stems(TOKENS.findall((t or "").lower()), stems_of, settings) if p[0].isalpha())
+                for t in batch.column(1).to_pylist()
+            ]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["y", "f"])
+
+        return step
+
+    return task
+
+
 def _copy_key(words: str) -> Column:
     """Least hash of a text's three-word shingles: alike for copies, and mostly for near copies."""
     words = F.col(words)
@@ -297,10 +366,10 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     A text without a match, empty ones included, has the score of no clause.  Repeated
     rows agree; no other column is read.
     """
-    insults, stems, settings = model.insults, model.stems, model.settings
+    insults, stems, settings, insisted = model.insults, model.stems, model.settings, model.insisted
 
     def task():
-        grammar = Grammar(insults, stems, settings)
+        grammar = Grammar(insults, stems, settings, insisted)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = model.scores(grammar, [t or "" for t in batch.column(1).to_pylist()])
