@@ -272,8 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, settings: ToxicSe
     picked = F.broadcast(known.filter(draw < chance).groupBy("__id").agg(F.max("__y").alias("__y")))
     text = F.lower(F.col(text_col).cast("string"))
     sample = stored(
-        docs.join(picked, F.col(id_col) == F.col("__id")).filter(F.col(text_col).isNotNull())
-        .select(F.col("__y").alias("y"), text.alias("text")).withColumn("words", F.split("text", " "))
+        docs.select(F.col(id_col).alias("__id"), text.alias("text")).join(picked, "__id").filter(F.col("text").isNotNull())
+        .select(F.col("__y").alias("y"), "text").withColumn("words", F.split("text", " "))
         .groupBy(_copy_key("words").alias("h")).agg(F.max("y").alias("y"), F.max("text").alias("text")),
         "toxic-sample",
     )

@@ -82,6 +82,95 @@ def test_toxicity_held_out(spark, odd_docs):
     assert {r["score"] >= 0.3 for r in toxicity.score(spark.createDataFrame([(1, "you idiot"), (2, "hello")], "doc_id long, text string"), nothing).collect()} == {True, False}
 
 
+def plain_clauses(text, g):
+    """Clause weights by stepping every transducer on its own over every token."""
+    s, tokens = g.settings, toxicity.TOKENS.findall(text.lower())
+    said = {}
+    for w in tokens:
+        for n in s.stems:
+            if len(w) >= n and w[:n] in g.insisted:
+                said[w[:n]] = said.get(w[:n], 0) + 1
+    said = {p for p, n in said.items() if n >= s.insist_words and n >= s.insist_share * len(tokens)}
+    state, score, out = [0] * len(toxicity.PARTS), 0.0, []
+    for w in [*tokens, "."]:
+        symbol, weight = toxicity.NONE, 0.0
+        learned = max([g.lexicon.stems.get(w[:n], 0.0) for n in s.stems if len(w) >= n], default=0.0)
+        if w in g.lexicon.base:
+            symbol, weight = g.lexicon.base[w]
+        elif learned:
+            symbol, weight = toxicity.INSULT, learned
+        if symbol in (toxicity.NONE, toxicity.INSULT):
+            weight = max([weight] + [g.insisted[p] for p in said if w.startswith(p)])
+            symbol = toxicity.INSULT if weight else toxicity.NONE
+        negation, report, target, threat = state
+        factor = (s.negated if negation else 1.0) * (s.reported if report else 1.0)
+        if symbol == toxicity.INSULT:
+            score += weight * factor
+        elif symbol == toxicity.TARGET and threat == 2:
+            score += s.threat_weight * factor
+        elif symbol == toxicity.END and score:
+            out.append(score * (s.targeted if target else 1.0))
+            score = 0.0
+        state = [f(x, symbol) for (f, _), x in zip(toxicity.PARTS, state)]
+    return out
+
+
+def test_insistence():
+    g = toxicity.Grammar({}, {}, toxicity.ToxicSettings(), {"bomen": 6.0, "bome": 5.0})
+    assert g.clauses("bomente here.")[0] == [] and g.features("bomente here.") == [0.0] * toxicity.N_FEATURES
+    assert g.clauses("bomente and bomentos.")[0] == [12.0]
+    assert g.clauses("bomente and bomero.") == ([10.0], 5.0, 4, 5.0)  # only the shorter stem comes twice
+    assert g.clauses("bomente and bomentos. " + "word " * 300)[0] == []  # too small a part of the text
+    assert g.clauses("you never bomente, bomentos")[0] == [(3.0 + 3.0) * g.settings.targeted]
+
+
+def test_scores_agree_with_plain_transducers(spark, odd_docs):
+    """Every document's score, recomputed without the composed table and its shortcuts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), remainder("doc_id", 4) != 2)
+    assert model.insisted
+    g = toxicity.Grammar(model.insults, model.stems, model.settings, model.insisted)
+    some = docs_of(spark).filter("text IS NOT NULL")
+    text_of = {r["doc_id"]: r["text"] for r in some.collect()}
+    matched = 0
+    for r in toxicity.score(some, model).collect():
+        text = text_of[r["doc_id"]]
+        want = plain_clauses(text, g)
+        assert np.allclose(g.clauses(text)[0], want)
+        matched += bool(want)
+        z = model.weights[0] + np.dot(model.weights[1:], g.features(text))
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-12
+    assert matched > 20
+
+
+def test_toxicity_held_out_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = remainder("doc_id", 4) == 2
+    model = toxicity.fit(docs, labels, ~held)
+    got = toxicity.score(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter(held).collect()
+    hit = {}
+    for r in got:
+        if r["toxic"] == 1:
+            hit.setdefault(r["lang"], []).append(r["score"] >= 0.3)
+    assert set(hit) == {r["lang"] for r in got} and all(np.mean(h) > 0.5 for h in hit.values())
+    caught = sum(map(sum, hit.values()))
+    assert caught / sum(map(len, hit.values())) >= 0.9
+    assert caught / sum(r["score"] >= 0.3 for r in got) >= 0.9
+
+
+def test_toxicity_odd_rows(spark, odd_docs):
+    docs, labels = docs_of(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs, labels, remainder("doc_id", 4) != 2)
+    odd = toxicity.score(odd_docs, model).collect()
+    assert len(odd) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in odd)
+    nothing = toxicity.fit(docs.limit(5), labels.filter("1 = 0"), F.lit(True))
+    assert {r["score"] >= 0.3 for r in toxicity.score(spark.createDataFrame([(1, "you idiot"), (2, "hello")], "doc_id long, text string"), nothing).collect()} == {True, False}
+    # Columns named like the operator's own do not clash.
+    clash = docs.withColumns({"__id": F.lit(1), "__y": F.lit(1), "y": F.lit(0), "words": F.lit("x")})
+    assert toxicity.fit(clash, labels.withColumn("__id", F.lit(2)), remainder("doc_id", 4) != 2).insults == model.insults
+
+
 def test_logistic_fit_is_stationary():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(200, 2)), (rng.random(200) < 0.4).astype(float)
