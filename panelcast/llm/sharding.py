@@ -1,7 +1,8 @@
 """Operator 4: shards of near equal bytes by sampled splitters, in DataFrame functions only.
 
-Rows are ordered by a key: the text's digest, then the document's id, so that equal
-texts are neighbours.  A sample weighted by size gives quantile boundaries of the key;
+Rows are ordered by a key: the text's digest, then the document's id, then a number of
+the row's own, so that equal texts are neighbours and yet no two rows have one key: a
+group of any number of equal rows can be divided like any other.  A sample weighted by size gives quantile boundaries of the key;
 rows are partitioned into those ranges, and a range that holds too many rows is
 subdivided by splitters drawn inside it.  Only per-range totals are gathered.  They
 tell in which range each shard boundary falls; just there the boundary is placed
@@ -11,9 +12,10 @@ the group is larger than a tolerated part of a shard.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import stored
@@ -34,8 +36,9 @@ DIGEST = 32
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32 and key: the text's digest, then 16 digits in the order of the
-    ids (nothing for a null id, which so comes first)."""
+    """doc_id, size, text_crc32 and key: the text's digest, 17 digits in the order of the ids
+    (a null id comes first), and 16 digits of the row's own.  The latter hold for a table
+    written once, which the caller does before it looks at the keys."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     data = text.cast("binary")
     unsigned = F.col(id_col).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
@@ -43,10 +46,25 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
-        F.concat(F.md5(data), F.coalesce(F.lower(F.lpad(F.hex(unsigned), 16, "0")), F.lit(""))).alias("key"),
+        F.concat(
+            F.md5(data),
+            F.coalesce(F.concat(F.lit("1"), _digits(unsigned)), F.lit("0" * 17)),
+            _digits(F.monotonically_increasing_id()),
+        ).alias("key"),
     )
 
 
+def _digits(number: Column) -> Column:
+    return F.lower(F.lpad(F.hex(number), 16, "0"))
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few values gathered before, as one literal that the JVM expands."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<" + ", ".join(f.replace(" ", ": ") for f in schema.split(", ")) + ">>")))
+
+
 def _chance() -> Column:
     """A number in [0, 1) for each row, from its key alone: retried tasks draw the same sample."""
     return F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -85,7 +103,8 @@ def shard_by_bytes(docs: DataFrame, settings: ShardSettings = ShardSettings(), i
     Null texts count as empty.  Shards are in key order; slots run from 0 without gaps
     in each.  A shard's bytes differ from its share by at most a document or a group
     kept whole at each end; there may be empty shards where rows are few.  Rows repeated
-    with the same id and text stay together.  An empty table gives no rows.
+    with the same id and text are one group with all rows of that text.  An empty table
+    gives no rows.
     """
     n = settings.shards
     rows = stored(keyed(docs, id_col, text_col), "shard-keys")
@@ -121,9 +140,7 @@ def shard_by_bytes(docs: DataFrame, settings: ShardSettings = ShardSettings(), i
         seen += s["rows"]
     ends = _boundaries(rows, wanted, total, settings)
 
-    offsets = rows.sparkSession.createDataFrame(
-        [(r, s, x) for (r, s), x in first_row.items()], "range int, sub int, first_row long"
-    )
+    offsets = _rows(rows.sparkSession, [(r, s, x) for (r, s), x in first_row.items()], "range int, sub int, first_row long")
     order = Window.partitionBy("range", "sub").orderBy("key")
     # One row for each range: its number is bounded by the settings and the rows' count.
     placed = rows.withColumn("nth", F.row_number().over(order)).join(F.broadcast(offsets) if len(first_row) <= 100_000 else offsets, ["range", "sub"])
@@ -150,11 +167,10 @@ def _boundaries(rows: DataFrame, wanted: dict, total: int, settings: ShardSettin
     n, spark = settings.shards, rows.sparkSession
     # At most one row for each shard boundary, here and in the hits below.
     aims = [(r, s, base, j, total * j / n) for (r, s), (base, js) in wanted.items() for j in js]
-    aims_df = F.broadcast(spark.createDataFrame(aims, "range int, sub int, base long, cut int, target double"))
-    at = F.broadcast(spark.createDataFrame([(r, s, base) for (r, s), (base, _) in wanted.items()], "range int, sub int, base long"))
+    aims_df = F.broadcast(_rows(spark, aims, "range int, sub int, base long, cut int, target double"))
+    at = F.broadcast(_rows(spark, [(r, s, base) for (r, s), (base, _) in wanted.items()], "range int, sub int, base long"))
     order = Window.partitionBy("range", "sub").orderBy("key")
-    own = rows.join(at, ["range", "sub"]).groupBy("range", "sub", "base", "key").agg(F.sum("size").alias("size"))
-    own = own.withColumn("end", F.col("base") + F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size"))
+    own = rows.join(at, ["range", "sub"]).withColumn("end", F.col("base") + F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size"))
     hits = {
         h["cut"]: h
         for h in own.join(aims_df.drop("base"), ["range", "sub"])
@@ -163,7 +179,7 @@ def _boundaries(rows: DataFrame, wanted: dict, total: int, settings: ShardSettin
         .collect()
     }
     # The groups of equal texts hit: their bytes, and those of their members before the hit.
-    marks = spark.createDataFrame([(j, h["key"], h["key"][:DIGEST]) for j, h in hits.items()], "cut int, hit string, digest string")
+    marks = _rows(spark, [(j, h["key"], h["key"][:DIGEST]) for j, h in hits.items()], "cut int, hit string, digest string")
     near = rows.join(F.broadcast(marks), F.substring("key", 1, DIGEST) == F.col("digest"))
     sums = {
         r["cut"]: r

@@ -1,9 +1,10 @@
 import collections
 import hashlib
 import math
+import zlib
 
 from panelcast.llm.mixing import MixSettings, mix
-from panelcast.llm.sharding import ShardSettings, shard_by_bytes
+from panelcast.llm.sharding import ShardSettings, keyed, shard_by_bytes
 
 SF = "/root/testdata/sf0.001/documents.parquet"
 
@@ -140,3 +141,33 @@ def test_a_hot_group_is_split(spark):
     rows = [(i, "same text") for i in range(300)] + [(1000 + i, f"other {i}") for i in range(100)]
     got = check_shards(spark.createDataFrame(rows, "doc_id long, text string"), ShardSettings(shards=8, rows_per_range=20))
     assert len({r["shard"] for r in got if r["doc_id"] < 1000}) >= 5
+
+
+def test_many_equal_rows_are_divided(spark):
+    """Rows alike in text and id, null ids too, have keys of their own: ranges and shards divide them."""
+    same = [(7, "one text and one id")] * 400 + [(None, "text without id")] * 200
+    docs = spark.createDataFrame(same + [(1000 + i, f"other {i}") for i in range(100)], "doc_id long, text string")
+    settings = ShardSettings(shards=8, rows_per_range=20)
+    got = shard_by_bytes(docs.repartition(5), settings).collect()
+    assert len(got) == 700
+    total = sum(r["size"] for r in got)
+    held, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        held[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(abs(held[s] - total / 8) <= 2 * max(r["size"] for r in got) for s in range(8))
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len({r["shard"] for r in got if r["doc_id"] == 7}) >= 4
+    keys = keyed(docs.repartition(5)).select("key").collect()
+    assert len({r["key"] for r in keys}) == 700
+
+
+def test_sizes_and_checksums(spark, odd_docs):
+    """size and text_crc32 of every row, recomputed from the texts."""
+    for docs in (spark.read.parquet(SF), odd_docs):
+        want = collections.Counter()
+        for r in docs.select("doc_id", "text").collect():
+            data = (r["text"] or "").encode()
+            want[(r["doc_id"], len(data) + 8, zlib.crc32(data))] += 1
+        got = collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in shard_by_bytes(docs).collect())
+        assert got == want
