@@ -12,8 +12,10 @@ import os
 import re
 import threading
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "panelcast") -> SparkSession:
@@ -99,20 +101,35 @@ def materialize(
     and gives later filters a scan with pushed-down predicates.  Every write goes to a
     folder of its own, so a frame handed out earlier stays readable.  With `key` (what the
     rows depend on besides the files of the plan) the folder is written once for each
-    application, key and set of input files and then read again; `release` forgets it.
-    A folder that cannot be written is an error.
+    application, key and state of the input files (names, sizes, times of change) and then
+    read again; `release` forgets it.  A folder that cannot be written is an error.
     """
     spark = df.sparkSession
     if key is None:
         return spark.read.parquet(write_table(df, name, partition_by, compression))
-    files = hashlib.sha1("\n".join(sorted(df.inputFiles())).encode()).hexdigest()
-    place = (_application(spark), f"{name}|{key}|{files}")
+    place = (_application(spark), f"{name}|{key}|{input_state(df)}")
     with _writing:  # one writer at a time; a second caller waits and reads
         if place not in _written:
             _written[place] = write_table(df, name, partition_by, compression)
         return spark.read.parquet(_written[place])
 
 
+def input_state(df: DataFrame) -> str:
+    """A digest of the input files of `df`: their names, and their number, sizes and times of
+    change as Spark lists them (no content is read).  A file replaced under its old name
+    changes it."""
+    files = sorted(df.inputFiles())
+    digest = hashlib.sha1("\n".join(files).encode()).hexdigest()
+    if not files:
+        return digest
+    listed = df.sparkSession.read.format("binaryFile").load([unquote(f) for f in files])
+    row = listed.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("state"),
+    ).first()
+    return f"{digest}|{row['n']}|{row['state']}"
+
+
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str | None = None) -> str:
     """Write `df` as Parquet to a new folder under the shared one; the folder's path."""
     path = f"{checkpoint_dir(df.sparkSession)}/panelcast/{name}-{uuid.uuid4().hex}"

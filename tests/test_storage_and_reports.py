@@ -140,3 +140,28 @@ def test_forward_fill_takes_the_last_value_of_the_tickers_own_dates(spark):
     for d in own:
         seen = [closes[x] for x in own if x <= d and x in closes]
         assert got[d] == (seen[-1] if seen else 0.0)
+
+
+def test_a_table_replaced_under_its_file_names_is_not_reused(spark, tmp_path):
+    """Reuse by key sees the size and the time of change of the input files."""
+    import os
+
+    from panelcast.session import input_state, materialize, release
+
+    path = tmp_path / "in put"
+    path.mkdir()
+    spark.range(5).coalesce(1).write.parquet(str(path / "a"))
+    (part,) = [f for f in os.listdir(path / "a") if f.startswith("part-")]
+    read = lambda: spark.read.parquet(str(path / "a"))
+    first = materialize(read(), "reuse", key="k")
+    again = materialize(read(), "reuse", key="k")
+    assert first.inputFiles() == again.inputFiles() and first.count() == 5
+    before = input_state(read())
+    spark.range(9).coalesce(1).write.parquet(str(path / "b"))
+    (other,) = [f for f in os.listdir(path / "b") if f.startswith("part-")]
+    os.replace(path / "b" / other, path / "a" / part)
+    (path / "a" / f".{part}.crc").unlink(missing_ok=True)
+    assert input_state(read()) != before
+    assert materialize(read(), "reuse", key="k").count() == 9 and first.count() == 5
+    assert input_state(spark.range(3)) == input_state(spark.range(4))  # no files at all
+    release(spark)
