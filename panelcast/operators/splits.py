@@ -16,33 +16,111 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FOLD_SCHEMA = T.StructType(
-    [
-        T.StructField("fold", T.LongType(), False),
-        T.StructField("train_end_idx", T.LongType(), True),
-        T.StructField("val_start_idx", T.LongType(), True),
-        T.StructField("val_end_idx", T.LongType(), True),
-    ]
-)
-
 SUMMARY_COLUMNS = [
     "fold", "train_start", "train_end", "val_start", "val_end",
     "train_samples", "val_samples", "train_stocks", "val_stocks",
 ]
 
 
-def trading_calendar(panel: DataFrame, date: str = "Date") -> DataFrame:
-    """Sorted distinct dates with their 0-based index.
+DAY_MICROS = 24 * 60 * 60 * 1_000_000
+
+
+def _day_or_micros(date: Column, kind: T.DataType) -> Column:
+    """A long in the order of the dates: days, or microseconds of a timestamp."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(date).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(date)
+    second = (F.extract(F.lit("SECOND"), date) * 1_000_000).cast("long")
+    minutes = F.hour(date).cast("long") * 60 + F.minute(date)
+    return F.unix_date(F.to_date(date)).cast("long") * DAY_MICROS + minutes * 60_000_000 + second
 
-    One row per date; the global row_number runs on this calendar-sized table only.
+
+class Calendar:
+    """The sorted distinct dates (or timestamps) of a panel, found by their place.
+
+    Places come from counting in two or more levels, never from one window over all dates.
+    The first level counts the dates of each span of 31 days, at most about 118,000 numbers
+    whatever the panel holds.  A span that holds more than `most` dates (timestamps within a
+    day) is counted again by hour, minute and second, but only where a wanted place lies.
+    Null dates take no place; an empty panel has size 0.
     """
-    dates = panel.select(date).distinct()
-    return dates.withColumn("idx", (F.row_number().over(Window.orderBy(date)) - 1).cast("long"))
+
+    def __init__(self, panel: DataFrame, date: str = "Date", most: int = 1_000_000):
+        self.kind = panel.schema[date].dataType
+        in_days = isinstance(self.kind, T.DateType)
+        self.spans = [31] if in_days else [31 * DAY_MICROS, 3_600_000_000, 60_000_000, 1_000_000]
+        self.date, self.most = date, most
+        at = _day_or_micros(F.col(date), self.kind)
+        self.dates = panel.select(date).filter(F.col(date).isNotNull()).distinct().withColumn("_at", at)
+        self.counts = self._count(self.dates, self.spans[0])
+        self.size = sum(self.counts.values())
+
+    @staticmethod
+    def _start(span: int) -> Column:
+        return F.col("_at") - F.pmod(F.col("_at"), F.lit(span))
+
+    def _count(self, dates: DataFrame, span: int) -> dict[int, int]:
+        counted = dates.groupBy(self._start(span).alias("_from")).agg(F.count(F.lit(1)).alias("n")).collect()
+        return {r["_from"]: r["n"] for r in sorted(counted)}
+
+    def at(self, places) -> dict:
+        """The dates at the given places (from 0); one literal a place goes into the plan."""
+        wanted = sorted(set(places))
+        if not wanted:
+            return {}
+        # place -> (start of its span, place within the span)
+        found, span, counts = _locate(self.counts, wanted), self.spans[0], self.counts
+        for finer in self.spans[1:]:
+            if max(counts[start] for start, _ in found.values()) <= self.most:
+                break
+            refined, all_counts = {}, {}
+            for start in sorted({start for start, _ in found.values()}):
+                inside = self._count(self.dates.filter(F.col("_at").between(start, start + span - 1)), finer)
+                here = {rank: place for place, (s, rank) in found.items() if s == start}
+                refined |= {here[rank]: spot for rank, spot in _locate(inside, sorted(here)).items()}
+                all_counts |= inside
+            found, span, counts = refined, finer, all_counts
+        starts = [start for start, _ in found.values()]
+        ranked = self.dates.withColumn("_from", self._start(span)).filter(F.col("_from").isin(starts))
+        rank = F.row_number().over(Window.partitionBy("_from").orderBy("_at")) - 1
+        hit = reduce(lambda a, b: a | b, [(F.col("_from") == s) & (F.col("_rank") == r) for s, r in set(found.values())])
+        dates = {(r["_from"], r["_rank"]): r[self.date] for r in ranked.withColumn("_rank", rank).filter(hit).collect()}
+        return {place: dates[spot] for place, spot in found.items()}
+
+
+def _locate(counts: dict[int, int], places: list[int]) -> dict[int, tuple[int, int]]:
+    """place -> (span, place within it), for ascending places and spans in order."""
+    found, before, spans = {}, 0, iter(counts.items())
+    start, n = next(spans)
+    for place in places:
+        while place >= before + n:
+            before += n
+            start, n = next(spans)
+        found[place] = (start, place - before)
+    return found
+
+
+def trading_calendar(panel: DataFrame, date: str = "Date") -> DataFrame:
+    """Distinct dates with their 0-based index.
+
+    A date's index is the number of dates in earlier spans (a table of at most 118,000 rows,
+    broadcast) plus its place within its span."""
+    cal = Calendar(panel, date)
+    before, rows = 0, []
+    for start, n in cal.counts.items():
+        rows.append((start, before))
+        before += n
+    offsets = F.broadcast(panel.sparkSession.createDataFrame(rows, "_from long, _before long"))
+    within = F.row_number().over(Window.partitionBy("_from").orderBy("_at")) - 1
+    ranked = cal.dates.withColumn("_from", Calendar._start(cal.spans[0])).withColumn("_within", within)
+    return ranked.join(offsets, "_from").select(date, (F.col("_before") + F.col("_within")).alias("idx"))
 
 
 @dataclass(frozen=True)
@@ -75,28 +153,19 @@ def plan_equal_splits(n_dates: int, n_splits: int = 5, test_fraction: float = 0.
 
 
 def equal_split_folds(
-    panel: DataFrame, n_splits: int = 5, test_fraction: float = 0.2, broadcast_limit: int = 2_000_000
+    panel: DataFrame, n_splits: int = 5, test_fraction: float = 0.2
 ) -> tuple[DataFrame, EqualSplitPlan]:
     """K1: (fold, train_end, val_start, val_end) for equal-size expanding folds.
 
-    One scalar (the number of dates) is read on the driver; the fold table is built
-    from the calendar by index equi-joins.
+    The number of dates and the three dates of each fold reach the driver, no more.
     """
-    spark = panel.sparkSession
-    cal = trading_calendar(panel)
-    n_dates = cal.count()
-    plan = plan_equal_splits(n_dates, n_splits, test_fraction)
-    idx = spark.createDataFrame(plan.folds, FOLD_SCHEMA)
-    c = cal.select("Date", "idx")
-    # The calendar was just counted: broadcast it only below the limit.
-    bc = F.broadcast if n_dates <= broadcast_limit else (lambda d: d)
-    folds = (
-        idx.join(bc(c.withColumnsRenamed({"Date": "train_end", "idx": "train_end_idx"})), "train_end_idx")
-        .join(bc(c.withColumnsRenamed({"Date": "val_start", "idx": "val_start_idx"})), "val_start_idx")
-        .join(bc(c.withColumnsRenamed({"Date": "val_end", "idx": "val_end_idx"})), "val_end_idx")
-        .select("fold", "train_end", "val_start", "val_end")
-    )
-    return folds, plan
+    cal = Calendar(panel)
+    plan = plan_equal_splits(cal.size, n_splits, test_fraction)
+    dates = cal.at(i for fold in plan.folds for i in fold[1:])
+    names = ["train_end", "val_start", "val_end"]
+    schema = T.StructType([T.StructField("fold", T.LongType()), *[T.StructField(n, cal.kind) for n in names]])
+    rows = [(k, *[dates[i] for i in places]) for k, *places in plan.folds]
+    return panel.sparkSession.createDataFrame(rows, schema), plan
 
 
 def calendar_split_folds(panel: DataFrame, train_years: int = 6, val_months: int = 6, n_splits: int = 5) -> DataFrame:
@@ -194,12 +263,9 @@ def summary_schema() -> str:
 
 def final_test_start(panel: DataFrame, test_fraction: float = 0.2):
     """K2: first date of the final test period, or None when it is empty (Q6)."""
-    cal = trading_calendar(panel)
-    n = cal.count()
-    t = int(math.floor(n * test_fraction))
-    if t <= 0:
-        return None
-    return cal.filter(F.col("idx") == n - t).select("Date").first()[0]
+    cal = Calendar(panel)
+    start = plan_equal_splits(cal.size, 1, test_fraction).test_start_idx
+    return None if start is None else cal.at([start])[start]
 
 
 def final_test_frame(panel: DataFrame, test_fraction: float = 0.2) -> DataFrame:

@@ -24,14 +24,15 @@ from ..operators.splits import (
     final_test_frame,
     final_test_start,
     split_summary,
+    trading_calendar,
 )
 from ..operators.summary import class_balance, panel_summary
 from ..operators.technical import AUTOCORR_LAGS, technical_columns, technical_features, with_return_target
 from ..operators.userfuncs import apply_to_slices, rolling_apply
 from ..schema import LAG_FEATURES, TECHNICAL_FEATURES, output_digits
 from ..session import checkpoint_dir, delete_folder, materialize
-from ..sources.files import read_bars, write_bars
-from ..sources.tpch import bars_from_lineitem, index_bars_from_orders
+from ..sources.files import local_dates, read_bars, write_bars
+from ..sources.tpch import REGION_ZONES, bars_from_lineitem, index_bars_from_orders, order_ticks
 from .rules import fold_rule_predictions, rule_predictions
 from .validation import date_filter, metrics_table, run_final, run_validation, score_saved, store_panel, summarize, union_all
 
@@ -201,6 +202,21 @@ def q_index_features(spark, sf_dir):
     return rounded(index_feature_rows(spark, sf_dir))
 
 
+def q_index_local_days(spark, sf_dir):
+    """X0 + F6: daily index bars by the wall-clock day of each index's own zone; the region
+    without an entry in the zone table keeps days in UTC."""
+    zones = spark.createDataFrame(list(REGION_ZONES.items()), "IndexName string, Zone string")
+    ticks = order_ticks(spark, sf_dir).withColumn("_at", F.struct("Date", "Tick"))
+    days = local_dates(ticks, zones).groupBy("IndexName", "Date")
+    return rounded(days.agg(
+        F.min_by("Price", "_at").alias("Open"),
+        F.max("Price").alias("High"),
+        F.min("Price").alias("Low"),
+        F.max_by("Price", "_at").alias("Close"),
+        F.count(F.lit(1)).cast("double").alias("Volume"),
+    ))
+
+
 def full(spark: SparkSession, sf_dir: str):
     """Technical -> lag -> index features, still in series layout."""
     return join_index_features(lagged(spark, sf_dir), wide_index_rows(spark, sf_dir))
@@ -243,6 +259,21 @@ def q_class_balance(spark, sf_dir):
     return rounded(class_balance(technical_rows(spark, sf_dir)))
 
 
+def q_trading_calendar(spark, sf_dir):
+    """Every trading day of the bars with its place."""
+    return trading_calendar(bars(spark, sf_dir))
+
+
+def q_intraday_splits(spark, sf_dir):
+    """K1 + K2 over timestamps: the folds and the test start of the ticks' distinct times."""
+    ticks = materialize(order_ticks(spark, sf_dir), "order-ticks", key="all")
+    folds, plan = equal_split_folds(ticks, n_splits=5, test_fraction=0.2)
+    start = F.lit(final_test_start(ticks, 0.2)).cast("timestamp_ntz")
+    times = folds.withColumn("test_start", start)
+    names = ["train_end", "val_start", "val_end", "test_start"]
+    return times.select("fold", *[F.col(n).cast("string").alias(n) for n in names], F.lit(plan.n_dates).cast("long").alias("n_times"))
+
+
 def q_equal_splits(spark, sf_dir):
     panel = stored_technical(spark, sf_dir)
     folds, _ = equal_split_folds(panel, n_splits=5, test_fraction=0.2)
@@ -452,6 +483,9 @@ def registry() -> dict:
     out["technical_panel"] = q_technical_panel
     out["lag_features"] = q_lag_features
     out["index_features"] = q_index_features
+    out["index_local_days"] = q_index_local_days
+    out["trading_calendar"] = q_trading_calendar
+    out["intraday_splits"] = q_intraday_splits
     out["index_join_ffill"] = q_index_join_ffill
     out["panel_summary"] = q_panel_summary
     out["class_balance"] = q_class_balance

@@ -18,6 +18,7 @@ from ..oracle import (
     with_ctes,
 )
 from ..schema import LAG_FEATURES, TECHNICAL_FEATURES, output_digits
+from ..sources.tpch import REGION_ZONES
 from .catalog import TECHNICAL_GROUPS
 
 KEYS = "Ticker, Date"
@@ -54,6 +55,38 @@ def sql_lag_features() -> str:
     return with_ctes(lag_panel_cte(), f"SELECT {KEYS}, {rsel(LAG_FEATURES)} FROM lagp")
 
 
+def ticks_sql() -> str:
+    return """SELECT r_name AS IndexName, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_seconds((o_orderkey * 7919) % 86400) AS Date,
+  o_orderkey AS Tick, CAST(o_totalprice AS DOUBLE) AS Price
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+def sql_index_local_days() -> str:
+    zone = " ".join(f"WHEN '{name}' THEN '{z}'" for name, z in REGION_ZONES.items())
+    cols = {
+        "Open": "arg_min(Price, (Date, Tick))", "High": "max(Price)", "Low": "min(Price)",
+        "Close": "arg_max(Price, (Date, Tick))", "Volume": "CAST(count(*) AS DOUBLE)",
+    }
+    return f"""WITH t AS (SELECT *, CAST(timezone(CASE IndexName {zone} ELSE 'UTC' END, timezone('UTC', Date)) AS DATE) AS day
+  FROM ({ticks_sql()}) x)
+SELECT IndexName, day AS Date, {', '.join(f'{rnd(v, 4)} AS {k}' for k, v in cols.items())} FROM t GROUP BY IndexName, day"""
+
+
+def sql_trading_calendar() -> str:
+    return f"SELECT Date, row_number() OVER (ORDER BY Date) - 1 AS idx FROM (SELECT DISTINCT Date FROM ({BARS}) b) d"
+
+
+def sql_intraday_splits() -> str:
+    return f"""WITH cal AS (SELECT Date, row_number() OVER (ORDER BY Date) - 1 AS idx FROM (SELECT DISTINCT Date FROM ({ticks_sql()}) x) d),
+p AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.2) AS BIGINT) AS t FROM cal),
+q AS (SELECT n, t, (n - t) // 5 AS f FROM p),
+k AS (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS fold)
+SELECT fold, CAST(a.Date AS VARCHAR) AS train_end, CAST(b.Date AS VARCHAR) AS val_start, CAST(c.Date AS VARCHAR) AS val_end,
+  CAST(s.Date AS VARCHAR) AS test_start, n AS n_times
+FROM k, q JOIN cal s ON s.idx = n - t, cal a, cal b, cal c
+WHERE f > 0 AND a.idx = fold * f - 1 AND b.idx = fold * f AND c.idx = least(fold * f + f - 1, n - 1)"""
+
+
 def sql_index_features() -> str:
     return with_ctes(index_features_cte(), f"SELECT IndexName, Date, {rsel(INDEX_SUFFIXES)} FROM ifeat")
 
@@ -152,6 +185,9 @@ def registry() -> dict[str, str]:
     out["technical_panel"] = sql_technical_panel()
     out["lag_features"] = sql_lag_features()
     out["index_features"] = sql_index_features()
+    out["index_local_days"] = sql_index_local_days()
+    out["trading_calendar"] = sql_trading_calendar()
+    out["intraday_splits"] = sql_intraday_splits()
     out["index_join_ffill"] = sql_index_join_ffill()
     out["panel_summary"] = sql_panel_summary()
     out["class_balance"] = sql_class_balance()

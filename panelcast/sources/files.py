@@ -92,6 +92,30 @@ def write_bars(bars: DataFrame, folder: str) -> None:
     fs.delete(path(parts), True)
 
 
+def local_dates(
+    df: DataFrame, zones: DataFrame, series: str = "IndexName", stamp: str = "Date", broadcast_limit: int = 1_000_000
+) -> DataFrame:
+    """X0 + F6 by series: `stamp` becomes the wall-clock date in the zone of the row's series.
+
+    `zones` has one row a series: its name (in the column `series`) and its Zone, such as
+    America/New_York.  It is counted first: a series named twice is an error, and the table
+    is broadcast below the limit.  A series that it does not name keeps dates in UTC, a null
+    stamp stays null.  Timestamps without a zone are in UTC; dates by the session's zone play
+    no part.  A stamp that is a date already is taken for midnight in UTC.
+    """
+    n, names = zones.agg(F.count(F.lit(1)), F.count_distinct(F.struct(series))).first()
+    if n != names:
+        raise ValueError(f"{n - names} rows of the zone table name a series again")
+    side = zones.select(series, F.col("Zone").alias("_zone"))
+    joined = df.join(F.broadcast(side) if n <= broadcast_limit else side, series, "left")
+    at = F.col(stamp)
+    if isinstance(df.schema[stamp].dataType, T.TimestampType):  # an instant: count from the epoch in UTC
+        seconds = (F.unix_micros(at).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+        at = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    wall = F.convert_timezone(F.lit("UTC"), F.coalesce("_zone", F.lit("UTC")), at.cast("timestamp_ntz"))
+    return joined.withColumn(stamp, F.to_date(wall)).select(*df.columns)
+
+
 def read_index_bars(
     spark: SparkSession,
     path: str,
@@ -100,18 +124,22 @@ def read_index_bars(
     end: str | None = None,
     fmt: str = "parquet",
     zone: str | None = None,
+    zones: DataFrame | None = None,
 ) -> DataFrame:
     """S5 re-aimed (X0, F6, F8): index bars from a long table instead of a web API.
 
-    Dates given as timestamps are reduced to the wall-clock date in `zone`; `end`
-    defaults to today.  Filters are pushed to the scan.
+    Dates given as timestamps are reduced to the wall-clock date in `zone`, or in the zone
+    of their series by the table `zones` (see `local_dates`); `end` defaults to today.
+    Filters are pushed to the scan.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.schema(INDEX_BARS_SCHEMA).option("header", True)
     df = reader.load(path)
     date = F.col("Date")
-    if zone is not None:
+    if zones is not None:
+        df = local_dates(df, zones)
+    elif zone is not None:
         date = F.to_date(F.from_utc_timestamp(F.col("Date").cast("timestamp"), zone))
     df = df.withColumn("Date", F.to_date(date))
     df = df.filter(F.col("Date") >= F.lit(start).cast("date"))

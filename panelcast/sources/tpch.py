@@ -69,3 +69,33 @@ def index_bars_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("o_totalprice").alias("Close"),
         F.count(F.lit(1)).cast("double").alias("Volume"),
     )
+
+
+# A zone for each region, with and without summer time.
+REGION_ZONES = {
+    "AFRICA": "Africa/Johannesburg",
+    "AMERICA": "America/New_York",
+    "ASIA": "Asia/Tokyo",
+    "EUROPE": "Europe/London",
+}
+
+
+def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tick an order (IndexName = region, Date = a UTC timestamp, Price): the order's day
+    at a second that follows from its key."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    second = F.pmod(F.col("o_orderkey") * 7919, F.lit(86_400)).cast("decimal(18,6)")
+    return (
+        orders.join(customer, orders.o_custkey == customer.c_custkey)
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            F.col("r_name").alias("IndexName"),
+            (F.to_date("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=second)).alias("Date"),
+            F.col("o_orderkey").alias("Tick"),
+            F.col("o_totalprice").cast("double").alias("Price"),
+        )
+    )

@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from panelcast.operators.technical import technical_panel
 from panelcast.sources.files import read_bars, write_panel, read_panel
 
@@ -46,3 +49,36 @@ def test_index_symbols_are_named(spark):
 
     df = spark.createDataFrame([("^N225",), ("^DJI",), ("OTHER",)], "Symbol string")
     assert [r.IndexName for r in name_index_symbols(df).collect()] == ["Nikkei_225", "DJIA", "OTHER"]
+
+
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_dates_by_the_zone_of_each_series(spark, session_zone, kind):
+    """Hours around both changes of the clock, against the standard library's zones."""
+    from zoneinfo import ZoneInfo
+
+    from panelcast.sources.files import local_dates
+
+    zones = {"NY": "America/New_York", "London": "Europe/London", "Tokyo": "Asia/Tokyo", "Sydney": "Australia/Sydney"}
+    starts = [dt.datetime(2021, 3, 13), dt.datetime(2021, 11, 6), dt.datetime(2021, 3, 27), dt.datetime(1960, 10, 30)]
+    stamps = [s + dt.timedelta(minutes=30 * i) for s in starts for i in range(144)]
+    rows = [(n, i, s.isoformat(sep=" ")) for n in [*zones, "none"] for i, s in enumerate(stamps)] + [("NY", -1, None)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        text = F.col("s") if kind == "timestamp_ntz" else F.concat("s", F.lit("Z"))
+        df = spark.createDataFrame(rows, "IndexName string, i int, s string").select("IndexName", "i", text.cast(kind).alias("Date"))
+        table = spark.createDataFrame(list(zones.items()), "IndexName string, Zone string")
+        got = {(r.IndexName, r.i): r.Date for r in local_dates(df, table).collect()}
+        for limit in (0,):  # the join without a broadcast gives the same rows
+            assert {(r.IndexName, r.i): r.Date for r in local_dates(df, table, broadcast_limit=limit).collect()} == got
+        with pytest.raises(ValueError):
+            local_dates(df, table.union(table))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    utc = dt.timezone.utc
+    for name in [*zones, "none"]:
+        for i, s in enumerate(stamps):
+            want = s.replace(tzinfo=utc).astimezone(ZoneInfo(zones.get(name, "UTC"))).date()
+            assert got[name, i] == want, (name, s)
+    assert got["NY", -1] is None

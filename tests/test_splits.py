@@ -4,11 +4,13 @@ import pandas as pd
 import pytest
 
 from panelcast.operators.splits import (
+    Calendar,
     calendar_split_folds,
     equal_split_folds,
     final_test_start,
     plan_equal_splits,
     split_summary,
+    trading_calendar,
 )
 from panelcast.schema import BARS_SCHEMA
 
@@ -90,3 +92,38 @@ def test_folds_are_time_ordered_on_driver_tables(spark):
         assert a.val_end < b.val_start and a.train_end < b.train_end
     for r in rows:
         assert r.train_end < r.val_start and r.train_start <= r.train_end
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_places_of_timestamps_by_counting(spark, kind):
+    """Crowded spans are counted again by hour, minute and second; repeats and nulls take no place."""
+    from pyspark.sql import functions as F
+
+    base = dt.datetime(1969, 12, 31, 23, 59, 58)
+    steps = [0, 1, 999_999, 1_000_000, 1_000_001, 2_500_000, 90_000_000, 3_700_000_000, 10**12, 10**12 + 1]
+    stamps = [base + dt.timedelta(microseconds=m) for m in steps]
+    rows = [(s.isoformat(sep=" "),) for s in stamps for _ in range(2)] + [(None,)]
+    p = spark.createDataFrame(rows, "t string").select(F.col("t").cast(kind).alias("Date"))
+    text = lambda d: [str(r[0]) for r in d.collect()]
+    want = text(p.filter("Date IS NOT NULL").distinct().orderBy("Date"))
+    for most in (1_000_000, 3, 1):
+        cal = Calendar(p, most=most)
+        got = cal.at(range(len(stamps)))
+        assert cal.size == len(stamps)
+        assert [str(got[i]) for i in range(len(stamps))] == want
+    placed = trading_calendar(p)
+    assert text(placed.orderBy("idx").select("Date")) == want
+    assert sorted(r.idx for r in placed.collect()) == list(range(len(stamps)))
+
+
+def test_calendar_of_an_empty_panel(spark):
+    empty = panel(spark, n_days=1).limit(0)
+    folds, plan = equal_split_folds(empty)
+    assert plan.n_dates == 0 and folds.count() == 0 and final_test_start(empty) is None
+    assert trading_calendar(empty).count() == 0
+
+
+def test_calendar_has_no_window_over_all_dates(spark):
+    plan = trading_calendar(panel(spark))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("[_from#" in line for line in windows)
