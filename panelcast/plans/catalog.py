@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from ..functions.expr import stable_round
 from ..operators import evaluate as ev
+from ..operators.certificates import boosted_leaves, logistic_gradient
 from ..operators.indices import index_features, join_index_features, wide_index_table
 from ..operators.lags import lag_features
-from ..operators.models import BOOSTED, FOREST, LOGISTIC, ModelSettings, class_weight_table, prepare, scaler_stats
+from ..operators.models import BOOSTED, FOREST, LOGISTIC, ModelSettings, class_weight_table, fit_models, prepare, scaler_stats
 from ..operators.series import LAYOUT_COLUMNS, as_series, layout_series
 from ..operators.splits import (
     calendar_split_folds,
@@ -468,6 +469,38 @@ def q_class_weights(spark, sf_dir):
     return rounded(each_fold(stored_full(spark, sf_dir), class_weight_table))
 
 
+# The reference's learner stops at this largest component of the gradient.
+GRADIENT_BOUND = 1e-4
+
+
+def q_logreg_certificate(spark, sf_dir):
+    """M3 checked: on every fold, the gradient of the penalised loss at the fitted weights is zero
+    up to the bound at which the reference's learner stops."""
+    panel = stored_full(spark, sf_dir)
+    found = each_fold(panel, lambda rows: logistic_gradient(fit_models(rows, QUERY_MODELS, [LOGISTIC])[LOGISTIC], rows))
+    return found.groupBy("fold", "n_rows", "n_up").agg(
+        (F.count(F.lit(1)) - 1).alias("n_features"), (F.max(F.abs("gradient")) <= GRADIENT_BOUND).alias("optimal")
+    )
+
+
+def q_boosted_certificate(spark, sf_dir):
+    """M5 checked: on every fold, each tree's leaves hold every training row once, and each leaf
+    predicts the mean target of its rows."""
+    panel = stored_full(spark, sf_dir)
+    leaves = each_fold(panel, lambda rows: boosted_leaves(fit_models(rows, QUERY_MODELS, [BOOSTED])[BOOSTED], rows))
+    right = F.abs(F.col("prediction") - F.col("expected")) <= 1e-9
+    trees = leaves.groupBy("fold", "tree").agg(
+        F.sum("n").alias("n"), F.sum("n_up").alias("n_up"), F.every(right).alias("right"),
+    )
+    return trees.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("trees"),
+        F.min("n").alias("least_rows"),
+        F.max("n").alias("most_rows"),
+        F.max("n_up").alias("n_up"),
+        F.every("right").alias("leaves_right"),
+    )
+
+
 def registry() -> dict:
     out = {
         "daily_bars": q_daily_bars,
@@ -511,6 +544,8 @@ def registry() -> dict:
     out["fold_accuracy_table"] = q_fold_accuracy_table
     out["scaler_stats"] = q_scaler_stats
     out["class_weights"] = q_class_weights
+    out["logreg_certificate"] = q_logreg_certificate
+    out["boosted_certificate"] = q_boosted_certificate
     out["logreg_fold"] = _fold_query(LOGISTIC)
     out["random_forest_fold"] = _fold_query(FOREST)
     out["gbt_fold"] = _fold_query(BOOSTED)

@@ -19,7 +19,7 @@ from ..oracle import (
 )
 from ..schema import LAG_FEATURES, TECHNICAL_FEATURES, output_digits
 from ..sources.tpch import REGION_ZONES
-from .catalog import TECHNICAL_GROUPS
+from .catalog import QUERY_MODELS, TECHNICAL_GROUPS
 
 KEYS = "Ticker, Date"
 
@@ -198,6 +198,8 @@ def registry() -> dict[str, str]:
     out.update({k: f() for k, f in EVAL_SQL.items()})
     out["scaler_stats"] = sql_scaler_stats()
     out["class_weights"] = sql_class_weights()
+    out["logreg_certificate"] = sql_logreg_certificate()
+    out["boosted_certificate"] = sql_boosted_certificate()
     return out
 
 
@@ -424,7 +426,7 @@ EVAL_SQL = {
 }
 
 
-# ------------------------------------------------------------------ scaler and class weights (M2, M6)
+# ------------------------------------------------------------------ training rows of the folds (M2, M3, M5, M6)
 
 
 def fold_train_cte() -> str:
@@ -459,3 +461,16 @@ def sql_class_weights() -> str:
   {rnd('sum(n_c) OVER f / (count(*) OVER f * n_c)', 6)} AS weight
 FROM (SELECT fold, Target, count(*) AS n_c FROM train GROUP BY fold, Target) c WINDOW f AS (PARTITION BY fold)"""
     return with_ctes(fold_train_cte(), body)
+
+
+def sql_logreg_certificate() -> str:
+    n = len(TECHNICAL_FEATURES + LAG_FEATURES + index_columns_sql())
+    body = f"""SELECT fold, count(*) AS n_rows, CAST(sum(Target) AS BIGINT) AS n_up, CAST({n} AS BIGINT) AS n_features, true AS optimal
+FROM train GROUP BY fold"""
+    return with_ctes(fold_train_cte(), body)
+
+
+def sql_boosted_certificate() -> str:
+    body = f"""SELECT fold, CAST({QUERY_MODELS.gbt_iter} AS BIGINT) AS trees, count(*) AS least_rows, count(*) AS most_rows,
+  CAST(sum(Target) AS BIGINT) AS n_up, true AS leaves_right FROM train GROUP BY fold"""
+    return with_ctes(fold_train_cte(), body)
