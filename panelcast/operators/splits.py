@@ -286,6 +286,12 @@ def between_dates(panel: DataFrame, lo=None, hi=None) -> DataFrame:
     return panel
 
 
+def with_test_overlap(summary: DataFrame, test_start) -> DataFrame:
+    """Q5: a split summary with `overlaps_test`: does the validation window reach into the test period?"""
+    overlaps = F.lit(False) if test_start is None else F.col("val_end") >= F.lit(test_start)
+    return summary.withColumn("overlaps_test", overlaps)
+
+
 def fold_frames(panel: DataFrame, folds: DataFrame, k: int, exclude_test_from=None) -> tuple[DataFrame, DataFrame]:
     """(train, validation) of fold k as filters; raises if the fold does not exist."""
     row = folds.filter(F.col("fold") == k).first()

@@ -24,8 +24,10 @@ from ..operators.splits import (
     equal_split_folds,
     final_test_frame,
     final_test_start,
+    fold_frames,
     split_summary,
     trading_calendar,
+    with_test_overlap,
 )
 from ..operators.summary import class_balance, panel_summary
 from ..operators.technical import AUTOCORR_LAGS, technical_columns, technical_features, with_return_target
@@ -190,6 +192,12 @@ def q_lag_features(spark, sf_dir):
     return rounded(d.select(*KEYS, *LAG_FEATURES))
 
 
+def q_lag_features_complete(spark, sf_dir):
+    """P10: the lag features without the rows whose 5-row return lag is missing."""
+    d = lag_features(technical(spark, sf_dir), drop_warmup=True).finish()
+    return rounded(d.select(*KEYS, *LAG_FEATURES))
+
+
 def index_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(index_features(index_bars_from_orders(spark, sf_dir)), "index-features", key="day")
 
@@ -281,6 +289,28 @@ def q_equal_splits(spark, sf_dir):
     return split_summary(panel, folds, min_val_rows=1000)
 
 
+def q_folds_outside_test(spark, sf_dir):
+    """S8 + Q5: every fold's two frames, the validation rows held out of the test period."""
+    panel = stored_technical(spark, sf_dir)
+    start = final_test_start(panel, 0.2)
+    summary = with_test_overlap(split_summary(panel, equal_split_folds(panel, 5, 0.2)[0], 1000), start)
+    folds = sorted(summary.collect(), key=lambda r: r["fold"])
+
+    def sizes(row) -> DataFrame:
+        train, val = fold_frames(panel, summary, row["fold"], exclude_test_from=start)
+        both = train.withColumn("_side", F.lit(0)).unionByName(val.withColumn("_side", F.lit(1)))
+        return both.agg(
+            F.lit(row["fold"]).cast("long").alias("fold"),
+            F.lit(row["overlaps_test"]).alias("overlaps_test"),
+            F.count_if(F.col("_side") == 0).alias("train_rows"),
+            F.count_if(F.col("_side") == 1).alias("val_rows"),
+            F.max(F.when(F.col("_side") == 0, F.col("Date"))).alias("last_train"),
+            F.max(F.when(F.col("_side") == 1, F.col("Date"))).alias("last_val"),
+        )
+
+    return union_all([sizes(row) for row in folds])
+
+
 def q_calendar_splits(spark, sf_dir):
     panel = stored_technical(spark, sf_dir)
     folds = calendar_split_folds(panel, train_years=6, val_months=6, n_splits=5)
@@ -515,6 +545,7 @@ def registry() -> dict:
     out["ticker_user_function"] = q_ticker_user_function
     out["technical_panel"] = q_technical_panel
     out["lag_features"] = q_lag_features
+    out["lag_features_complete"] = q_lag_features_complete
     out["index_features"] = q_index_features
     out["index_local_days"] = q_index_local_days
     out["trading_calendar"] = q_trading_calendar
@@ -523,6 +554,7 @@ def registry() -> dict:
     out["panel_summary"] = q_panel_summary
     out["class_balance"] = q_class_balance
     out["equal_splits"] = q_equal_splits
+    out["folds_outside_test"] = q_folds_outside_test
     out["calendar_splits"] = q_calendar_splits
     out["final_test_split"] = q_final_test_split
     out["calendar_splits_4y"] = q_calendar_splits_4y

@@ -55,6 +55,11 @@ def sql_lag_features() -> str:
     return with_ctes(lag_panel_cte(), f"SELECT {KEYS}, {rsel(LAG_FEATURES)} FROM lagp")
 
 
+def sql_lag_features_complete() -> str:
+    body = f"SELECT {KEYS}, {rsel(LAG_FEATURES)} FROM lagp SEMI JOIN (SELECT {KEYS} FROM lag_raw WHERE Lag_Return_5 IS NOT NULL) k USING ({KEYS})"
+    return with_ctes(lag_panel_cte(), body)
+
+
 def ticks_sql() -> str:
     return """SELECT r_name AS IndexName, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_seconds((o_orderkey * 7919) % 86400) AS Date,
   o_orderkey AS Tick, CAST(o_totalprice AS DOUBLE) AS Price
@@ -184,6 +189,7 @@ def registry() -> dict[str, str]:
     out["ticker_user_function"] = sql_ticker_user_function()
     out["technical_panel"] = sql_technical_panel()
     out["lag_features"] = sql_lag_features()
+    out["lag_features_complete"] = sql_lag_features_complete()
     out["index_features"] = sql_index_features()
     out["index_local_days"] = sql_index_local_days()
     out["trading_calendar"] = sql_trading_calendar()
@@ -192,6 +198,7 @@ def registry() -> dict[str, str]:
     out["panel_summary"] = sql_panel_summary()
     out["class_balance"] = sql_class_balance()
     out["equal_splits"] = sql_equal_splits()
+    out["folds_outside_test"] = sql_folds_outside_test()
     out["calendar_splits"] = sql_calendar_splits()
     out["final_test_split"] = sql_final_test_split()
     out["calendar_splits_4y"] = sql_calendar_splits(years=4)
@@ -244,6 +251,21 @@ start AS (SELECT cal.Date AS s FROM cal, p WHERE p.T > 0 AND cal.idx = p.D - p.T
 """
 
 
+def sql_folds_outside_test() -> str:
+    ctes = technical_panel_cte() + equal_folds_cte() + """,
+kept AS (SELECT f.* FROM folds f WHERE (SELECT count(*) FROM tech t WHERE t.Date BETWEEN f.val_start AND f.val_end) >= 1000),
+days AS (SELECT Date, row_number() OVER (ORDER BY Date) - 1 AS idx FROM (SELECT DISTINCT Date FROM tech) d),
+start AS (SELECT Date AS s FROM days WHERE idx = (SELECT count(*) - CAST(floor(count(*) * 0.2) AS BIGINT) FROM days))"""
+    side = {"train": "t.Date <= train_end", "val": "t.Date BETWEEN val_start AND val_end AND t.Date < s"}
+    return with_ctes(
+        ctes,
+        f"""SELECT fold, any_value(val_end >= s) AS overlaps_test, count(*) FILTER ({side['train']}) AS train_rows,
+  count(*) FILTER ({side['val']}) AS val_rows, max(t.Date) FILTER ({side['train']}) AS last_train,
+  max(t.Date) FILTER ({side['val']}) AS last_val
+FROM kept, start, tech t GROUP BY fold""",
+    )
+
+
 def test_eval(body: str) -> str:
     ctes = technical_panel_cte() + TEST_START + scored_preds_cte("tech WHERE Date >= (SELECT s FROM start)", "'test'")
     return with_ctes(ctes, body)
