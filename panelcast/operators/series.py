@@ -45,6 +45,7 @@ class SeriesLayout:
     halo_rows: int = 1024
     bucket: str = "month"
     broadcast_limit: int = 2_000_000
+    task_rows: int = 50_000  # rows of a window task; its work follows rows, not bytes
 
     def __post_init__(self):
         if self.halo_rows < 64 or self.halo_rows & (self.halo_rows - 1):
@@ -119,15 +120,18 @@ def layout_series(df: DataFrame, layout: SeriesLayout | None = None) -> SeriesFr
     key, order = layout.key, layout.order
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     long_keys = counts.filter(F.col("_n") > layout.segment_rows).select(key)
-    # One small job: how many series need splitting, and how long the longest is.
-    n_long, max_rows = counts.agg(
-        F.coalesce(F.sum((F.col("_n") > layout.segment_rows).cast("long")), F.lit(0)), F.max("_n")
+    # One small job: how many series need splitting, how long the longest is, and all rows.
+    n_long, max_rows, n_rows = counts.agg(
+        F.coalesce(F.sum((F.col("_n") > layout.segment_rows).cast("long")), F.lit(0)), F.max("_n"), F.sum("_n")
     ).first()
+    # The one exchange of the windows, with tasks by rows: adaptive execution would join the
+    # small partitions of a narrow table to about as many tasks as cores, of uneven work.
+    tasks = max(1, -(-(n_rows or 0) // layout.task_rows))
     if n_long == 0:
         out = df.withColumns(
             {"_seg": F.lit(0).cast("long"), "_pos": F.lit(None).cast("long"), "_halo": F.lit(False)}
         )
-        return SeriesFrame(out, layout, segmented=False, max_rows=max_rows or 0)
+        return SeriesFrame(out.repartition(tasks, key), layout, segmented=False, max_rows=max_rows or 0)
 
     keys = F.broadcast(long_keys) if n_long <= layout.broadcast_limit else long_keys
     # Positions of short series are numbered after the union, inside the main exchange.
@@ -158,7 +162,7 @@ def layout_series(df: DataFrame, layout: SeriesLayout | None = None) -> SeriesFr
         .withColumns({"_seg": F.col("_copy.s"), "_halo": F.col("_copy.h")})
         .drop("_copy", "_bkt", "_off")
     )
-    return SeriesFrame(short.unionByName(long_out), layout, segmented=True)
+    return SeriesFrame(short.unionByName(long_out).repartition(tasks, key, "_seg"), layout, segmented=True)
 
 
 def as_series(
