@@ -126,12 +126,14 @@ def layout_series(df: DataFrame, layout: SeriesLayout | None = None) -> SeriesFr
     ).first()
     # The one exchange of the windows, with tasks by rows: adaptive execution would join the
     # small partitions of a narrow table to about as many tasks as cores, of uneven work.
+    # A panel of one task is left to the planner.
     tasks = max(1, -(-(n_rows or 0) // layout.task_rows))
+    deal = lambda d, *by: d.repartition(tasks, *by) if tasks > 1 else d
     if n_long == 0:
         out = df.withColumns(
             {"_seg": F.lit(0).cast("long"), "_pos": F.lit(None).cast("long"), "_halo": F.lit(False)}
         )
-        return SeriesFrame(out.repartition(tasks, key), layout, segmented=False, max_rows=max_rows or 0)
+        return SeriesFrame(deal(out, key), layout, segmented=False, max_rows=max_rows or 0)
 
     keys = F.broadcast(long_keys) if n_long <= layout.broadcast_limit else long_keys
     # Positions of short series are numbered after the union, inside the main exchange.
@@ -162,7 +164,7 @@ def layout_series(df: DataFrame, layout: SeriesLayout | None = None) -> SeriesFr
         .withColumns({"_seg": F.col("_copy.s"), "_halo": F.col("_copy.h")})
         .drop("_copy", "_bkt", "_off")
     )
-    return SeriesFrame(short.unionByName(long_out).repartition(tasks, key, "_seg"), layout, segmented=True)
+    return SeriesFrame(deal(short.unionByName(long_out), key, "_seg"), layout, segmented=True)
 
 
 def as_series(
