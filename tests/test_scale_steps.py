@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expr import stable_round
 from panelcast.operators.lags import lag_features
+from panelcast.operators.models import BOOSTED, ModelSettings, fit_models
 from panelcast.operators.series import SeriesLayout, layout_series
 from panelcast.operators.technical import technical_features
+from panelcast.plans.validation import fit_groups
+from panelcast.sources.files import read_bars, write_bars
 from panelcast.sources.tpch import bars_from_lineitem
 
 DAY = dt.date(2020, 1, 1)
@@ -57,3 +60,35 @@ def test_stable_round_agrees_with_the_decimal_round(spark):
     slow = F.round(F.col("x") * (1.0 + 2.0**-40), 6)
     for fast, exact in df.select(stable_round("x", 6), F.when(slow == 0, F.lit(0.0)).otherwise(slow)).collect():
         assert fast == exact and (fast is None or math.copysign(1, fast) == math.copysign(1, exact))
+
+
+def test_columns_that_no_window_needs_are_held_in_one_piece(spark):
+    plan = plan_of(lag_features(technical_features(made_bars(spark, 2, 90))).finish())
+    assert "_held" in plan
+
+
+def test_folds_are_fitted_together_only_while_their_rows_fit():
+    assert fit_groups([1, 2, 3, 4, 5], 6) == [[0, 1, 2], [3], [4]]
+    assert fit_groups([9, 1, 1], 6) == [[0], [1, 2]]
+    assert fit_groups([], 6) == []
+
+
+def test_a_stored_training_frame_is_not_persisted(spark, monkeypatch):
+    kept = []
+    rows = [(float(i % 7), float(i % 3), i % 2) for i in range(40)]
+    train = spark.createDataFrame(rows, "a double, b double, Target int")
+    monkeypatch.setattr(type(train), "persist", lambda self, *a, **k: kept.append(1) or self)
+    small = ModelSettings(gbt_iter=1, gbt_max_depth=1)
+    fit_models(train, small, [BOOSTED], stored=True)
+    assert not kept
+    fit_models(train, small, [BOOSTED])
+    assert kept
+
+
+def test_bar_files_are_named_by_many_hands(spark, tmp_path):
+    bars = made_bars(spark, 40, 3)
+    write_bars(bars, str(tmp_path / "csv"))
+    names = sorted(p.name for p in (tmp_path / "csv").iterdir() if p.suffix == ".csv")
+    assert names == sorted(f"T{t}.csv" for t in range(40))
+    back, _ = read_bars(spark, str(tmp_path / "csv"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, bars.collect()))
