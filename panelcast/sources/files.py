@@ -28,6 +28,12 @@ def ticker_from_path(col: str = "_metadata.file_name"):
     return F.regexp_replace(F.url_decode(F.replace(F.col(col), F.lit("+"), F.lit("%2B"))), r"\.csv$", "")
 
 
+def matches(spark: SparkSession, pattern: str) -> int:
+    """How many files and folders a path with a pattern stands for."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return len(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
+
+
 def read_bars(
     spark: SparkSession, folder: str, pattern: str = "*.csv", broadcast_limit: int = 2_000_000
 ) -> tuple[DataFrame, DataFrame]:
@@ -40,10 +46,12 @@ def read_bars(
     # columns a query needs.
     names = [f.name for f in BAR_FILE_SCHEMA.fields]
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    cells = (
-        spark.read.schema(text).option("header", True).csv(f"{folder.rstrip('/')}/{pattern}")
-        .withColumn("Ticker", ticker_from_path())
-    )
+    reader, place = spark.read.schema(text).option("header", True), folder.rstrip("/")
+    # One listing of the folder: by a path with a pattern every file is a path of its own, each
+    # looked up and listed by itself.  Folders within the folder are left to the pattern.
+    flat = "/" not in pattern and matches(spark, f"{place}/{pattern}") > 0 and matches(spark, f"{place}/*/*") == 0
+    found = reader.option("pathGlobFilter", pattern).csv(place) if flat else reader.csv(f"{place}/{pattern}")
+    cells = found.withColumn("Ticker", ticker_from_path())
     parsed = {f.name: F.trim(f.name).try_cast(f.dataType) for f in BAR_FILE_SCHEMA.fields}
     unread = [(F.trim(n) != "") & v.isNull() for n, v in parsed.items()]
     bad = parsed["Date"].isNull()

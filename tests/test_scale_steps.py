@@ -12,6 +12,7 @@ from panelcast.operators.models import BOOSTED, ModelSettings, fit_models
 from panelcast.operators.series import SeriesLayout, layout_series
 from panelcast.operators.technical import technical_features
 from panelcast.plans.validation import fit_groups
+from panelcast.sources.files import read_bars
 from panelcast.sources.tpch import bars_from_lineitem
 
 DAY = dt.date(2020, 1, 1)
@@ -42,6 +43,23 @@ def test_window_tasks_follow_the_rows(spark):
     assert layout_series(made_bars(spark, 4, 90), layout).df.rdd.getNumPartitions() == 9
 
 
+def test_files_of_a_flat_folder_are_listed_together(spark, tmp_path):
+    head = "Date,Open,High,Low,Close,Volume\n2020-01-02,1,2,0.5,1.5,100\n"
+    for name in ("A.csv", "B.csv", "C.txt"):
+        (tmp_path / name).write_text(head)
+
+    def read():
+        bars, _ = read_bars(spark, str(tmp_path))
+        return sorted(r.Ticker for r in bars.collect()), bars._jdf.queryExecution().executedPlan().toString()
+
+    tickers, plan = read()
+    assert tickers == ["A", "B"] and "InMemoryFileIndex(1 paths)" in plan
+    (tmp_path / "k=1").mkdir()  # a folder beside the files is left alone
+    (tmp_path / "k=1" / "D.csv").write_text(head)
+    tickers, plan = read()
+    assert tickers == ["A", "B"] and "InMemoryFileIndex(2 paths)" in plan
+
+
 def test_bars_are_dealt_before_they_are_aggregated(spark, tmp_path):
     row = (1, 1, 1, 1, 2.0, 10.0, dt.datetime(2020, 1, 1))
     names = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp"
