@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.expr import stable_round
 from panelcast.operators.lags import lag_features
 from panelcast.operators.models import BOOSTED, ModelSettings, fit_models
-from panelcast.operators.series import SeriesLayout, layout_series
+from panelcast.operators.series import SeriesLayout, layout_series, window_tasks
 from panelcast.operators.technical import technical_features
 from panelcast.plans.validation import fit_groups
 from panelcast.sources.files import read_bars
@@ -43,6 +43,17 @@ def test_window_tasks_follow_the_rows(spark):
     assert layout_series(made_bars(spark, 4, 90), layout).df.rdd.getNumPartitions() == 9
 
 
+def test_window_tasks_of_a_large_panel_hold_more_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    lay = SeriesLayout()
+    assert window_tasks(0, lay, spark) == 1 and window_tasks(50_001, lay, spark) == 2
+    assert window_tasks(400_000 * 30 * cores, lay, spark) == 30 * cores
+    assert window_tasks(400_000 * 30 * cores + 1, lay, spark) == 31 * cores
+    small = SeriesLayout(task_rows=4, most_task_rows=40)
+    rounds = max(2, -(-9 // cores))
+    assert layout_series(made_bars(spark, 4, 90), small).df.rdd.getNumPartitions() == min(90, rounds * cores)
+
+
 def test_files_of_a_flat_folder_are_listed_together(spark, tmp_path):
     head = "Date,Open,High,Low,Close,Volume\n2020-01-02,1,2,0.5,1.5,100\n"
     for name in ("A.csv", "B.csv", "C.txt"):
