@@ -38,6 +38,30 @@ def test_no_window_goes_through_a_sliding_frame_again(spark):
     assert frames and not sliding, sliding
 
 
+def test_last_window_copies_the_statistics_in_one_piece(spark):
+    plan = plan_of(technical_features(made_bars(spark, 2, 90)).finish()).splitlines()
+    last = next(i for i, line in enumerate(plan) if re.match(r"\W*Window \[", line))
+    # Above the windows nothing is raised to a power again; below the last one its rows are narrow.
+    assert not any("POWER(" in line for line in plan[:last])
+    names = re.findall(r"(\w+)#\d+(?=[,\]])", plan[last + 1].split("Project [", 1)[1])
+    assert "_held" in names and len(names) <= 16, names
+
+
+def test_readers_of_few_columns_take_no_other_through_the_last_window(spark):
+    rows = technical_features(made_bars(spark, 2, 90)).finish()
+    plan = plan_of(rows.select("Ticker", "Date", "RSI"))
+    last = plan.index("Window [")
+    assert "Volume_Ratio_20" not in plan[:last] and "_whole" in plan[:last]
+    assert rows.count() == rows.select("RSI").count() == 2 * 40
+
+
+def test_a_row_with_nan_is_dropped_like_one_with_nothing(spark):
+    bars = made_bars(spark, 1, 90)
+    for value in (None, float("nan")):
+        odd = F.when(F.col("Date") == F.lit(DAY + dt.timedelta(60)), F.lit(value).cast("double")).otherwise(F.col("Open"))
+        assert technical_features(bars.withColumn("Open", odd)).finish().count() == 39
+
+
 def test_window_tasks_follow_the_rows(spark):
     layout = SeriesLayout(task_rows=40)
     assert layout_series(made_bars(spark, 4, 90), layout).df.rdd.getNumPartitions() == 9
