@@ -433,6 +433,12 @@ def stored_full(spark, sf_dir) -> DataFrame:
     return store_panel(full_panel(spark, sf_dir), "full", key="all")
 
 
+def panel_rows(spark, sf_dir) -> DataFrame:
+    """Key, date and target of every row of the full panel, written once, for what reads no feature:
+    the fold table and the classes.  The planner leaves out the columns nobody reads."""
+    return materialize(full_panel(spark, sf_dir).select(*KEYS, "Target"), "panel-rows", key="narrow")
+
+
 def _folds(panel: DataFrame) -> DataFrame:
     return split_summary(panel, equal_split_folds(panel, 5, 0.2)[0], 1000)
 
@@ -496,7 +502,7 @@ def q_scaler_stats(spark, sf_dir):
 
 def q_class_weights(spark, sf_dir):
     """M6: balanced class weights of every fold's training rows."""
-    return rounded(each_fold(stored_full(spark, sf_dir), class_weight_table))
+    return rounded(each_fold(panel_rows(spark, sf_dir), class_weight_table))
 
 
 # The reference's learner stops at this largest component of the gradient.
