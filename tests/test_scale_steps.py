@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expr import stable_round
 from panelcast.operators.lags import lag_features
-from panelcast.operators.models import BOOSTED, ModelSettings, fit_models
+from panelcast.operators.models import BOOSTED, ModelSettings, fit_models, fold_scaler_stats, scaler_stats
 from panelcast.operators.series import SeriesLayout, layout_series, window_tasks
 from panelcast.operators.technical import technical_features
+from panelcast.plans import catalog
 from panelcast.plans.validation import fit_groups
 from panelcast.sources.files import read_bars
 from panelcast.sources.tpch import bars_from_lineitem
@@ -135,3 +136,63 @@ def test_a_stored_training_frame_is_not_persisted(spark, monkeypatch):
     assert not kept
     fit_models(train, small, [BOOSTED])
     assert kept
+
+
+def made_panel(spark, path, tickers: int = 40, days: int = 250):
+    """Rows of a panel with three features, one of them with missing, undefined and infinite values."""
+    odd = [None, math.nan, math.inf, 7.0, -2.5]
+    rows = [
+        (f"T{t}", DAY + dt.timedelta(d), (t + d) % 3 % 2, float((t * 7 + d * 3) % 11), 1e5 + (t * d) % 17 / 16, odd[(t + d) % 5])
+        for t in range(tickers)
+        for d in range(days)
+    ]
+    spark.createDataFrame(rows, "Ticker string, Date date, Target int, a double, b double, c double").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_statistics_and_classes_of_folds_do_not_write_the_panel(spark, tmp_path, monkeypatch):
+    panel = made_panel(spark, f"{tmp_path}/panel")
+    written = []
+    keep = catalog.materialize
+    monkeypatch.setattr(catalog, "full_panel", lambda *a: panel)
+    monkeypatch.setattr(catalog, "materialize", lambda df, *a, **k: written.append(df.columns) or keep(df, *a, **k))
+    monkeypatch.setattr(catalog, "store_panel", lambda *a, **k: written.append("the panel") or panel)
+    weights = {(r.fold, r.Target): (r.n_c, r.n, r.weight) for r in catalog.q_class_weights(spark, "-").collect()}
+    stats = {(r.fold, r.feature): r for r in catalog.q_scaler_stats(spark, "-").collect()}
+    assert written and all(w == ["Ticker", "Date", "Target"] for w in written), written
+    rows = panel.collect()
+    for fold in range(1, 6):
+        train = [r for r in rows if r.Date < DAY + dt.timedelta(40 * fold)]
+        ups = sum(r.Target for r in train)
+        assert weights[fold, 1][:2] == (ups, len(train)) and abs(weights[fold, 1][2] - len(train) / (2 * ups)) < 1e-6
+        for name in "abc":
+            x = [v if v is not None and math.isfinite(v) else 0.0 for v in (r[name] for r in train)]
+            mean = sum(x) / len(x)
+            squares = sum((v - mean) ** 2 for v in x)
+            found, exact = stats[fold, name], (mean, math.sqrt(squares / len(x)), math.sqrt(squares / (len(x) - 1)))
+            assert found.n == len(train) and max(abs(u - v) for u, v in zip(found[2:5], exact)) < 2e-6, (found, exact)
+    assert len(weights) == 10 and len(stats) == 15
+
+
+def test_statistics_merged_from_stretches_are_those_of_all_rows(spark, tmp_path):
+    panel = made_panel(spark, f"{tmp_path}/panel", 3, 20).replace(math.nan, 3.0).replace(math.inf, 3.0)
+    ends = {3: DAY + dt.timedelta(18), 1: DAY + dt.timedelta(2), 2: DAY + dt.timedelta(2)}
+    merged = {(r.fold, r.feature): r for r in fold_scaler_stats(panel, ["a", "b", "c"], ends).collect()}
+    assert len(merged) == 9
+    for fold, end in ends.items():
+        for r in scaler_stats(panel.filter(F.col("Date") <= F.lit(end)), ["a", "b", "c"]).collect():
+            found = merged[fold, r.feature]
+            plain = panel.filter(F.col("Date") <= F.lit(end)).agg(
+                F.avg(r.feature), F.stddev_pop(r.feature), F.stddev_samp(r.feature), F.count(F.lit(1))
+            ).first()
+            for one in (found, r):
+                assert one.n == plain[3]
+                assert all(abs(a - b) < 1e-9 for a, b in zip((one["mean"], one.std_pop, one.std_samp), plain[:3]))
+
+
+def test_statistics_of_no_or_one_row(spark):
+    rows = spark.createDataFrame([(1.0, None)], "a double, b double")
+    one = {r.feature: tuple(r)[1:] for r in scaler_stats(rows, ["a", "b"]).collect()}
+    assert one == {"a": (1.0, 0.0, None, 1), "b": (None, None, None, 1)}
+    none = {r.feature: tuple(r)[1:] for r in scaler_stats(rows.limit(0), ["a", "b"]).collect()}
+    assert none == {"a": (None, None, None, 0), "b": (None, None, None, 0)}
