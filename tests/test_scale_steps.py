@@ -11,7 +11,7 @@ from panelcast.operators.lags import lag_features
 from panelcast.operators.models import BOOSTED, ModelSettings, fit_models, fold_scaler_stats, scaler_stats
 from panelcast.operators.series import SeriesLayout, layout_series, window_tasks
 from panelcast.operators.technical import technical_features
-from panelcast.plans import catalog
+from panelcast.plans import catalog, validation
 from panelcast.plans.validation import fit_groups
 from panelcast.sources.files import read_bars
 from panelcast.sources.tpch import bars_from_lineitem
@@ -196,3 +196,15 @@ def test_statistics_of_no_or_one_row(spark):
     assert one == {"a": (1.0, 0.0, None, 1), "b": (None, None, None, 1)}
     none = {r.feature: tuple(r)[1:] for r in scaler_stats(rows.limit(0), ["a", "b"]).collect()}
     assert none == {"a": (None, None, None, 0), "b": (None, None, None, 0)}
+
+
+def test_a_stored_panel_is_not_dealt_again(spark, tmp_path, monkeypatch):
+    panel = made_panel(spark, f"{tmp_path}/panel", 4, 800)
+    given = []
+    keep = validation.materialize
+    monkeypatch.setattr(validation, "materialize", lambda df, *a, **k: given.append(df) or keep(df, *a, **k))
+    name, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    stored = validation.store_panel(panel)
+    assert "Repartition" not in plan_of(given[0]) and spark.conf.get(name, None) == before
+    assert {r.year: r["count"] for r in stored.groupBy("year").count().collect()} == {2020: 4 * 366, 2021: 4 * 365, 2022: 4 * 69}
+    assert sorted(map(str, stored.drop("year").collect())) == sorted(map(str, panel.collect()))
