@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.expr import stable_round
 from panelcast.operators.lags import lag_features
-from panelcast.operators.models import BOOSTED, ModelSettings, fit_models, fold_scaler_stats, scaler_stats
+from panelcast.operators.models import BOOSTED, LOGISTIC, ModelSettings, fit_models, fold_scaler_stats, model_features, scaler_stats
 from panelcast.operators.series import SeriesLayout, layout_series, window_tasks
+from panelcast.operators.splits import equal_split_folds, final_test_start, split_summary
 from panelcast.operators.technical import technical_features
 from panelcast.plans import catalog, validation
 from panelcast.plans.validation import fit_groups
@@ -208,3 +209,35 @@ def test_a_stored_panel_is_not_dealt_again(spark, tmp_path, monkeypatch):
     assert "Repartition" not in plan_of(given[0]) and spark.conf.get(name, None) == before
     assert {r.year: r["count"] for r in stored.groupBy("year").count().collect()} == {2020: 4 * 366, 2021: 4 * 365, 2022: 4 * 69}
     assert sorted(map(str, stored.drop("year").collect())) == sorted(map(str, panel.collect()))
+
+
+def test_learners_of_one_frame_share_its_vectors(spark, monkeypatch):
+    kept = []
+    rows = [(float(i % 7), float(i % 3), i % 2) for i in range(40)]
+    train = spark.createDataFrame(rows, "a double, b double, Target int")
+    keep = type(train).persist
+    monkeypatch.setattr(type(train), "persist", lambda self, *a, **k: kept.append(self.columns) or keep(self, *a, **k))
+    small = ModelSettings(gbt_iter=1, gbt_max_depth=1, lr_max_iter=5)
+    fitted = fit_models(train, small, [BOOSTED, LOGISTIC])
+    assert kept == [["features", "label", "weight"]]
+    for model in fitted.values():  # whole pipelines: they take the panel's own columns
+        assert model_features(model) == ["a", "b"] and model.transform(train).count() == 40
+
+
+def test_final_models_are_fitted_beside_those_of_the_last_folds(spark, tmp_path, monkeypatch):
+    panel = made_panel(spark, f"{tmp_path}/panel")
+    summary = split_summary(panel, equal_split_folds(panel, 5, 0.2)[0], 1000)
+    start = final_test_start(panel, 0.2)
+    small, groups = ModelSettings(gbt_iter=1, gbt_max_depth=1), []
+    keep = validation.fit_groups
+    monkeypatch.setattr(validation, "fit_groups", lambda *a: groups.append(keep(*a)) or groups[-1])
+    val, test = validation.run_all(panel, summary, start, small, [BOOSTED], rows_at_once=16_000)
+    assert groups == [[[0, 1, 2, 3], [4, 5]]]  # training rows 1,600 to 8,000, and 8,000 again
+    one = validation.run_validation(panel, summary, small, [BOOSTED])
+    last = validation.run_final(panel, summary, start, small, [BOOSTED])
+    for a, b in ((val, one), (test, last)):
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert {r.fold for r in val.select("fold").distinct().collect()} == set("12345")
+    assert [r.fold for r in test.select("fold").distinct().collect()] == ["final"]
+    nothing = validation.run_all(panel, summary.limit(0), start, small, [BOOSTED])
+    assert [df.count() for df in nothing] == [0, 0]
